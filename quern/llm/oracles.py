@@ -59,3 +59,13 @@ SELECT doc_id, size, source_size, target, ((certain + CASE WHEN before + size /
 UNION ALL
 SELECT doc_id, size, source_size, target, (certain * size)::BIGINT FROM l WHERE q IS NULL
 """
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+x AS (SELECT r, i, (coalesce(doc_id, 9223372036854775807), i) > min((coalesce(doc_id, 9223372036854775807), i)) OVER (PARTITION BY win) AS again FROM p),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS k FROM x WHERE again),
+k AS (SELECT d.r, d.doc_id, t.k, w[t.k] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(k)),
+s AS (SELECT k.r, count(*) FILTER (g.k IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY k.k) FILTER (g.k IS NULL) AS kept FROM k LEFT JOIN g ON k.r = g.r AND k.k = g.k GROUP BY k.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""

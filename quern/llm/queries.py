@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, mixing, sharding
+from quern.llm import decontamination, mixing, sharding, simhash, substrings
 from quern.llm.common import table
 from quern.llm.oracles import ORACLES
 
@@ -39,4 +39,15 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, share=1.5, most=2).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op3_decontaminate, op4_pareto_mix)}
+def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, words=3, bits=64, radius=2)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup(docs, width=20).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op3_decontaminate, op4_pareto_mix, op8_simhash_tiles, op9_substring_dedup)}
