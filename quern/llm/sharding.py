@@ -93,16 +93,16 @@ def shard(
     if not carry:
         rows = shelf.put(rows, "keys")  # narrow: the texts are read once
     # at most 2 * n_points + 2**(64 - CHUNK_SHIFT) rows, by the parameters alone
-    arcs = F.broadcast(shelf.put(_arcs(spark, shards, vnodes), "arcs"))
+    arcs = F.broadcast(_arcs(spark, shards, vnodes))
 
     def placed(frame: DataFrame) -> DataFrame:
         return frame.withColumn("chunk", F.shiftright("hash", CHUNK_SHIFT)).join(arcs, "chunk").where("hash >= lo AND hash <= hi").drop("lo", "hi", "chunk")
 
     cells = shelf.put(placed(rows.select("hash", "salt")).groupBy("v", "salt").agg(F.count("*").alias("n")), "cells")
-    plan = shelf.put(_plan(ring(spark, shards, vnodes), cells, shards, vnodes, slack), "plan")
+    plan = _plan(ring(spark, shards, vnodes), cells, shards, vnodes, slack)
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = shelf.put(cells.select("v", "salt", before.alias("offset")), "offsets")
+    offsets = cells.select("v", "salt", before.alias("offset"))
     ranked = (
         placed(rows)
         .join(offsets, ["v", "salt"])
