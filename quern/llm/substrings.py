@@ -8,21 +8,22 @@ estimated to be repeated are grouped, exactly, by a 128-bit hash.  No repeated w
 is: a fuller one lets more windows through to the exact grouping, and no more than that.
 
 The rows of the sketch grow with the text, to ``most_cells`` each, which bounds what is sent to the workers to a
-quarter byte per cell of both rows.  An occurrence is a repeat if the group holds one with a smaller (id, start).  The
-least one of each group comes from a map-side minimum and is joined back; hot windows are skewed join keys, which
-adaptive execution splits.
+quarter byte per cell.  The least id of each group comes from a map-side minimum.  Windows of several rows are then
+joined back: a bit array of the windows now known to be shared spares the join all others; hot windows are skewed join
+keys, which adaptive execution splits.  Repeats within one text are found where the text is read.
 
 Edge cases: null and empty texts have no words; texts shorter than a window keep all words; a null id comes after all
-others; rows that share an id count as one document, so that neither is earlier than the other at equal starts.
+others; of rows that share an id neither is earlier than the other, and each is judged by its own repeats and by
+smaller ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,53 +39,71 @@ GROUP_BITS = 5
 #: Cells of a sketch row at most: 2**28 cells of two rows are 64 MB of bits.
 MOST_CELLS = 2**28
 #: Windows that a task sketches before it hands on what it has.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LAST_ID = 2**63 - 1
 
 
-class _Words(dict):
-    """Word to 64-bit hash, remembered; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the texts: two 64-bit hashes, number of the text, start."""
-    counts, parts = [], []
-    for text in texts:
-        words = text.split()
-        counts.append(len(words))
-        parts.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    n = len(flat) - width + 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@functools.cache
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for b in (base, pow(base, -1, 2**64)):
+        steps = np.full(1 << bits, b, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+def _run(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``windows`` of texts that are short enough to be hashed at once."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[raw]
+    after_space = np.concatenate(([True], space[:-1]))
+    keep = ~(space & after_space)  # of each run of spaces the first, and none at the start
+    first = np.flatnonzero(~space & after_space)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    n_words = np.diff(np.searchsorted(first, ends), prepend=0)
+    flat = np.where(space, np.uint8(0x20), raw)[keep].astype(np.uint64) + np.uint64(1)
+    n = len(first) - width + 1
     if n <= 0:
         return (*np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    ends = np.cumsum(counts)
-    who = np.repeat(np.arange(len(texts)), counts)
-    start = np.arange(len(flat)) - np.repeat(ends - counts, counts)
+    at = (np.cumsum(keep) - 1)[first]
+    who = np.repeat(np.arange(len(texts)), n_words)
+    start = np.arange(len(first)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     inside = np.flatnonzero(who[:n] == who[width - 1 :])
+    begin = at[inside]
+    end = np.append(at[1:], len(flat))[inside + width - 1] - 1
     hashes = []
-    for base in _BASES:
-        h = np.zeros(n, np.uint64)
-        for k in range(width):  # Horner, so that the hash depends on the words' order
-            h *= np.uint64(base)
-            h += flat[k : k + n]
+    for base in _BASES:  # the polynomial hash of each window's text, its words one space apart
+        power, inverse = _powers(base, bits_of_power(max(1 << 20, len(flat))))
+        upto = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(flat * power[: len(flat)], out=upto[1:])
+        h = (upto[end] - upto[begin]) * inverse[begin]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        hashes.append(h[inside])
+        hashes.append(h)
     return hashes[0], hashes[1], who[inside], start[inside]
 
 
-def _in_parts(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def windows(texts: list[bytes], width: int, long: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts: two 64-bit hashes, number of the text, start.  A text of more than ``long`` bytes is
+    hashed in pieces that overlap by a window less one word."""
+    if len(texts) != 1 or len(texts[0]) <= long:
+        return _run(texts, width)
+    words = texts[0].split()
+    step = 1 << 18
+    parts = [_run([b" ".join(words[k : k + step + width - 1])], width) for k in range(0, max(1, len(words) - width + 1), step)]
+    starts = [p[3] + k * step for k, p in enumerate(parts)]
+    return tuple(np.concatenate(x) for x in (*zip(*[p[:3] for p in parts], strict=True), starts))
+
+
+def _in_parts(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``most`` bytes (a longer text is a run of its own)."""
     begin, size = 0, 0
     for k, text in enumerate(texts):
@@ -96,19 +115,20 @@ def _in_parts(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int,
         yield begin, texts[begin:]
 
 
-def sketch(docs: DataFrame, width: int, cell_bits: int, shelf: Shelf) -> list[np.ndarray]:
-    """For each sketch row a bit array: cells that were counted more than once."""
+def _cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], cell_bits: int, least: int, shelf: Shelf) -> list[np.ndarray]:
+    """For each sketch row a bit array: the cells that the hashes of ``df`` count ``least`` times or more (1 or 2)."""
     unit_bits = min(UNIT_BITS, cell_bits)
     partial = "row int, unit int, once binary, more binary"
 
-    def hand_on(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def hand_on(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for row in range(ROWS):
-            cells = np.sort(np.concatenate([h[row] for h in hashes]) >> np.uint64(64 - cell_bits))
+            cells = np.concatenate([h[row] for h in held]) >> np.uint64(64 - cell_bits)
+            cells = np.sort(cells.astype(np.uint32))
             first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             several = np.diff(np.concatenate((first, [len(cells)]))) > 1
             cells = cells[first]
-            unit = (cells >> np.uint64(unit_bits)).astype(np.int64)
-            low = (cells & np.uint64((1 << unit_bits) - 1)).astype(np.uint16)
+            unit = (cells >> np.uint32(unit_bits)).astype(np.int64)
+            low = (cells & np.uint32((1 << unit_bits) - 1)).astype(np.uint16)
             cuts = np.flatnonzero(np.diff(np.concatenate(([-1], unit, [-1]))))
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -124,10 +144,9 @@ def sketch(docs: DataFrame, width: int, cell_bits: int, shelf: Shelf) -> list[np
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for _, texts in _in_parts(utf8(batch.column(0))):
-                h1, h2, _, _ = windows(texts, width)
-                held.append((h1, h2))
-                n += len(h1)
+            for pair in hashes(batch):
+                held.append(pair)
+                n += len(pair[0])
                 if n >= FLUSH:
                     yield from hand_on(held)
                     held, n = [], 0
@@ -142,19 +161,35 @@ def sketch(docs: DataFrame, width: int, cell_bits: int, shelf: Shelf) -> list[np
                 cells = np.frombuffer(once, np.uint16)  # a cell is there once
                 part[cells] = np.minimum(part[cells] + 1, 2)
                 part[np.frombuffer(more, np.uint16)] = 2
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], ["row", "part", "bits"])
+        bits = np.packbits(counts >= least, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.binary())], ["row", "part", "bits"])
 
-    merged = (
-        docs.select("text").mapInArrow(count, partial).withColumn("part", F.shiftright("unit", GROUP_BITS)).groupBy("row", "part").applyInArrow(merge, "row int, part int, bits binary")
-    )
-    size = max(1, (1 << (max(cell_bits, unit_bits + GROUP_BITS))) // 8)
-    out = [np.zeros(size, np.uint8) for _ in range(ROWS)]
+    merged = df.mapInArrow(count, partial).withColumn("part", F.shiftright("unit", GROUP_BITS)).groupBy("row", "part").applyInArrow(merge, "row int, part int, bits binary")
     step = (1 << (unit_bits + GROUP_BITS)) // 8
-    for row, part, bits in shelf.put(merged, "sketch").toLocalIterator():  # a bounded table, a record at a time
+    out = [np.zeros(max(step, (1 << cell_bits) // 8), np.uint8) for _ in range(ROWS)]
+    for row, part, bits in shelf.put(merged, "cells").toLocalIterator():  # a bounded table, a record at a time
         out[row][part * step : (part + 1) * step] = np.frombuffer(bits, np.uint8)
     return out
 
 
+def _in_cells(bits: list[np.ndarray], h1: np.ndarray, h2: np.ndarray, cell_bits: int) -> np.ndarray:
+    """Positions of the hashes whose cells are set in every row."""
+    left = np.arange(len(h1))
+    for row, h in zip(bits, (h1, h2), strict=True):
+        cell = (h[left] >> np.uint64(64 - cell_bits)).astype(np.int64)
+        left = left[(row[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
+    return left
+
+
+def _first_in_text(h1: np.ndarray, h2: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Whether each window (in the order of texts and starts) is the first of its kind in its text."""
+    order = np.lexsort((h2, h1, who))
+    a, b, c = h1[order], h2[order], who[order]
+    out = np.ones(len(h1), bool)
+    out[order[1:]] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    return out
+
+
 def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", most_cells: int = MOST_CELLS, carry: bool = False) -> DataFrame:
     """``id, n_words, n_removed, kept`` (the kept words joined by one space); with ``carry`` the input row comes
     first, as struct ``row``.
@@ -163,40 +198,58 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     prepare(spark)
     shelf = Shelf(spark, "substrings")
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cell_bits = min(bits_of_power(most_cells), max(UNIT_BITS, bits_of_power(size // 3)))
-    bits = spark.sparkContext.broadcast(sketch(texts, width, cell_bits, shelf))
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = bits.value
-        for batch in batches:
-            ids = batch.column("doc").to_numpy()
-            marks = batch.column("mark").to_numpy()
-            for begin, part in _in_parts(utf8(batch.column("text"))):
-                h1, h2, who, start = windows(part, width)
-                keep = np.ones(len(h1), bool)
-                for row, h in zip(rows, (h1, h2), strict=True):
-                    cell = (h >> np.uint64(64 - cell_bits)).astype(np.int64)
-                    keep &= (row[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h1[keep].view(np.int64), h2[keep].view(np.int64), ids[begin + who[keep]], marks[begin + who[keep]], start[keep].astype(np.int32))],
-                    ["h1", "h2", "doc", "mark", "start"],
-                )
-
-    marked = texts.withColumn("mark", F.xxhash64("text"))
-    found = marked.mapInArrow(repeated, "h1 long, h2 long, doc long, mark long, start int")
-    place = F.struct("doc", "start")
-    first = shelf.put(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    gone = shelf.put(later.groupBy("doc", "mark").agg(F.sort_array(F.collect_set("start")).alias("starts")), "gone")
+    key = F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc")
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    seen = docs.select(key, F.octet_length(text).alias("size")).agg(F.sum("size"), F.count("*"), F.countDistinct("doc")).first()
+    # where an id names one row, nothing else needs to
+    mark = F.lit(0).cast("long") if seen[1] == seen[2] else F.xxhash64("text")
+    texts = docs.select(key, text).withColumn("mark", mark)
+    cell_bits = min(bits_of_power(most_cells), max(UNIT_BITS, bits_of_power((seen[0] or 0) // 3)))
+
+    def text_hashes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, part in _in_parts(utf8(batch.column("text"))):
+            yield windows(part, width)[:2]
+
+    def key_hashes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield tuple(batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+
+    several = spark.sparkContext.broadcast(_cells(texts.select("text"), text_hashes, cell_bits, 2, shelf))
+
+    def occurrences(bits, more) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The windows in set cells of ``bits`` that are first in their text; with ``more``, those of its cells that
+        are not, as well."""
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
+                for begin, part in _in_parts(utf8(batch.column("text"))):
+                    h1, h2, who, start = windows(part, width)
+                    left = _in_cells((more or bits).value, h1, h2, cell_bits)
+                    own = _first_in_text(h1[left], h2[left], who[left])
+                    met = np.zeros(len(left), bool)
+                    met[_in_cells(bits.value, h1[left], h2[left], cell_bits) if more else slice(None)] = True
+                    pick = (met & own) | (~own if more else False)
+                    left, own = left[pick], own[pick]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (h1[left].view(np.int64), h2[left].view(np.int64), ids[begin + who[left]], marks[begin + who[left]], start[left].astype(np.int32), own)],
+                        ["h1", "h2", "doc", "mark", "start", "own"],
+                    )
+
+        return found
+
+    record = "h1 long, h2 long, doc long, mark long, start int, own boolean"
+    firsts = texts.mapInArrow(occurrences(several, None), record).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    shared = shelf.put(firsts.where("n > 1").drop("n"), "shared")
+    known = spark.sparkContext.broadcast(_cells(shared.select("h1", "h2"), key_hashes, cell_bits, 1, shelf))
+    later = texts.mapInArrow(occurrences(known, several), record).join(shared, ["h1", "h2"], "left").where("NOT own OR doc > first")
+    gone = shelf.put(later.groupBy("doc", "mark").agg(F.collect_list("start").alias("starts")), "gone")
 
     rows = docs.select(
         *([packed(docs)] if carry else []),
         F.col(id_col).alias("id"),
-        F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("mark", F.xxhash64("text"))
+        key,
+        text,
+    ).withColumn("mark", mark)
     kept = rows.join(gone, ["doc", "mark"], "left").select(*(["row"] if carry else []), "id", "text", "starts")
     front = kept.schema.fields[:-2]
     names = [f.name for f in front]
