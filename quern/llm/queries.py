@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, mixing, sharding, simhash, substrings, toxicity
+from quern.llm import decontamination, mixing, pii, sharding, simhash, substrings, toxicity
 from quern.llm.common import table
 from quern.llm.oracles import ORACLES
 
@@ -47,6 +47,16 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, share=1.5, most=2).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_shape_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, words=3, bits=64, radius=2)
@@ -58,4 +68,4 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs, width=20).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op8_simhash_tiles, op9_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op6_shape_field_pii, op8_simhash_tiles, op9_substring_dedup)}
