@@ -11,8 +11,12 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the workers, unless they find it where the driver does."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in (os.getcwd(), *map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))):
+        return
+    context = spark.sparkContext
+    if not getattr(context, "_quern_shipped", False):
+        target = Path(tempfile.mkdtemp()) / "quern.zip"  # on the driver; Spark hands it out
+        with zipfile.ZipFile(target, "w") as out:
+            for path in sorted((root / "quern").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(str(target))
+        context._quern_shipped = True
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings the Python stages rely on: small Arrow batches."""
+    """What the Python stages rely on: the package at the workers, and small Arrow batches."""
+    _ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, mixing, pii, sharding, simhash, substrings, toxicity
+from quern.llm import decontamination, fuzzy, mixing, pii, sharding, simhash, substrings, toxicity
 from quern.llm.common import table
 from quern.llm.oracles import ORACLES
 
@@ -53,8 +53,14 @@ def op6_shape_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("row.doc_id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op7_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.with_next(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +74,4 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs, width=20).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op6_shape_field_pii, op8_simhash_tiles, op9_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op6_shape_field_pii, op7_piecewise_fingerprints, op8_simhash_tiles, op9_substring_dedup)}
