@@ -29,7 +29,8 @@ from quern.llm.common import Shelf, packed, prepare
 from quern.llm.components import components
 from quern.llm.text import LOWERED, utf8
 
-TILE = 2048
+#: Fingerprints of a tile: with a wide radius, under which most tiles meet, larger ones are sent about less.
+TILE, WIDE_TILE, WIDE_RADIUS = 2048, 8192, 4
 #: Shingles whose bits are counted at a time: bounds the memory of very long texts.
 BIT_ROWS = 500_000
 #: Blocks of bits, and about how many tiles' worth of population counts 64 random bits have with them.
@@ -88,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits:
 
 def _blocks(n: int, radius: int) -> int:
     """Blocks of bits: the most with some hundred fingerprints to a tile; wide radii leave nothing to skip by blocks."""
-    return max([k for k, spread in SPREAD.items() if k == 1 or radius <= 4 and n >= 256 * spread])
+    return max([k for k, spread in SPREAD.items() if k == 1 or radius <= WIDE_RADIUS and n >= 256 * spread])
 
 
 def _offsets(blocks: int, radius: int) -> list[list[int]]:
@@ -136,7 +137,8 @@ def links(nodes: DataFrame, bits: int, radius: int, shelf: Shelf) -> DataFrame:
     per = bits // 8 // blocks
     sums = [sum((F.col("pops")[k * per + i] for i in range(1, per)), F.col("pops")[k * per]) for k in range(blocks)]
     signed = nodes.select("fp", F.array(*sums).alias("sig"))
-    sizes = signed.groupBy("sig").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    tile = TILE if radius <= WIDE_RADIUS else WIDE_TILE
+    sizes = signed.groupBy("sig").agg(F.ceil(F.count("*") / tile).alias("parts"))
     tiles = shelf.put(
         signed.join(shelf.put(sizes, "sizes"), "sig").withColumn("part", F.pmod(F.xxhash64("fp"), "parts")).groupBy("sig", "part").agg(F.collect_list("fp").alias("fps")), "tiles"
     )
@@ -174,8 +176,8 @@ def _tasks(tiles: DataFrame) -> int:
 def near_duplicates(
     docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
 ) -> DataFrame:
-    """``id, fp, component``: the least id reachable over links of at most ``radius`` differing bits; with ``carry``
-    the input row comes first, as struct ``row``."""
+    """``id, fp, component, root``: the least id reachable over links of at most ``radius`` differing bits, and the least
+    fingerprint; with ``carry`` the input row comes first, as struct ``row``."""
     shelf = Shelf(docs.sparkSession, "simhash")
     marked = shelf.put(fingerprints(docs, id_col, text_col, words, bits, repeats, carry), "marked")
     nodes = shelf.put(marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("pops").alias("pops")), "nodes")
@@ -183,6 +185,18 @@ def near_duplicates(
     linked = roots.join(nodes.select(F.col("fp").alias("node"), "least"), "node")
     named = shelf.put(linked.groupBy("root").agg(F.min("least").alias("component")), "named")
     classes = shelf.put(
-        nodes.join(roots, nodes["fp"] == roots["node"], "left").join(named, "root", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes"
+        nodes.join(roots, nodes["fp"] == roots["node"], "left").join(named, "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component")),
+        "classes",
     )
-    return marked.drop("pops").join(classes, "fp").select(*(["row"] if carry else []), "id", "fp", "component")
+    return marked.drop("pops").join(classes, "fp").select(*(["row"] if carry else []), "id", "fp", "component", "root")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 128, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each near-duplicate group's row of least id, as struct ``row``.
+
+    With distinct shingles, the share of differing bits estimates the angle of the shingle sets; 20 of 128 bits is the
+    angle of sets of equal size whose similarity (Jaccard) is 0.8.  Repeated rows are one row."""
+    found = near_duplicates(docs, words, bits, radius, repeats=False, id_col=id_col, text_col=text_col, carry=True)
+    kept = found.where(F.col("id").eqNullSafe(F.col("component")))
+    seen = docs.agg(F.count("*"), F.countDistinct(id_col)).first()
+    return (kept if seen[0] == seen[1] else kept.dropDuplicates(["root"])).select("row")
