@@ -37,30 +37,39 @@ BIT_ROWS = 500_000
 SPREAD = {1: 14, 2: 100, 4: 2_500, 8: 390_000}
 
 
-def shingle_hashes(text: bytes, words: int, seeds: int, repeats: bool) -> np.ndarray:
-    """XXH64 of each shingle, one column a seed (42, 43, ...)."""
+def shingle_hashes(text: bytes, words: int, repeats: bool) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle."""
     tokens = text.translate(LOWERED).split()
     if not tokens:
-        return np.zeros((0, seeds), np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(tokens))
     pieces = [joined[a:b] for a, b in zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    if not repeats:
-        pieces = list(set(pieces))
     digest = xxhash.xxh64_intdigest
-    return np.array([[digest(p, 42 + k) for p in pieces] for k in range(seeds)], np.uint64).T
+    hashes = np.array([digest(p, 42) for p in (pieces if repeats else set(pieces))], np.uint64)
+    return hashes if repeats else np.sort(hashes)
+
+
+def _widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hash and, for wider fingerprints, more 64-bit words drawn from it."""
+    out = [hashes]
+    for k in range(1, words):
+        h = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(h ^ (h >> np.uint64(31)))
+    return np.stack(out, axis=1)
 
 
 def fingerprint(text: bytes, words: int = 3, bits: int = 64, repeats: bool = True) -> np.ndarray:
     """The fingerprint as uint64 words: a bit is 1 if it is set in over half the shingles' hashes."""
-    seeds = bits // 64
-    hashes = np.ascontiguousarray(shingle_hashes(text, words, seeds, repeats))
+    hashes = shingle_hashes(text, words, repeats)
     n = len(hashes)
     count = np.zeros(bits, np.int64)
-    for k in range(0, n, BIT_ROWS):
-        part = hashes[k : k + BIT_ROWS].view(np.uint8).reshape(-1, 8 * seeds)
+    for k in range(0, n, BIT_ROWS * 64 // bits):
+        part = _widened(hashes[k : k + BIT_ROWS * 64 // bits], bits // 64).view(np.uint8)
         count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * count > n, bitorder="little").view(np.uint64)
 
@@ -105,15 +114,20 @@ def _tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[
     """Positions in the joined list of a and b (a alone if same) that lie within the radius."""
     left, right = [], []
     for k in range(0, len(a), 256):
-        far = np.zeros((len(a[k : k + 256]), len(b)), np.uint16)
-        for w in range(a.shape[1]):
+        far = np.zeros((len(a[k : k + 256]), len(b)), np.uint8)
+        for w in range(min(2, a.shape[1])):  # the first 128 bits alone rule out nearly all
             far += np.bitwise_count(a[k : k + 256, w, None] ^ b[None, :, w])
         i, j = np.nonzero(far <= radius)
         i = i + k
         if same:
             i, j = i[i < j], j[i < j]
-        left.append(i)
-        right.append(j if same else j + len(a))
+        for m in range(0, len(i), 1 << 20):
+            x, y = i[m : m + (1 << 20)], j[m : m + (1 << 20)]
+            near = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= radius
+            left.append(x[near])
+            right.append(y[near] if same else y[near] + len(a))
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -191,10 +205,10 @@ def near_duplicates(
     return marked.drop("pops").join(classes, "fp").select(*(["row"] if carry else []), "id", "fp", "component", "root")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 128, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 256, radius: int = 39, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each near-duplicate group's row of least id, as struct ``row``.
 
-    With distinct shingles, the share of differing bits estimates the angle of the shingle sets; 20 of 128 bits is the
+    With distinct shingles, the share of differing bits estimates the angle of the shingle sets; 39 of 256 bits are the
     angle of sets of equal size whose similarity (Jaccard) is 0.8.  Repeated rows are one row."""
     found = near_duplicates(docs, words, bits, radius, repeats=False, id_col=id_col, text_col=text_col, carry=True)
     kept = found.where(F.col("id").eqNullSafe(F.col("component")))
