@@ -69,3 +69,27 @@ k AS (SELECT d.r, d.doc_id, t.k, w[t.k] AS word FROM d, unnest(range(1, len(w) +
 s AS (SELECT k.r, count(*) FILTER (g.k IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY k.k) FILTER (g.k IS NULL) AS kept FROM k LEFT JOIN g ON k.r = g.r AND k.k = g.k GROUP BY k.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
 """
+
+ORACLES["op5_stupid_backoff"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, len(w) AS n FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT word, count(*) AS c FROM p GROUP BY 1),
+b AS (SELECT before, word, count(*) AS c FROM p WHERE i > 1 GROUP BY 1, 2),
+t AS (SELECT count(*) AS total FROM p),
+x AS (
+  SELECT p.*, greatest(1, total - n)::DOUBLE AS others,
+    u.c - count(*) OVER (PARTITION BY r, p.word) AS cw,
+    b.c - count(*) OVER (PARTITION BY r, p.before, p.word) AS cb
+  FROM p CROSS JOIN t JOIN u USING (word) LEFT JOIN b ON b.before = p.before AND b.word = p.word),
+y AS (SELECT *, lag(cw) OVER (PARTITION BY r ORDER BY i) AS ch FROM x),
+z AS (
+  SELECT r, i, cb, CASE
+    WHEN i = 1 THEN log2(greatest(cw, 0.5)::DOUBLE) - log2(others)
+    WHEN cb > 0 THEN log2(cb::DOUBLE) - log2(greatest(ch, 1)::DOUBLE)
+    ELSE log2(0.4::DOUBLE) + log2(greatest(cw, 0.5)::DOUBLE) - log2(others) END AS v
+  FROM y),
+s AS (SELECT r, count(*) FILTER (i > 1 AND cb > 0) AS seen, avg(v) AS score FROM z GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(seen, 0)::BIGINT AS n_seen, round(score, 4) AS log2_score FROM d LEFT JOIN s USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, fuzzy, mixing, pii, sharding, simhash, substrings, toxicity
+from quern.llm import decontamination, fuzzy, mixing, ngram_lm, pii, sharding, simhash, substrings, toxicity
 from quern.llm.common import table
 from quern.llm.oracles import ORACLES
 
@@ -47,6 +47,11 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, share=1.5, most=2).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_seen", F.round("log2_score", 4).alias("log2_score"))
+
+
 def op6_shape_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,4 +79,4 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs, width=20).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op6_shape_field_pii, op7_piecewise_fingerprints, op8_simhash_tiles, op9_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op5_stupid_backoff, op6_shape_field_pii, op7_piecewise_fingerprints, op8_simhash_tiles, op9_substring_dedup)}
