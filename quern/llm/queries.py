@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, fuzzy, mixing, ngram_lm, pii, sharding, simhash, substrings, toxicity
+from quern.llm import decontamination, fuzzy, lines, mixing, ngram_lm, pii, sharding, simhash, substrings, toxicity
 from quern.llm.common import table
 from quern.llm.oracles import ORACLES
 
@@ -79,4 +79,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs, width=20).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op5_stupid_backoff, op6_shape_field_pii, op7_piecewise_fingerprints, op8_simhash_tiles, op9_substring_dedup)}
+def op10_edit_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), most=2)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_links", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op5_stupid_backoff, op6_shape_field_pii, op7_piecewise_fingerprints, op8_simhash_tiles, op9_substring_dedup, op10_edit_join_lines)}
