@@ -30,8 +30,8 @@ from quern.llm.text import LOWERED, utf8
 BACKOFF = 0.4
 UNSEEN = 0.5
 #: Bytes of text of a block, and of the text whose n-grams make one hash partition, about.
-BLOCK_BYTES = 8_000_000
-PART_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
+PART_BYTES = 8_000_000
 OUT = "n_words long, n_seen long, log2_score double"
 
 
