@@ -4,7 +4,8 @@ Two lines within ``most`` edits (insertions, deletions, changes of code points)
 segments of the shorter line, at nearly the same place.  Each distinct line is indexed by its segments, keyed by
 (length, segment, hash); it probes the segments of all lengths from its own down to its own less ``most``, at the
 places that the multi-match-aware bounds leave.  Bit arrays of the indexed keys keep probes at home that cannot meet
-another line.  What meets is verified by a banded bit-parallel edit distance, thousands of pairs a step.
+another line.  Lines that meet under a key are a bucket; a bucket is verified by a banded bit-parallel edit distance,
+thousands of pairs a step, until all its lines are reached or ruled out.  Large buckets are cut in tiles.
 
 Equal lines are merged first.  Lines within reach of one another, directly or over others, are one class; the first
 line of a class (least id, then line number) stays and its others go.
@@ -33,6 +34,8 @@ _BASE = 0x9E3779B97F4A7C15
 _LAST_ID = 2**63 - 1
 #: Code points of lines that are hashed at once; a longer line is hashed alone.
 RUN_CHARS = 500_000
+#: Lines of a bucket that are compared at a time.
+BUCKET = 512
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -145,20 +148,34 @@ def _band(first: list[str], second: list[str], most: int) -> np.ndarray:
     return (np.abs(apart) <= most) & (score <= most)
 
 
+def _stars(names: list[bytes], texts: list[str], most: int) -> list[tuple[bytes, bytes]]:
+    """A star for each set of lines that edits connect.  Each line reached is compared with those not yet reached, so
+    that a bucket of alike lines takes one round, not all pairs."""
+    out, left = [], list(range(len(names)))
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        center, at = reached[0], 0
+        while at < len(reached) and left:
+            near = within([texts[reached[at]]] * len(left), [texts[k] for k in left], most)
+            fresh = [k for k, x in zip(left, near, strict=True) if x]
+            out += [(names[center], names[k]) for k in fresh]
+            reached += fresh
+            left = [k for k, x in zip(left, near, strict=True) if not x]
+            at += 1
+    return out
+
+
 def _line_links(lines: DataFrame, most: int, least: int, shelf: Shelf) -> DataFrame:
-    """(line_id, h, line) to the links (a, b) of line ids within ``most`` edits, a < b."""
+    """(line_id, h, line) to links (a, b) of line ids that connect all lines within ``most`` edits."""
     spark = lines.sparkSession
-    count = lines.count()
-    cell_bits = min(bits_of_power(MOST_CELLS), max(UNIT_BITS, bits_of_power(8 * count * (most + 1))))
+    cell_bits = min(bits_of_power(MOST_CELLS), max(UNIT_BITS, bits_of_power(8 * lines.count() * (most + 1))))
 
     def indexed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, run in _runs(batch.column("line").to_pylist()):
             keys = np.concatenate([k for _, k in run.indexed(most, least)])
             yield keys, _mixed(keys)
 
-    texts = lines.select("line")
-    some = spark.sparkContext.broadcast(_cells(texts, indexed, cell_bits, 1, shelf))
-    several = spark.sparkContext.broadcast(_cells(texts, indexed, cell_bits, 2, shelf))
+    some, several = map(spark.sparkContext.broadcast, _cells(lines.select("line"), indexed, cell_bits, (1, 2), shelf))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,30 +184,47 @@ def _line_links(lines: DataFrame, most: int, least: int, shelf: Shelf) -> DataFr
                 out = [(who, keys, False) for who, keys in run.indexed(most, least)]
                 for who, keys, own in run.probes(most, least):
                     met = _in_cells((several if own else some).value, keys, _mixed(keys), cell_bits)
-                    if len(met):
-                        out.append((who[met], keys[met], True))
-                for who, keys, probe in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[begin + who]), pa.array(np.full(len(who), probe))], ["key", "h", "probe"])
+                    out.append((who[met], keys[met], True))
+                who, keys = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+                probe = np.repeat([x[2] for x in out], [len(x[0]) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[begin + who]), pa.array(probe)], ["key", "h", "probe"])
 
     rows = shelf.put(lines.select("h", "line").mapInArrow(emit, "key long, h long, probe boolean"), "segments")
-    index = rows.where("NOT probe").select("key", F.col("h").alias("x"))
-    met = rows.where("probe").select("key", "h").join(index, "key").where("x <> h").select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("y"))
-    pairs = shelf.put(met.distinct(), "pairs")
-    told = lines.select("h", "line_id", "line")
-    left = pairs.join(told.withColumnsRenamed({"h": "x", "line_id": "a", "line": "p"}), "x")
-    both = left.join(told.withColumnsRenamed({"h": "y", "line_id": "b", "line": "q"}), "y").select("a", "b", "p", "q")
+    # buckets in which a line that probes meets another
+    buckets = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("probe").alias("met"), F.count("*").alias("n")).where("met AND x <> y")
+    met = rows.select("key", "h").join(buckets.select("key", F.ceil(F.col("n") / BUCKET).alias("parts")), "key")
+    members = shelf.put(met.distinct(), "members")
+
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h = _mixed(batch.column("h").to_numpy().view(np.uint64))
+        yield h, _mixed(h)
+
+    wanted = spark.sparkContext.broadcast(_cells(members.select("h"), keys_of, cell_bits, (1,), shelf)[0])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _mixed(batch.column("h").to_numpy().view(np.uint64))
+            yield batch.take(pa.array(_in_cells(wanted.value, h, _mixed(h), cell_bits)))
+
+    texts = shelf.put(lines.select("h", "line_id", "line").mapInArrow(fetch, "h long, line_id binary, line string"), "texts")
+    dealt = members.join(texts, "h").withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
+    tiles = shelf.put(dealt.groupBy("key", "parts", "part").agg(F.collect_list("line_id").alias("ids"), F.collect_list("line").alias("texts")), "tiles")
+    # a bucket of several tiles is compared tile by tile
+    alone = tiles.where("parts = 1").select("ids", "texts")
+    left, right = (tiles.where("parts > 1").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("part", "ids", "texts")]) for k in "ab")
+    paired = left.join(right, "key").where("part_a < part_b").select(F.concat("ids_a", "ids_b").alias("ids"), F.concat("texts_a", "texts_b").alias("texts"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = pa.array(within(batch.column("p").to_pylist(), batch.column("q").to_pylist(), most))
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), near) for c in ("a", "b")], ["a", "b"])
+            found = [x for ids, texts in zip(batch.column("ids").to_pylist(), batch.column("texts").to_pylist(), strict=True) for x in _stars(ids, texts, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return shelf.put(both.mapInArrow(verify, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+    return shelf.put(alone.unionByName(paired).mapInArrow(verify, "a binary, b binary").distinct(), "links")
 
 
 def dedup(docs: DataFrame, most: int = 2, least_chars: int = 12, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """``id, n_lines, n_removed, n_links`` (other lines that the document's distinct lines are linked to, summed) and
-    ``kept`` (the kept lines joined by line feeds); with ``carry`` the input row comes first, as struct ``row``."""
+    """``id, n_lines, n_removed`` and ``kept`` (the kept lines joined by line feeds); with ``carry`` the input row comes
+    first, as struct ``row``."""
     prepare(docs.sparkSession)
     shelf = Shelf(docs.sparkSession, "lines")
     key = F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc")
@@ -200,24 +234,20 @@ def dedup(docs: DataFrame, most: int = 2, least_chars: int = 12, id_col: str = "
 
     exploded = docs.select(key, text).withColumn("mark", mark).select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
     placed = exploded.withColumn("line_id", F.unhex(F.md5("line")))
-    lines = shelf.put(placed.groupBy("line").agg(F.first("line_id").alias("line_id"), F.count("*").alias("n")).withColumn("h", F.xxhash64("line")), "lines")
-    links = _line_links(lines, most, least_chars, shelf)
-    roots = components(links, shelf).select(F.col("node").alias("line_id"), F.col("root").alias("class"))
-    ends = links.select(F.col("a").alias("line_id")).unionAll(links.select(F.col("b").alias("line_id")))
-    degrees = ends.groupBy("line_id").agg(F.count("*").alias("links"))
+    counted = exploded.groupBy("line").agg(F.count("*").alias("n"))
+    lines = shelf.put(counted.select("line", "n", F.unhex(F.md5("line")).alias("line_id"), F.xxhash64("line").alias("h")), "lines")
+    roots = components(_line_links(lines, most, least_chars, shelf), shelf).select(F.col("node").alias("line_id"), F.col("root").alias("class"))
     # lines that occur again or have links; all others are out of it
-    again = lines.where("n > 1").select("line_id", F.col("line_id").alias("class"), F.lit(0).cast("long").alias("links"))
-    linked = roots.join(degrees, "line_id")
-    members = shelf.put(linked.unionByName(again.join(linked.select("line_id"), "line_id", "left_anti")), "members")
+    again = lines.where("n > 1").select("line_id", F.col("line_id").alias("class"))
+    members = shelf.put(roots.unionByName(again.join(roots.select("line_id"), "line_id", "left_anti")), "classes")
     there = shelf.put(placed.select("doc", "mark", "no", "line_id").join(members, "line_id"), "there")
     place = F.struct("doc", "no")
     first = shelf.put(there.groupBy("class").agg(F.min(place).alias("first")), "first")
-    judged = there.join(first, "class").withColumn("gone", place > F.col("first"))
-    by_line = judged.groupBy("doc", "mark", "line_id").agg(F.max("links").alias("links"), F.collect_list(F.when(F.col("gone"), F.col("no"))).alias("gone"))
-    marks = shelf.put(by_line.groupBy("doc", "mark").agg(F.sum("links").alias("links"), F.flatten(F.collect_list("gone")).alias("gone")), "marks")
+    gone = there.join(first, "class").where(place > F.col("first"))
+    marks = shelf.put(gone.groupBy("doc", "mark").agg(F.collect_list("no").alias("gone")), "gone")
 
     rows = docs.select(*([packed(docs)] if carry else []), F.col(id_col).alias("id"), key, text).withColumn("mark", mark)
-    kept = rows.join(marks, ["doc", "mark"], "left").select(*(["row"] if carry else []), "id", F.coalesce("links", F.lit(0)).alias("n_links"), "text", "gone")
+    kept = rows.join(marks, ["doc", "mark"], "left").select(*(["row"] if carry else []), "id", "text", "gone")
     front = kept.schema.fields[:-2]
     names = [f.name for f in front]
     schema = T.StructType([*front, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])

@@ -81,7 +81,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_edit_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), most=2)
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_links", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ring_shards, op2_weak_toxicity, op3_decontaminate, op4_pareto_mix, op5_stupid_backoff, op6_shape_field_pii, op7_piecewise_fingerprints, op8_simhash_tiles, op9_substring_dedup, op10_edit_join_lines)}

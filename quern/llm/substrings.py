@@ -115,8 +115,9 @@ def _in_parts(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int,
         yield begin, texts[begin:]
 
 
-def _cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], cell_bits: int, least: int, shelf: Shelf) -> list[np.ndarray]:
-    """For each sketch row a bit array: the cells that the hashes of ``df`` count ``least`` times or more (1 or 2)."""
+def _cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], cell_bits: int, leasts: tuple[int, ...], shelf: Shelf) -> list[list[np.ndarray]]:
+    """For each of ``leasts`` (1 or 2), and each sketch row, a bit array: the cells that the hashes of ``df`` count as
+    often as that or more."""
     unit_bits = min(UNIT_BITS, cell_bits)
     partial = "row int, unit int, once binary, more binary"
 
@@ -161,14 +162,15 @@ def _cells(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.n
                 cells = np.frombuffer(once, np.uint16)  # a cell is there once
                 part[cells] = np.minimum(part[cells] + 1, 2)
                 part[np.frombuffer(more, np.uint16)] = 2
-        bits = np.packbits(counts >= least, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.binary())], ["row", "part", "bits"])
+        bits = [np.packbits(counts >= least, bitorder="little").tobytes() for least in leasts]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.list_(pa.binary()))], ["row", "part", "bits"])
 
-    merged = df.mapInArrow(count, partial).withColumn("part", F.shiftright("unit", GROUP_BITS)).groupBy("row", "part").applyInArrow(merge, "row int, part int, bits binary")
+    merged = df.mapInArrow(count, partial).withColumn("part", F.shiftright("unit", GROUP_BITS)).groupBy("row", "part").applyInArrow(merge, "row int, part int, bits array<binary>")
     step = (1 << (unit_bits + GROUP_BITS)) // 8
-    out = [np.zeros(max(step, (1 << cell_bits) // 8), np.uint8) for _ in range(ROWS)]
+    out = [[np.zeros(max(step, (1 << cell_bits) // 8), np.uint8) for _ in range(ROWS)] for _ in leasts]
     for row, part, bits in shelf.put(merged, "cells").toLocalIterator():  # a bounded table, a record at a time
-        out[row][part * step : (part + 1) * step] = np.frombuffer(bits, np.uint8)
+        for k, some in enumerate(bits):
+            out[k][row][part * step : (part + 1) * step] = np.frombuffer(some, np.uint8)
     return out
 
 
@@ -213,7 +215,7 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
     def key_hashes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield tuple(batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
 
-    several = spark.sparkContext.broadcast(_cells(texts.select("text"), text_hashes, cell_bits, 2, shelf))
+    several = spark.sparkContext.broadcast(_cells(texts.select("text"), text_hashes, cell_bits, (2,), shelf)[0])
 
     def occurrences(bits, more) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """The windows in set cells of ``bits`` that are first in their text; with ``more``, those of its cells that
@@ -240,7 +242,7 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
     record = "h1 long, h2 long, doc long, mark long, start int, own boolean"
     firsts = texts.mapInArrow(occurrences(several, None), record).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     shared = shelf.put(firsts.where("n > 1").drop("n"), "shared")
-    known = spark.sparkContext.broadcast(_cells(shared.select("h1", "h2"), key_hashes, cell_bits, 1, shelf))
+    known = spark.sparkContext.broadcast(_cells(shared.select("h1", "h2"), key_hashes, cell_bits, (1,), shelf)[0])
     later = texts.mapInArrow(occurrences(known, several), record).join(shared, ["h1", "h2"], "left").where("NOT own OR doc > first")
     gone = shelf.put(later.groupBy("doc", "mark").agg(F.collect_list("start").alias("starts")), "gone")
 
