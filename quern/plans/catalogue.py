@@ -1,10 +1,642 @@
-"""Registered catalogue queries and their DuckDB twins."""
+"""Registered catalogue queries and their DuckDB twins.
+
+Each query applies operators of the engine to whole tables (or to a small table given in place) and has the columns of
+its twin.  Arrays are joined to text so that both engines compare alike.
+"""
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import attributes, similarity, text, tokens
+from quern.functions.terms import Terms, main_forms, resolved_terms, type_tuples
+from quern.operators import brands, categories, dedup, relations, reports, search
+from quern.sources import catalogue as files
+from quern.sources import html
+from quern.sources.paths import shared_path, ship
+from quern.streaming import queries as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return run
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- tokens and text
+
+_WORDS = r"""list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[\s"|,.«»“”()?!+:]+'), lambda x: x <> '')"""
+
+
+@query(f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY ALL")
+def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, len({_WORDS.format('p_name')})::BIGINT AS n_words, list_aggregate({_WORDS.format('p_name')}, 'string_agg', ' ') AS joined FROM part")
+def tokenize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = tokens.tokens(tokens.DEFAULT.column(F.col("p_name")))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.size(items).cast("long").alias("n_words"), F.array_join(tokens.texts(items), " ").alias("joined"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\",.«»“”()?+:]+', ' ', 'g')) AS label FROM documents")
+def cleanup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", text.cleanup(F.col("text")).alias("label"))
+
+
+@query(
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s"|,.«»“”()?!+:]+'), lambda x: x <> '')[1:4] AS w FROM conversations),
+    p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c),
+    s AS (
+      SELECT *, coalesce(list_min(list_filter(range(1, least(len(w), len(b)) + 1), lambda i: w[i] <> b[i])), least(len(w), len(b)) + 1) - 1 AS same FROM p)
+    SELECT conv_id, turn, CASE
+      WHEN len(w) = 1 THEN w[1]
+      WHEN b IS NULL OR w = b OR len(w) = 0 OR abs(len(w) - len(b)) > 1 THEN NULL
+      WHEN w[same + CASE WHEN len(w) >= len(b) THEN 2 ELSE 1 END:] = b[same + CASE WHEN len(w) <= len(b) THEN 2 ELSE 1 END:] THEN w[least(same + 1, len(w))] END AS edited
+    FROM s
+    """
+)
+def last_edited_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four words of each turn as successive queries of a session."""
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(text.words(F.col("text")), 1, 4).alias("w"))
+    before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("b", before).select("conv_id", "turn", F.when(F.col("b").isNotNull() | (F.size("w") == 1), tokens.last_changed_token(F.coalesce("b", F.array().cast("array<string>")), F.col("w"))).alias("edited"))
+
+
+_NAMES = (
+    "продукт(10 % жирн) с соком",
+    "Продукт творож 5.6%130г клубника+бисквит",
+    "чай 25пак с жасмином",
+    "Кофе растворимый 150г пакет",
+    "сахар 1 кг. коричневый",
+    "сахар кг., коричневый",
+    "сахар1 кг. корич.",
+    "рыба г/к",
+)
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, n) for k, n in enumerate(_NAMES)], "id int, name string")
+
+
+def _values(rows: list[tuple], *columns: str) -> str:
+    def cell(v) -> str:
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({', '.join(columns)})"
+
+
+_ATTRIBUTES = [
+    (0, "", "10 % жирн", "", "продукт с соком"),
+    (1, "130г", "5.6%", "", "продукт творож клубника бисквит"),
+    (2, "", "", "25пак", "чай с жасмином"),
+    (3, "150г", "", "пакет", "кофе растворимый"),
+    (4, "1 кг.", "", "", "сахар коричневый"),
+    (5, "кг.", "", "", "сахар коричневый"),
+    (6, "1 кг.", "", "", "сахар корич"),
+    (7, "", "", "", "рыба г/к"),
+]
+
+
+@query(f"SELECT * FROM {_values(_ATTRIBUTES, 'id', 'weight', 'fat', 'pack', 'words')}")
+def attribute_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = attributes.attributes(F.col("name"))
+    return _names(spark).withColumn("a", a).select("id", *[F.array_join(f"a.{c}", "+" if c != "words" else " ").alias(c) for c in ("weight", "fat", "pack", "words")])
+
+
+@query(f"SELECT id, pack FROM {_values([(0, ''), (1, ''), (2, '25пак'), (3, 'пакет'), (4, ''), (5, ''), (6, ''), (7, '')], 'id', 'pack')}")
+def attribute_parse_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark).select("id", attributes.legacy(F.col("name"))["pack"].alias("pack"))
+
+
+@query(r"SELECT unnest(regexp_extract_all(lower(text), '(?:^|[^\w])(\d+(?:[.,]\d+)?)\s*%', 1)) AS share, count(*) AS n FROM documents GROUP BY 1")
+def percent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?:^|[^\w])({attributes.NUMBER})\s*%"), F.lit(1))
+    return _t(spark, sf_dir, "documents").select(F.explode(found).alias("share")).groupBy("share").agg(F.count("*").alias("n"))
+
+
+@query("SELECT part AS value, count(*) AS n FROM (SELECT unnest(string_split(replace(p_name, ' ', ' + '), ' + ')) AS part FROM part) GROUP BY 1")
+def attribute_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.histogram(_t(spark, sf_dir, "part"), F.replace("p_name", F.lit(" "), F.lit(" + ")))
+
+
+_WORDLIST = [("ёж",), ("лес",), ("темен",), ("Test",), ("а-б",), ("соль-перец",), ("с",)]
+
+
+@query(
+    f"""SELECT word, regexp_full_match(word, '[А-Яа-яЁё]+(-[А-Яа-яЁё]+)?') AND length(word) >= 2 AS simple,
+    word IN ('в','во','с','со','из','для','и','на','без','к','не','де','по','под') AS preposition,
+    CASE WHEN contains(word, 'ё') THEN replace(word, 'ё', 'е') ELSE coalesce(list_aggregate(list_transform(list_filter(range(1, length(word) + 1), lambda i: word[i] = 'е'), lambda i: word[1:i - 1] || 'ё' || word[i + 1:]), 'string_agg', ','), '') END AS variants
+    FROM {_values(_WORDLIST, 'word')}"""
+)
+def word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("word")
+    return spark.createDataFrame(_WORDLIST, "word string").select("word", text.is_simple_russian_word(w).alias("simple"), text.is_preposition(w).alias("preposition"), F.array_join(text.yo_variants(w), ",").alias("variants"))
+
+
+# -- categories
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations below regions below the root, as a category tree with suppliers as products."""
+    region, nation, supplier = (_t(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
+    sold = supplier.groupBy("s_nationkey").agg(F.collect_list(F.col("s_suppkey").cast("string")).alias("products"))
+    none = F.array().cast("array<string>")
+    tops = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), F.lit("-1").alias("parent_id"), none.alias("products"))
+    below = nation.join(sold, nation["n_nationkey"] == sold["s_nationkey"], "left").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.coalesce("products", none).alias("products"))
+    return tops.unionByName(below)
+
+
+_TREE = "SELECT 'r' || r_regionkey AS id, r_name AS title, '-1' AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation"
+
+
+@query(f"WITH RECURSIVE t AS ({_TREE}), p AS (SELECT id, id AS ancestor, 0 AS depth FROM t UNION ALL SELECT p.id, t.parent_id, depth + 1 FROM p JOIN t ON p.ancestor = t.id WHERE t.parent_id <> '-1') SELECT * FROM p")
+def category_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.closure(_regions(spark, sf_dir))
+
+
+@query("SELECT s_suppkey::VARCHAR AS product, 'n' || s_nationkey AS category FROM supplier UNION ALL SELECT s_suppkey::VARCHAR, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def products_under_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _regions(spark, sf_dir)
+    return categories.under(categories.members(tree), categories.closure(tree))
+
+
+@query("SELECT 'r' || r_regionkey AS id, r_name AS title FROM region")
+def root_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categories.roots(_regions(spark, sf_dir)).select("id", "title")
+
+
+@query("SELECT s_suppkey::VARCHAR AS product, least(n_name, r_name) || '|' || greatest(n_name, r_name) AS tags FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def tags_by_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _regions(spark, sf_dir)
+    under = categories.under(categories.members(tree), categories.closure(tree))
+    return categories.tags(under, tree.select("id", "title")).select("product", text.join_list(F.col("tags")).alias("tags"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS product FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (0, 1) AND n_nationkey NOT IN (1, 2)")
+def accept_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _regions(spark, sf_dir)
+    under = categories.under(categories.members(tree), categories.closure(tree))
+    sold = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("product"))
+    return categories.accept_ignore(sold, under, accept=["r0", "r1"], ignore=["n1", "n2"])
+
+
+@query("SELECT 'r' || r_regionkey AS id, 0 AS depth, r_name AS path, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_below FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || ' / ' || n_name, 0 FROM nation JOIN region ON n_regionkey = r_regionkey")
+def category_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _regions(spark, sf_dir)
+    return categories.listing(tree, categories.closure(tree)).select("id", "depth", "path", "n_below")
+
+
+@query("SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'r2'")
+def stopped_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _regions(spark, sf_dir)
+    title = _t(spark, sf_dir, "region").where("r_regionkey = 2").first()["r_name"]
+    return categories.under_stopped(tree, categories.closure(tree), [title])
+
+
+# -- dedup, upserts, sorts
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 OR user_id IS NULL")
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_wins(_t(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").withColumn("k", F.concat_ws("/", "user_id", "event_type"))
+    return dedup.last_wins(rows, "k", [F.col("ts"), F.col("event_id")]).select("event_id", "user_id", "value")
+
+
+@query(
+    r"""
+    SELECT page_id, sha1('GET' || chr(10) || lower(regexp_extract(url, '^([A-Za-z][\w+.-]*://[^/?#]*)', 1))
+      || CASE WHEN regexp_extract(url, '^(?:[A-Za-z][\w+.-]*://[^/?#]*)?([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^(?:[A-Za-z][\w+.-]*://[^/?#]*)?([^?#]*)', 1) END
+      || CASE WHEN regexp_extract(url, '\?([^#]*)', 1) <> '' THEN '?' || list_aggregate(list_sort(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), 'string_agg', '&') ELSE '' END
+      || regexp_extract(url, '(#.*)$', 1) || chr(10)) AS fingerprint FROM pages
+    """
+)
+def url_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", dedup.request_fingerprint(F.lit("get"), F.col("url")).alias("fingerprint"))
+
+
+_LAYERS = [(0, "кот", "", "котик"), (1, "кот", "кошка", ""), (2, "кот", "", ""), (0, "дом", "", ""), (1, "дом", "", "")]
+
+
+@query(f"SELECT word, noun_base, same FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY (noun_base <> '' OR same <> '') DESC, layer DESC) AS n FROM {_values(_LAYERS, 'layer', 'word', 'noun_base', 'same')}) WHERE n = 1")
+def layered_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.functions.morphology import merged_layers
+
+    rows = spark.createDataFrame(_LAYERS, "layer int, word string, noun_base string, same string")
+    as_lists = rows.select("layer", "word", text.split_list(F.col("noun_base")).alias("noun_base"), text.split_list(F.col("same")).alias("same"), F.array().cast("array<string>").alias("pet"), F.lit(None).cast("string").alias("source"))
+    return merged_layers(as_lists).select("word", F.array_join("noun_base", "|").alias("noun_base"), F.array_join("same", "|").alias("same"))
+
+
+@query("SELECT p_partkey, p_brand, p_retailprice, rank FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC)::INT AS rank FROM part) WHERE rank <= 3")
+def group_limit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.group_limit(_t(spark, sf_dir, "part"), 3, "p_retailprice", F.col("p_brand")).select("p_partkey", "p_brand", "p_retailprice", "rank")
+
+
+@query("SELECT p_partkey, (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) // 10 AS page FROM part WHERE p_brand = 'Brand#1'")
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").where("p_brand = 'Brand#1'")
+    return dedup.in_chunks(rows, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "page")
+
+
+# -- brands
+
+_BRANDS = [
+    ("Домик в деревне", "marketing", None, "молоко", "", "", ""),
+    ("Рузское молоко", "marketing", None, None, "рузское", "", ""),
+    ("На зубок", "marketing", None, None, "", "", ""),
+    ("Чудо-ягода", "marketing", None, None, "", "", ""),
+    ("Не Бренд", None, True, None, "", "", ""),
+]
+
+
+def _registry(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(_BRANDS, "name string, type string, no_brand boolean, generic string, synonyms string, manufacturers string, linked string")
+    return brands.registered(rows.select("name", "type", "no_brand", "generic", *[text.split_list(F.col(c)).alias(c) for c in ("synonyms", "manufacturers", "linked")]))
+
+
+@query("SELECT n AS name FROM (VALUES ('Домик в деревне'), ('Рузское молоко'), ('На зубок'), ('Чудо-ягода')) t(n)")
+def brand_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brands.listed(_registry(spark)).select("name")
+
+
+_PHRASES = [
+    (0, "домик в деревне", "Домик в деревне", "домик в деревне", ""),
+    (1, "домик деревне", "Домик в деревне", "домик деревне", ""),
+    (2, "деревне в домик", "Домик в деревне", "деревне в домик", ""),
+    (3, "домик деревне в", "Домик в деревне", "домик деревне", "в"),
+    (4, "в домик деревне", "Домик в деревне", "домик деревне", "в"),
+    (5, "домик в большой деревне", None, None, None),
+    (6, "молоко рузское", "Рузское молоко", "молоко рузское", ""),
+    (7, "молоко пастер рузское", "Рузское молоко", "рузское", "молоко пастер"),
+    (8, "на зубок", "На зубок", "на зубок", ""),
+    (9, "на большой зубок", None, None, None),
+    (10, "семечки на зубок", "На зубок", "на зубок", "семечки"),
+    (11, "семечки зубок на", None, None, None),
+    (12, "на зуб", "На зубок", "на зуб", ""),
+    (13, "семечки на зуб", "На зубок", "на зуб", "семечки"),
+    (14, "дом в деревн", "Домик в деревне", "дом в деревн", ""),
+    (15, "молоко дом в деревн", "Домик в деревне", "дом в деревн", "молоко"),
+    (16, "молоко дом в де", None, None, None),
+    (17, "мол домик в деревне", "Домик в деревне", "домик в деревне", "мол"),
+    (18, "дер в дерев", None, None, None),
+    (19, "чудо-ягода", "Чудо-ягода", "чудо-ягода", ""),
+    (20, "чудо ягода", "Чудо-ягода", "чудо ягода", ""),
+]
+
+
+@query(f"SELECT id, name, matched, not_matched FROM {_values(_PHRASES, 'id', 'q', 'name', 'matched', 'not_matched')} WHERE name IS NOT NULL")
+def brand_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(i, q.split()) for i, q, *_ in _PHRASES], "query_id int, words array<string>")
+    return search.find_brands(brands.index(_registry(spark)), asked).select(F.col("query_id").alias("id"), "name", "matched", "not_matched")
+
+
+
+
+@query("SELECT p_partkey, token, v AS variant FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) JOIN (VALUES ('widgit'), ('plats'), ('geear'), ('screww'), ('bolts')) t(v) ON length(token) > 4 AND levenshtein(token, v) BETWEEN 1 AND CASE WHEN length(token) > 5 THEN 2 ELSE 1 END")
+def fuzzy_brand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("b").alias("key"), F.col("p_name").alias("sqn"))
+    spelled = spark.createDataFrame([("b", v) for v in ("widgit", "plats", "geear", "screww", "bolts")], "key string, variant string")
+    return brands.fuzzy_tokens(names, spelled).select(F.col("id").alias("p_partkey"), "token", "variant")
+
+
+@query("SELECT * FROM (VALUES (0, 'молоко', true), (1, 'молоко пастеризованное', true), (2, 'сыр', false)) t(id, sqn, brand_detected)")
+def brand_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = _registry(spark)
+    names = spark.createDataFrame([(0, "домик в деревне", "Домик в деревне"), (1, "пастеризованное", "Домик в деревне молоко пастеризованное"), (2, "сыр", "сыр")], "id int, k string, sqn string")
+    keyed = names.select("id", F.lit("домик в деревне").alias("key"), "sqn")
+    return brands.replaced(keyed, brands.variants(registry), registry).select("id", "sqn", "brand_detected")
+
+
+@query("SELECT * FROM (VALUES ('ООО \"Рога\"', 'ЗАО Рога'), ('ЗАО Рога', 'ЗАО Рога'), ('Копыта', 'Копыта')) t(maker, \"group\")")
+def manufacturer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brands.manufacturer_groups(spark.createDataFrame([('ООО "Рога"',), ("ЗАО Рога",), ("Копыта",)], "maker string"))
+
+
+@query("SELECT lower(trim(p_brand)) AS key, p_brand AS name, count(*) AS n FROM part GROUP BY ALL")
+def brand_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    registry = part.select(F.col("p_brand").alias("name")).distinct().withColumn("key", brands.brand_key(F.col("name")))
+    return part.select(brands.brand_key(F.col("p_brand")).alias("key")).join(registry, "key").groupBy("key", "name").agg(F.count("*").alias("n"))
+
+
+# -- reports
+
+
+@query("SELECT p_name AS sqn, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS keys FROM part GROUP BY 1")
+def sqn_to_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.bag(_t(spark, sf_dir, "part").select(F.col("p_name").alias("sqn"), F.col("p_partkey").alias("key")), "sqn", "key").select("sqn", F.array_join("keys", ",").alias("keys"))
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part WHERE contains(p_name, 'red') GROUP BY 1")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    hits = part.where(F.contains("p_name", F.lit("red"))).select(F.col("p_partkey").alias("doc_id"))
+    return search.facets(hits, part, "p_brand", "p_partkey")
+
+
+@query("SELECT p_brand AS brand, count(*) FILTER (NOT contains(p_name, 'red')) AS n_unbranded, count(*) AS n FROM part GROUP BY 1")
+def unbranded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.unbranded(_t(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.contains("p_name", F.lit("red")).alias("brand_detected")))
+
+
+@query("SELECT p_type AS manufacturer, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS brands FROM part GROUP BY 1")
+def manufacturer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.makers(_t(spark, sf_dir, "part"), "p_type", "p_brand").select(F.col("p_type").alias("manufacturer"), F.array_join("brands", "|").alias("brands"))
+
+
+@query("SELECT p_brand AS brand, count(*) FILTER (p_size % 5 = 0) AS n_failed, count(*) AS n FROM part GROUP BY 1 HAVING count(*) FILTER (p_size % 5 = 0) > 0")
+def failures_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.failures(_t(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") % 5 != 0).alias("ok")))
+
+
+# -- types and relations: a part's name is its short name; its words and word pairs are its types
+
+_TYPE_SQL = """
+ty AS (
+  SELECT p_partkey, p_name AS sqn, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2),
+    least(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) || ' + ' || greatest(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2))]) AS type_key FROM part)
+"""
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("sqn"), F.col("p_type").alias("tag"), F.array(words[0], words[1], text.type_key(words)).alias("types"))
+
+
+def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.split("type_key", r" \+ ")
+    return relations.bags(_typed(spark, sf_dir)).withColumn("forms", forms).withColumn("arity", F.size(forms)).withColumn("flag", F.lit(False))
+
+
+@query(f"WITH {_TYPE_SQL} SELECT type_key, count(*) AS capacity, count(DISTINCT sqn) AS breadth FROM ty GROUP BY 1")
+def type_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.bags(_typed(spark, sf_dir)).select("type_key", "capacity", "breadth")
+
+
+@query(f"WITH {_TYPE_SQL} SELECT type_key FROM ty GROUP BY 1 HAVING count(*) >= 40 OR NOT contains(type_key, '+')")
+def meaningful_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.meaningful(_types(spark, sf_dir), 40).select("type_key")
+
+
+_CONTAINS_SQL = f"WITH {_TYPE_SQL}, k AS (SELECT DISTINCT type_key FROM ty), e AS (SELECT x.type_key AS a, y.type_key AS b FROM k x JOIN k y ON NOT contains(x.type_key, '+') AND contains(y.type_key, '+') AND x.type_key IN (split_part(y.type_key, ' + ', 1), split_part(y.type_key, ' + ', 2)))"
+
+
+@query(f"{_CONTAINS_SQL} SELECT a, b, 'contains' AS rel FROM e UNION ALL SELECT b, a, 'subset_of' FROM e")
+def type_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.containment(_types(spark, sf_dir)).select("a", "b", "rel")
+
+
+@query(f"{_CONTAINS_SQL} SELECT type_key FROM k WHERE type_key NOT IN (SELECT b FROM e)")
+def root_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = _types(spark, sf_dir)
+    return relations.root_types(types, relations.containment(types)).select("type_key")
+
+
+@query(f"WITH {_TYPE_SQL} SELECT DISTINCT unnest(string_split(type_key, ' + ')) AS term FROM ty")
+def type_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.vocabulary(_types(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_TYPE_SQL}, g AS (SELECT DISTINCT p_type AS tag, type_key, sqn FROM ty JOIN part USING (p_partkey)),
+    p AS (SELECT tag, type_key, count(*) AS c FROM g GROUP BY ALL), a AS (SELECT tag, count(DISTINCT sqn) AS n FROM g GROUP BY 1), b AS (SELECT type_key, count(DISTINCT sqn) AS m FROM g GROUP BY 1)
+    SELECT tag, type_key, CASE WHEN c = n AND c = m THEN 'equals' WHEN c = m THEN 'contains' WHEN c = n THEN 'subset_of' ELSE 'almost' END AS rel,
+      round(c / n, 2) AS of_tag, round(c / m, 2) AS of_type FROM p JOIN a USING (tag) JOIN b USING (type_key)"""
+)
+def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.tag_overlap(_typed(spark, sf_dir).select("tag", F.explode("types").alias("type_key"), "sqn"))
+
+
+@query(f"{_CONTAINS_SQL}, o AS (SELECT type_key, type_key AS t FROM k UNION ALL SELECT a, b FROM e) SELECT o.type_key, count(DISTINCT sqn) AS capacity FROM o JOIN ty ON o.t = ty.type_key GROUP BY 1")
+def type_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _typed(spark, sf_dir).select(F.explode("types").alias("type_key"), "sqn")
+    return relations.capacities(members, relations.containment(_types(spark, sf_dir)))
+
+
+@query(f"{_CONTAINS_SQL} SELECT a, b FROM e")
+def type_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.children(relations.containment(_types(spark, sf_dir)))
+
+
+@query()
+def type_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.similar(_types(spark, sf_dir), least=0.7).select("a", "b", "rel", "attr")
+
+
+@query(f"WITH {_TYPE_SQL}, c AS (SELECT type_key, count(*) AS capacity FROM ty GROUP BY 1), s AS (SELECT sqn, max(capacity) AS best FROM ty JOIN c USING (type_key) GROUP BY 1) SELECT capacity, n_types, covered, round(100 * covered / (SELECT count(*) FROM s), 2) AS percent FROM (SELECT capacity, count(*) AS n_types, (SELECT count(*) FROM s WHERE best >= c.capacity) AS covered FROM c GROUP BY capacity)")
+def type_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage(_typed(spark, sf_dir), _types(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_typed, count(*) AS n_compound FROM part")
+def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.enrichment(_typed(spark, sf_dir))
+
+
+_EDGES = [("a", "b", "similar", True, 0.9), ("a", "b", "contains", False, None), ("a", "c", "similar", True, 0.3), ("a", "c", "almost", True, 0.5), ("d", "e", "equals", False, None)]
+
+
+@query("SELECT * FROM (VALUES ('a', 'b', 'contains'), ('b', 'a', 'subset_of'), ('a', 'c', 'almost'), ('c', 'a', 'almost'), ('d', 'e', 'equals'), ('e', 'd', 'equals')) t(a, b, rel)")
+def relation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.createDataFrame(_EDGES, "a string, b string, rel string, soft boolean, attr double")
+    return relations.resolved(relations.both_ways(edges)).select("a", "b", "rel")
+
+
+@query("SELECT p_name, (SELECT max(greatest(0)) FROM (VALUES (0)) t(x)) + length(p_name) AS n, 1.0::DOUBLE AS self FROM part GROUP BY p_name")
+def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.length("p_name").cast("long").alias("n"), similarity.ratio_udf("p_name", "p_name").alias("self"))
+
+
+@query("SELECT p_brand AS name, lower(p_brand) AS type_key FROM part WHERE lower(p_brand) IN (SELECT p_name FROM part) GROUP BY ALL UNION ALL SELECT DISTINCT p_name, list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' + ') FROM part")
+def data_quality_name_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return reports.names_that_are_types(names, _types(spark, sf_dir)).select("name", "type_key")
+
+
+@query("SELECT tail, count(*) AS n FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 2) AS tail FROM part WHERE split_part(p_name, ' ', 1) IN ('red', 'blue')) GROUP BY 1 HAVING count(*) >= 2")
+def sqn_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = spark.createDataFrame([("red",), ("blue",)], "type_text string")
+    return reports.sqn_tails(_t(spark, sf_dir, "part").select(F.col("p_name").alias("sqn")).distinct(), types, 2)
+
+
+# -- terms (Russian, on a small lexicon)
+
+LEXICON = {
+    "йогуртный": "йогурт", "рыбе": "рыба", "рыбы": "рыба", "конфеты": "конфета", "шоколаде": "шоколад", "шоколадный": "шоколад", "горьком": "горький",
+    "молочный": "молоко", "тушеная": "тушёный", "молоток": "молоток",
+}
+_TERMS = [(0, "приправа лимонная к рыбе"), (1, "конфеты в гор шок"), (2, "гор шок мол продукт"), (3, "говядина.туш"), (4, "мол-шок")]
+_RESOLVED = [
+    (0, "приправа", "simple", "приправа", "ok"), (0, "лимонная", "simple", "лимонная", "ok"), (0, "к рыбе", "with_preposition", "рыба", "ok"),
+    (1, "конфеты", "simple", "конфета", "ok"), (1, "в гор", "with_preposition", "горький", "ok"), (1, "в шок", "with_preposition", "шоколад", "ok"),
+    (2, "гор", "context", "горький", "ok"), (2, "шок", "context", "шоколад", "ok"), (2, "мол", "context", "молоко", "ok"), (2, "продукт", "simple", "продукт", "ok"),
+    (3, "говядина.туш", "compound", "говядина тушёный", "ok"), (4, "мол-шок", "compound", None, "needs_context"),
+]
+
+
+@query(f"SELECT * FROM {_values(_RESOLVED, 'id', 'term', 'kind', 'main_form', 'status')}")
+def context_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_TERMS, "id int, sqn string")
+    found = resolved_terms(F.col("sqn"), F.array().cast("array<string>"), Terms(LEXICON))
+    return rows.select("id", F.explode(found).alias("r")).select("id", "r.term", "r.kind", "r.main_form", "r.status")
+
+
+_TUPLES = [("приправа",), ("лимонная + приправа",), ("приправа + рыба",), ("лимонная + приправа + рыба",)]
+
+
+@query(f"SELECT type_key, 2 AS n FROM {_values(_TUPLES, 'type_key')}")
+def type_tuples_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with synonymous prepositions have the same types."""
+    terms = Terms(LEXICON)
+    rows = spark.createDataFrame([("приправа лимонная к рыбе",), ("приправа лимонная для рыбы",)], "sqn string")
+    found = rows.select("sqn", F.explode(type_tuples(F.col("sqn"), F.array().cast("array<string>"), terms)).alias("one"))
+    return found.select("sqn", text.type_key(main_forms(F.col("one"), terms)).alias("type_key")).distinct().groupBy("type_key").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('котик', 'кошка'), ('кот', 'кошка'), ('кошка', 'кошка'), ('дом', 'дом')) t(word, lemma)")
+def lemma_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.functions.morphology import lemma_table
+
+    lines = spark.createDataFrame([("котик~same:кот # a chain",), ("кот~noun:кошка|котофей",), ("дом",), ("# comment",)], "value string")
+    return lemma_table(files.word_forms(lines)).where("word <> 'котофей'")
+
+
+# -- search
+
+_BM25 = """
+w AS (SELECT doc_id, unnest({words}) AS term FROM documents),
+i AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len FROM l),
+f AS (SELECT term, count(*) AS df FROM i GROUP BY 1)
+""".format(words=_WORDS.format("text"))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY ALL")
+def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.text_postings(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
+
+
+@query(
+    f"""WITH {_BM25} SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
+    FROM i JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN s WHERE term IN ('the', 'nicht', 'pathetic') GROUP BY 1"""
+)
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.text_postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    asked = spark.createDataFrame([(0, "text", t, 1.0) for t in ("the", "nicht", "pathetic")], "query_id int, field string, term string, boost double")
+    return search.any_terms(index, asked).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    return search.postings(part, "p_partkey", {"types": F.array(words[0], words[1], text.type_key(words)), "pfqn": words, "brand": F.array(F.lower("p_brand"))})
+
+
+@query("SELECT p_partkey AS doc_id, -4::BIGINT AS variant, p_brand AS brand FROM part WHERE p_name = 'red ring'")
+def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = search.ProductQuery(types=(("red", 1), ("ring", 1), ("red + ring", 2), ("red + unicorn", 2)), attributes=(("brand", "brand#3"),), words=("red", "ring"))
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand"))
+    return search.find_products(_parts_index(spark, sf_dir), asked).join(part, "doc_id").select("doc_id", F.col("variant").cast("long").alias("variant"), "brand")
+
+
+@query("SELECT p_partkey AS doc_id, -1::BIGINT AS variant FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'blue')")
+def product_search_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = search.ProductQuery(types=(("red", 1), ("blue", 1)))
+    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"))
+
+
+@query("SELECT p_partkey AS doc_id, 2::BIGINT AS variant FROM part WHERE (split_part(p_name, ' ', 1) LIKE 're%' OR split_part(p_name, ' ', 2) LIKE 're%') AND (split_part(p_name, ' ', 1) LIKE 'ri%' OR split_part(p_name, ' ', 2) LIKE 'ri%')")
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = search.ProductQuery(words=("re", "ri"))
+    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'unicorn' ELSE 'red,unicorn' END AS missing FROM part")
+def not_matched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.array(F.lit("red"), F.lit("unicorn"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(search.not_matched(asked, F.split("p_name", " ")), ",").alias("missing"))
+
+
+# -- files and pages
+
+
+@query("SELECT p_partkey::VARCHAR AS raw_id, p_name AS sqn, p_brand AS brand, p_size % 2 = 0 AS brand_detected, list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', '|') AS tags FROM part")
+def meta_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    none = F.array().cast("array<string>")
+    rows = part.select(
+        F.col("p_partkey").cast("string").alias("raw_id"), F.col("p_name").alias("sqn"), F.col("p_brand").alias("brand"), (F.col("p_size") % 2 == 0).alias("brand_detected"),
+        F.lit(None).cast("string").alias("product_manufacturer"), none.alias("weight"), none.alias("fat"), none.alias("pack"), F.col("p_name").alias("pfqn"),
+        F.split("p_name", " ").alias("tags"), F.array(F.split("p_name", " ")).alias("types"),
+    )
+    path = shared_path(spark, "meta")
+    files.write_meta_products(rows, path)
+    back = files.meta_products(spark, path)
+    return back.select("raw_id", "sqn", "brand", "brand_detected", F.array_join("tags", "|").alias("tags"))
+
+
+_GRAPH = """{ // types
+"красный": ["3", "contains красный + мяч"],
+"красный + мяч": ["1/2", "subset_of красный", "similar[0.90]~ красный + меч"], /* soft */
+"красный + меч": ["1", "similar[0.90]~ красный + мяч"]}"""
+
+
+@query("SELECT * FROM (VALUES ('красный', '3;contains красный + мяч'), ('красный + мяч', '1/2;similar[0.90]~ красный + меч;subset_of красный'), ('красный + меч', '1;similar[0.90]~ красный + мяч')) t(type_text, entries)")
+def type_graph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types, edges = files.type_graph(spark, _GRAPH)
+    return files.graph_lines(types, edges).select("type_text", F.array_join("entries", ";").alias("entries"))
+
+
+@query()
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_t(spark, sf_dir, "pages"), html.links)
+
+
+@query()
+def html_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_t(spark, sf_dir, "pages"), html.categories)
+
+
+@query()
+def html_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_t(spark, sf_dir, "pages"), html.key_values)
+
+
+# -- streams
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS n FROM events) WHERE n = 1")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"stream_dedup_{uuid.uuid4().hex}"
+    rows = streams.first_wins(streams.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts").select("event_id", "user_id")
+    return streams.drained(rows, name, shared_path(spark, name))
