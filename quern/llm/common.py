@@ -11,16 +11,13 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.paths import shared_path, ship
+
 #: Rows of a table that may be broadcast; beyond it, callers take a salted join.
 BROADCAST_ROWS = 100_000
 #: Rows of an Arrow batch: bounds what a Python worker holds when texts are long.
@@ -31,33 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ship(spark: SparkSession) -> None:
-    """Send the package to the workers, unless they find it where the driver does."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in (os.getcwd(), *map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))):
-        return
-    context = spark.sparkContext
-    if not getattr(context, "_quern_shipped", False):
-        target = Path(tempfile.mkdtemp()) / "quern.zip"  # on the driver; Spark hands it out
-        with zipfile.ZipFile(target, "w") as out:
-            for path in sorted((root / "quern").rglob("*.py")):
-                out.write(path, path.relative_to(root))
-        context.addPyFile(str(target))
-        context._quern_shipped = True
-
-
 def prepare(spark: SparkSession) -> None:
     """What the Python stages rely on: the package at the workers, and small Arrow batches."""
-    _ship(spark)
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
 @contextmanager
 def _dropping_shuffles(spark: SparkSession):
     """Shuffle files of a query that ends in a written table are of no use after it: have Spark remove them."""
@@ -75,7 +52,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+        self.root = shared_path(spark, name)
         self._n = 0
 
     def put(self, df: DataFrame, label: str = "t") -> DataFrame:
