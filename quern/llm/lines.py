@@ -7,7 +7,7 @@ places that the multi-match-aware bounds leave.  Bit arrays of the indexed keys
 another line.  Lines that meet under a key are a bucket; a bucket is verified by a banded bit-parallel edit distance,
 thousands of pairs a step, until all its lines are reached or ruled out.  Large buckets are cut in tiles.
 
-Equal lines are merged first.  Lines within reach of one another, directly or over others, are one class; the first
+Lines within reach of one another, directly or over others, are one class; the first
 line of a class (least id, then line number) stays and its others go.
 
 Edge cases: blank lines always stay and are no members; lines of fewer than ``least_chars`` code points match only if
@@ -17,11 +17,11 @@ one document, so that neither is earlier at equal line numbers; an empty table g
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ _LAST_ID = 2**63 - 1
 #: Code points of lines that are hashed at once; a longer line is hashed alone.
 RUN_CHARS = 500_000
 #: Lines of a bucket that are compared at a time.
-BUCKET = 512
+BUCKET = 1024
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -148,39 +148,69 @@ def _band(first: list[str], second: list[str], most: int) -> np.ndarray:
     return (np.abs(apart) <= most) & (score <= most)
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often code points of each of 64 classes stand in each text."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for k, text in enumerate(texts):
+        out[k] = np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+    return out
+
+
 def _stars(names: list[bytes], texts: list[str], most: int) -> list[tuple[bytes, bytes]]:
     """A star for each set of lines that edits connect.  Each line reached is compared with those not yet reached, so
-    that a bucket of alike lines takes one round, not all pairs."""
-    out, left = [], list(range(len(names)))
+    that a bucket of alike lines takes one round, not all pairs.  An edit changes the counts of letters by two at most,
+    which rules out most lines before any edit distance."""
+    out, left, letters = [], np.arange(len(names)), _letters(texts)
     while len(left) > 1:
-        reached, left = [left[0]], left[1:]
-        center, at = reached[0], 0
-        while at < len(reached) and left:
-            near = within([texts[reached[at]]] * len(left), [texts[k] for k in left], most)
-            fresh = [k for k, x in zip(left, near, strict=True) if x]
-            out += [(names[center], names[k]) for k in fresh]
-            reached += fresh
-            left = [k for k, x in zip(left, near, strict=True) if not x]
+        center, at = int(left[0]), 0
+        reached, left = [center], left[1:]
+        while at < len(reached) and len(left):
+            close = np.flatnonzero(np.abs(letters[left] - letters[reached[at]]).sum(axis=1) <= 2 * most)
+            near = np.zeros(len(left), bool)
+            if len(close):
+                near[close] = within([texts[reached[at]]] * len(close), [texts[k] for k in left[close]], most)
+            out += [(names[center], names[k]) for k in left[near]]
+            reached += left[near].tolist()
+            left = left[~near]
             at += 1
     return out
 
 
-def _line_links(lines: DataFrame, most: int, least: int, shelf: Shelf) -> DataFrame:
-    """(line_id, h, line) to links (a, b) of line ids that connect all lines within ``most`` edits."""
-    spark = lines.sparkSession
-    cell_bits = min(bits_of_power(MOST_CELLS), max(UNIT_BITS, bits_of_power(8 * lines.count() * (most + 1))))
+def _split(text: str) -> Iterator[tuple[int, str]]:
+    """(number, line) of the lines that aren't blank."""
+    return ((no, line) for no, line in enumerate(text.split("\n")) if line.strip(" "))
+
+
+def _line_id(line: str) -> bytes:
+    return hashlib.md5(line.encode(), usedforsecurity=False).digest()
+
+
+def _short(ids: list[bytes]) -> np.ndarray:
+    """The first half of each line id, as a number."""
+    return np.frombuffer(b"".join(x[:8] for x in ids), np.int64)
+
+
+def _distinct_lines(batch: pa.RecordBatch) -> list[str]:
+    return list(dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _split(text)))
+
+
+def _line_links(texts: DataFrame, n_lines: int, most: int, least: int, shelf: Shelf) -> DataFrame:
+    """Texts to links (a, b) of line ids that connect all lines within ``most`` edits."""
+    spark = texts.sparkSession
+    cell_bits = min(bits_of_power(MOST_CELLS), max(UNIT_BITS, bits_of_power(8 * n_lines * (most + 1))))
 
     def indexed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, run in _runs(batch.column("line").to_pylist()):
+        for _, run in _runs(_distinct_lines(batch)):
             keys = np.concatenate([k for _, k in run.indexed(most, least)])
             yield keys, _mixed(keys)
 
-    some, several = map(spark.sparkContext.broadcast, _cells(lines.select("line"), indexed, cell_bits, (1, 2), shelf))
+    some, several = map(spark.sparkContext.broadcast, _cells(texts, indexed, cell_bits, (1, 2), shelf))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("h").to_numpy()
-            for begin, run in _runs(batch.column("line").to_pylist()):
+            lines = _distinct_lines(batch)
+            names = _short([_line_id(x) for x in lines])
+            for begin, run in _runs(lines):
                 out = [(who, keys, False) for who, keys in run.indexed(most, least)]
                 for who, keys, own in run.probes(most, least):
                     met = _in_cells((several if own else some).value, keys, _mixed(keys), cell_bits)
@@ -189,8 +219,8 @@ def _line_links(lines: DataFrame, most: int, least: int, shelf: Shelf) -> DataFr
                 probe = np.repeat([x[2] for x in out], [len(x[0]) for x in out])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[begin + who]), pa.array(probe)], ["key", "h", "probe"])
 
-    rows = shelf.put(lines.select("h", "line").mapInArrow(emit, "key long, h long, probe boolean"), "segments")
-    # buckets in which a line that probes meets another
+    rows = shelf.put(texts.mapInArrow(emit, "key long, h long, probe boolean"), "segments")
+    # buckets in which a line that probes meets another; a line counts as often as batches have it
     buckets = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("probe").alias("met"), F.count("*").alias("n")).where("met AND x <> y")
     met = rows.select("key", "h").join(buckets.select("key", F.ceil(F.col("n") / BUCKET).alias("parts")), "key")
     members = shelf.put(met.distinct(), "members")
@@ -203,20 +233,23 @@ def _line_links(lines: DataFrame, most: int, least: int, shelf: Shelf) -> DataFr
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = _mixed(batch.column("h").to_numpy().view(np.uint64))
-            yield batch.take(pa.array(_in_cells(wanted.value, h, _mixed(h), cell_bits)))
-
-    texts = shelf.put(lines.select("h", "line_id", "line").mapInArrow(fetch, "h long, line_id binary, line string"), "texts")
-    dealt = members.join(texts, "h").withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
+            lines = _distinct_lines(batch)
+            ids = [_line_id(x) for x in lines]
+            h = _mixed(_short(ids).view(np.uint64))
+            here = _in_cells(wanted.value, h, _mixed(h), cell_bits).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(_short([ids[k] for k in here])), pa.array([ids[k] for k in here], pa.binary()), pa.array([lines[k] for k in here], pa.string())], ["h", "line_id", "line"])
+
+    fetched = shelf.put(texts.mapInArrow(fetch, "h long, line_id binary, line string").dropDuplicates(["line_id"]), "texts")
+    dealt = members.join(fetched, "h").withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
     tiles = shelf.put(dealt.groupBy("key", "parts", "part").agg(F.collect_list("line_id").alias("ids"), F.collect_list("line").alias("texts")), "tiles")
     # a bucket of several tiles is compared tile by tile
-    alone = tiles.where("parts = 1").select("ids", "texts")
+    alone = tiles.select("ids", "texts")
     left, right = (tiles.where("parts > 1").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("part", "ids", "texts")]) for k in "ab")
     paired = left.join(right, "key").where("part_a < part_b").select(F.concat("ids_a", "ids_b").alias("ids"), F.concat("texts_a", "texts_b").alias("texts"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for ids, texts in zip(batch.column("ids").to_pylist(), batch.column("texts").to_pylist(), strict=True) for x in _stars(ids, texts, most)]
+            found = [x for ids, some in zip(batch.column("ids"), batch.column("texts"), strict=True) for x in _stars(ids.as_py(), some.as_py(), most)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return shelf.put(alone.unionByName(paired).mapInArrow(verify, "a binary, b binary").distinct(), "links")
@@ -225,42 +258,69 @@ def _line_links(lines: DataFrame, most: int, least: int, shelf: Shelf) -> DataFr
 def dedup(docs: DataFrame, most: int = 2, least_chars: int = 12, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``id, n_lines, n_removed`` and ``kept`` (the kept lines joined by line feeds); with ``carry`` the input row comes
     first, as struct ``row``."""
-    prepare(docs.sparkSession)
-    shelf = Shelf(docs.sparkSession, "lines")
+    spark = docs.sparkSession
+    prepare(spark)
+    shelf = Shelf(spark, "lines")
     key = F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("doc")
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    seen = docs.select(key).agg(F.count("*"), F.countDistinct("doc")).first()
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    seen = docs.select(key, text).agg(F.count("*"), F.countDistinct("doc"), F.sum(n_lines)).first()
     mark = F.lit(0).cast("long") if seen[0] == seen[1] else F.xxhash64("text")
+    texts = docs.select(key, text).withColumn("mark", mark)
 
-    exploded = docs.select(key, text).withColumn("mark", mark).select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
-    placed = exploded.withColumn("line_id", F.unhex(F.md5("line")))
-    counted = exploded.groupBy("line").agg(F.count("*").alias("n"))
-    lines = shelf.put(counted.select("line", "n", F.unhex(F.md5("line")).alias("line_id"), F.xxhash64("line").alias("h")), "lines")
-    roots = components(_line_links(lines, most, least_chars, shelf), shelf).select(F.col("node").alias("line_id"), F.col("root").alias("class"))
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, no, _line_id(line)) for k, whole in enumerate(batch.column("text").to_pylist()) for no, line in _split(whole)]
+            at = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("mark").take(at), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], ["doc", "mark", "no", "line_id"])
+
+    placed = shelf.put(texts.mapInArrow(occurrences, "doc long, mark long, no int, line_id binary"), "occurrences")
+    links = _line_links(texts.select("text"), int(seen[2] or 0), most, least_chars, shelf)
+    roots = components(links, shelf).select(F.col("node").alias("line_id"), F.col("root").alias("class"))
     # lines that occur again or have links; all others are out of it
-    again = lines.where("n > 1").select("line_id", F.col("line_id").alias("class"))
-    members = shelf.put(roots.unionByName(again.join(roots.select("line_id"), "line_id", "left_anti")), "classes")
-    there = shelf.put(placed.select("doc", "mark", "no", "line_id").join(members, "line_id"), "there")
+    again = placed.groupBy("line_id").agg(F.count("*").alias("n")).where("n > 1").select("line_id", F.col("line_id").alias("class"))
+    classes = shelf.put(roots.unionByName(again.join(roots.select("line_id"), "line_id", "left_anti")), "classes")
+    there = shelf.put(placed.join(classes, "line_id"), "there")
     place = F.struct("doc", "no")
     first = shelf.put(there.groupBy("class").agg(F.min(place).alias("first")), "first")
     gone = there.join(first, "class").where(place > F.col("first"))
     marks = shelf.put(gone.groupBy("doc", "mark").agg(F.collect_list("no").alias("gone")), "gone")
 
+    def row_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = _mixed(_mixed(batch.column("doc").to_numpy().view(np.uint64)) ^ batch.column("mark").to_numpy().view(np.uint64))
+        return h, _mixed(h)
+
+    # a bit array of the documents that lose lines: the texts of all others aren't dealt out
+    bits = min(bits_of_power(MOST_CELLS), max(UNIT_BITS, bits_of_power(8 * int(seen[0]))))
+    losing = spark.sparkContext.broadcast(_cells(marks.select("doc", "mark"), lambda batch: iter([row_hashes(batch)]), bits, (1,), shelf)[0])
     rows = docs.select(*([packed(docs)] if carry else []), F.col(id_col).alias("id"), key, text).withColumn("mark", mark)
-    kept = rows.join(marks, ["doc", "mark"], "left").select(*(["row"] if carry else []), "id", "text", "gone")
-    front = kept.schema.fields[:-2]
+    front = rows.schema.fields[:-3]
     names = [f.name for f in front]
     schema = T.StructType([*front, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+        out = []
+        for whole, off in zip(batch.column("text").to_pylist(), gone, strict=True):
+            parts, off = whole.split("\n"), set(off or ())
+            out.append((len(parts), len(off), "\n".join(x for k, x in enumerate(parts) if k not in off)))
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in names), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
+            [*names, "n_lines", "n_removed", "kept"],
+        )
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for whole, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                parts, off = whole.split("\n"), set(gone or ())
-                out.append((len(parts), len(off), "\n".join(x for k, x in enumerate(parts) if k not in off)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
-                [*names, "n_lines", "n_removed", "kept"],
-            )
-
-    return kept.mapInArrow(cut, schema)
+            out = np.ones(batch.num_rows, bool)
+            out[_in_cells(losing.value, *row_hashes(batch), bits)] = False
+            yield cut(batch.filter(pa.array(out)), [None] * int(out.sum()))
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(_in_cells(losing.value, *row_hashes(batch), bits)))
+
+    def cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield cut(batch, batch.column("gone").to_pylist())
+
+    changed = rows.mapInArrow(touched, rows.schema).join(marks, ["doc", "mark"], "left").mapInArrow(cut_marked, schema)
+    return rows.mapInArrow(untouched, schema).unionByName(changed)

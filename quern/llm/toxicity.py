@@ -190,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for k, r in enumerate(rows):
             fires[k, r] = True
         lexicon = fires[:, voters]
-        target = LabelModel(np.column_stack([lexicon, ~lexicon.any(1), given > 0, given == 0]), given, free=3).posterior
+        fires_any = lexicon.any(1)
+        # neither the label nor the lexicon is the truth to begin with: where they differ, EM decides
+        target = LabelModel(np.column_stack([lexicon, ~fires_any, given > 0, given == 0]), (given + fires_any) / 2, free=3).posterior
     weights, intercept = logistic(rows, target, len(ranked))
     return {t: float(weights[k]) for t, k in names.items()}, intercept
 
