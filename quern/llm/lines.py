@@ -36,6 +36,8 @@ _LAST_ID = 2**63 - 1
 RUN_CHARS = 500_000
 #: Lines of a bucket that are compared at a time.
 BUCKET = 1024
+#: Lines of a bucket whose pairs are all listed.
+SMALL = 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -156,11 +158,10 @@ def _letters(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _stars(names: list[bytes], texts: list[str], most: int) -> list[tuple[bytes, bytes]]:
-    """A star for each set of lines that edits connect.  Each line reached is compared with those not yet reached, so
-    that a bucket of alike lines takes one round, not all pairs.  An edit changes the counts of letters by two at most,
-    which rules out most lines before any edit distance."""
-    out, left, letters = [], np.arange(len(names)), _letters(texts)
+def _stars(names: list[bytes], texts: list[str], letters: np.ndarray, most: int) -> list[tuple[bytes, bytes]]:
+    """A star for each set of lines of a large bucket that edits connect.  Each line reached is compared with those not
+    yet reached, so that a bucket of alike lines takes one round, not all pairs."""
+    out, left = [], np.arange(len(names))
     while len(left) > 1:
         center, at = int(left[0]), 0
         reached, left = [center], left[1:]
@@ -176,6 +177,23 @@ def _stars(names: list[bytes], texts: list[str], most: int) -> list[tuple[bytes,
     return out
 
 
+def _connected(buckets: Iterator[tuple[list[bytes], list[str]]], most: int) -> list[tuple[bytes, bytes]]:
+    """Links that connect the lines of each bucket.  An edit changes the counts of letters by two at most, which rules
+    out most pairs before any edit distance; what is left of small buckets is verified together."""
+    out, pairs = [], []
+    for names, texts in buckets:
+        letters = _letters(texts)
+        if len(names) > SMALL:
+            out += _stars(names, texts, letters, most)
+            continue
+        near = np.abs(letters[:, None] - letters[None]).sum(axis=2) <= 2 * most
+        pairs += [(names[i], names[j], texts[i], texts[j]) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    if pairs:
+        near = within([p[2] for p in pairs], [p[3] for p in pairs], most)
+        out += [p[:2] for p, x in zip(pairs, near, strict=True) if x]
+    return out
+
+
 def _split(text: str) -> Iterator[tuple[int, str]]:
     """(number, line) of the lines that aren't blank."""
     return ((no, line) for no, line in enumerate(text.split("\n")) if line.strip(" "))
@@ -249,7 +267,7 @@ def _line_links(texts: DataFrame, n_lines: int, most: int, least: int, shelf: Sh
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for ids, some in zip(batch.column("ids"), batch.column("texts"), strict=True) for x in _stars(ids.as_py(), some.as_py(), most)]
+            found = _connected(((ids.as_py(), some.as_py()) for ids, some in zip(batch.column("ids"), batch.column("texts"), strict=True)), most)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return shelf.put(alone.unionByName(paired).mapInArrow(verify, "a binary, b binary").distinct(), "links")
@@ -322,5 +340,6 @@ def dedup(docs: DataFrame, most: int = 2, least_chars: int = 12, id_col: str = "
         for batch in batches:
             yield cut(batch, batch.column("gone").to_pylist())
 
-    changed = rows.mapInArrow(touched, rows.schema).join(marks, ["doc", "mark"], "left").mapInArrow(cut_marked, schema)
+    # the lists of lines have no size bound: never broadcast, and one plan at every size
+    changed = rows.mapInArrow(touched, rows.schema).join(marks.hint("merge"), ["doc", "mark"], "left").mapInArrow(cut_marked, schema)
     return rows.mapInArrow(untouched, schema).unionByName(changed)
