@@ -82,7 +82,7 @@ def legacy(name: Column) -> Column:
     """A struct of ' + '-joined weight, fat and pack, and the short name that remains."""
 
     def taken(text: Column, pattern: str) -> Column:
-        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.trim), " + ")
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.trim(x)), " + ")
 
     def left(text: Column, pattern: str) -> Column:
         return F.regexp_replace(text, pattern, "$1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters that separate query tokens, and those that label cleanup removes.
@@ -88,3 +88,10 @@ def starts_with_any(c: Column, prefix: Column) -> Column:
 def blank_to_null(c: Column) -> Column:
     """Catalogue files write absent values as '' or 'None'."""
     return F.when(c.isin("", "None"), None).otherwise(c)
+
+
+def checked(df: DataFrame, column: str, wrong: Column, message: Column | str) -> DataFrame:
+    """``df`` as it is, but reading ``column`` of a row that is ``wrong`` raises.  The check is part of a projection:
+    as a filter, the optimizer could infer it for rows of other tables."""
+    text = message if isinstance(message, Column) else F.lit(message)
+    return df.withColumn(column, F.when(wrong, F.raise_error(text).cast(df.schema[column].dataType)).otherwise(F.col(column)))

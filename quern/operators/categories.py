@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import checked
+
 ROOT_ID = "-1"
 MAX_DEPTH = 64
 
@@ -26,7 +28,7 @@ def closure(tree: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
         paths = paths.unionByName(longer)
         reach *= 2
     looped = (F.col("depth") > 0) & (F.col("id") == F.col("ancestor"))
-    return paths.where(F.when(looped, F.raise_error(F.lit("category cycle")).isNull()).otherwise(F.lit(True)))
+    return checked(paths, "depth", looped, "category cycle")
 
 
 def roots(tree: DataFrame, root: str | int = ROOT_ID, parent_col: str = "parent_id", order: str = "id") -> DataFrame:
@@ -64,8 +66,8 @@ def tags(categories: DataFrame, titles: DataFrame, accept: list | None = None, i
 def by_title(tree: DataFrame, title: str) -> DataFrame:
     """The category of a title, whatever its case; more than one raises."""
     found = tree.where(F.lower("title") == title.lower())
-    one = found.groupBy().agg(F.count("*").alias("n")).where(F.when(F.col("n") > 1, F.raise_error(F.lit("title is not unique")).isNull()).otherwise(F.lit(True)))
-    return found.crossJoin(F.broadcast(one)).drop("n")  # one row
+    several = found.withColumn("_n", F.count("*").over(Window.partitionBy(F.lower("title"))))
+    return checked(several, "title", F.col("_n") > 1, "title is not unique").drop("_n")
 
 
 def under_stopped(tree: DataFrame, paths: DataFrame, stopped: list[str]) -> DataFrame:

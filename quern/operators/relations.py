@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.similarity import type_similarity_udf
+from quern.functions.text import checked
 
 INVERSE = {"contains": "subset_of", "subset_of": "contains"}
 SIMILAR_FROM = 0.85
@@ -32,9 +33,8 @@ def resolved(edges: DataFrame) -> DataFrame:
     pair = Window.partitionBy("a", "b")
     first = pair.orderBy(F.col("soft"), F.col("attr").desc_nulls_last(), F.col("rel"))
     hard = F.size(F.collect_set(F.when(~F.col("soft"), F.col("rel"))).over(pair))
-    checked = edges.withColumn("_hard", hard).withColumn("_n", F.row_number().over(first))
-    clash = F.when(F.col("_hard") > 1, F.raise_error(F.concat(F.lit("conflicting relations: "), F.col("a"), F.lit(" / "), F.col("b"))).isNull()).otherwise(F.lit(True))
-    return checked.where((F.col("_n") == 1) & clash).drop("_hard", "_n")
+    one = edges.withColumn("_hard", hard).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return checked(one, "rel", F.col("_hard") > 1, F.concat(F.lit("conflicting relations: "), F.col("a"), F.lit(" / "), F.col("b"))).drop("_hard", "_n")
 
 
 def without(edges: DataFrame, pairs: DataFrame) -> DataFrame:

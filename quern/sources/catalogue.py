@@ -107,7 +107,7 @@ def word_forms(lines: DataFrame) -> DataFrame:
 
     def part(name: str) -> Column:
         found = F.get(F.filter("parts", lambda p: F.startswith(F.trim(p), F.lit(f"{name}:"))), 0)
-        return F.filter(F.transform(F.split(F.regexp_replace(F.trim(found), f"^{name}:", ""), "[|]"), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(F.regexp_replace(F.trim(found), f"^{name}:", ""), "[|]"), lambda x: F.trim(x)), lambda x: x != "")
 
     none = F.array().cast("array<string>")
     kept = lines.select(text.alias("t")).where("t <> ''").withColumn("parts", parts)
@@ -145,8 +145,8 @@ def piped_dictionary(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "[|]")
     one = lines.select(F.lower(F.trim(F.get(parts, 0))).alias("word"), F.transform(F.regexp_extract_all("value", F.lit(r"(?U)==\s*(\w[\w-]*)"), F.lit(1)), F.lower).alias("refs")).where("word <> ''")
     pairs = one.select("word", F.explode_outer("refs").alias("ref"))
-    short = pairs.groupBy(F.substring("word", 1, 3).alias("head"), "ref").agg(F.min_by("word", F.struct(F.length("word"), "word")).alias("base"))
-    joined = pairs.join(short, (F.substring("word", 1, 3) == short["head"]) & pairs["ref"].eqNullSafe(short["ref"])).select("word", pairs["ref"], "base")
+    short = pairs.groupBy(F.substring("word", 1, 3).alias("head"), F.col("ref").alias("to")).agg(F.min_by("word", F.struct(F.length("word"), "word")).alias("base"))
+    joined = pairs.join(short, (F.substring("word", 1, 3) == F.col("head")) & F.col("ref").eqNullSafe(F.col("to"))).select("word", "ref", "base")
     none = F.array().cast("array<string>")
     same = F.array_sort(F.array_union(F.collect_set(F.when(F.col("base") != F.col("word"), F.col("base"))), F.collect_set("ref")))
     return joined.groupBy("word").agg(same.alias("same")).select("word", none.alias("noun_base"), "same", none.alias("pet"), F.lit("piped").alias("source"))
