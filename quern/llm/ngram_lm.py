@@ -5,7 +5,7 @@ the logarithms are summed per document.  Rows are packed: documents are dealt in
 n-grams that a block has in one hash partition, sorted, with their occurrences.  Each hash partition merges the
 records of its n-grams to its part of the count table and joins it to them: it answers each record with the totals in
 the record's order.  The answers meet the block's documents again, where each position is scored.  An n-gram takes
-part once a block, so a word that every document has is no heavier than any other, and 8 bytes an n-gram are moved
+part once a block, so a word that every document has is no heavier than any other, and 7 bytes an n-gram are moved
 out and fewer back.
 
 The score of a word w after v is c(v w) / c(v), or, if no other document has "v w", 0.4 c(w) / N; the first word of a
@@ -48,6 +48,17 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _seven(hashes: np.ndarray) -> bytes:
+    """The low seven bytes of each hash; the partition stands for the eighth."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _eight(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_words, n_seen`` (bigrams that other documents have) and ``log2_score`` (mean over the words)."""
     spark = docs.sparkSession
@@ -69,13 +80,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for p in range(n_parts):
                 a, b = cuts[p], cuts[p + 1]
                 if b > a:
-                    for k, v in zip(out, (p, n, block, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()), strict=True):
+                    for k, v in zip(out, (p, n, block, _seven(hashes[a:b]), counts[a:b].astype(np.uint32).tobytes()), strict=True):
                         out[k].append(v)
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     def total(table: pa.Table) -> pa.Table:
-        held = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        held = [_eight(x) for x in table.column("grams").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
         names, where = np.unique(np.concatenate(held), return_inverse=True)
         totals = np.bincount(where, counts, minlength=len(names)).astype(np.int64)[where]
