@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Shelf, prepare
@@ -139,6 +139,15 @@ OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprin
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 #: Rows of a range of ids, about: a range is sorted and read in order by one task.
 RANGE_ROWS = 4_000
+#: Ranges at most: beyond it they hold more rows.
+MOST_RANGES = 5_000
+
+
+def _apart(spark: SparkSession, parts: int) -> list[int]:
+    """For each range a number that hash partitioning puts into a partition of its own."""
+    tried = spark.range(24 * parts + 64).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"))
+    found = dict(tried.groupBy("p").agg(F.min("v")).collect())  # one row a range
+    return [found.get(p, p) for p in range(parts)]
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,14 +161,20 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     shelf = Shelf(spark, "fuzzy")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = shelf.put(rows.select("id", F.xxhash64("text").alias("tie")), "keys")
-    n = keys.count()
-    parts = max(1, -(-n // RANGE_ROWS))
-    bounds = sorted({x for x in keys.approxQuantile("id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    # range 0 has the largest ids; a null id comes last of all
-    cuts = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
+    parts = min(MOST_RANGES, max(1, -(-keys.count() // RANGE_ROWS)))
+    bounds = sorted({int(x) for x in keys.approxQuantile("id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    parts = len(bounds) + 1
+    step = max(1, int(len(bounds) ** 0.5))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(v).cast("long") for v in values])
 
     def part_of(frame: DataFrame) -> DataFrame:
-        passed = F.size(F.filter(cuts, lambda b: b < F.col("id"))) if bounds else F.lit(0)
+        """Range 0 has the largest ids; a null id comes last of all.  Each step-th bound first, then those between."""
+        if not bounds:
+            return frame.withColumn("part", F.lit(0))
+        coarse = F.size(F.filter(longs(bounds[step - 1 :: step]), lambda b: b < F.col("id"))) * step
+        passed = coarse + F.size(F.filter(F.slice(longs(bounds), coarse + 1, F.lit(step)), lambda b: b < F.col("id")))
         return frame.withColumn("part", F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.lit(len(bounds)) - passed).cast("int"))
 
     order = [F.col("id").desc_nulls_last(), F.col("tie")]
@@ -175,7 +190,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = part_of(marked).withColumn("tail", F.lit(0))
     # repeated rows of a head are alike: one of them is enough
     tails = marked.join(F.broadcast(sent), marked["id"].eqNullSafe(sent["id"]) & (marked["tie"] == sent["tie"])).select(marked["id"], "text", marked["tie"], F.col("at.part").alias("part"), F.col("at.tail").alias("tail"))
-    dealt = own.unionByName(tails.dropDuplicates(["part"])).repartition(max(1, min(len(heads), 20_000)), "part").sortWithinPartitions("part", "tail", *order)
+    slots = F.array(*[F.lit(v) for v in _apart(spark, parts)])
+    both = own.unionByName(tails.dropDuplicates(["part"])).withColumn("slot", F.get(slots, F.col("part")))
+    dealt = both.repartition(parts, "slot").sortWithinPartitions("part", "tail", *order)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
