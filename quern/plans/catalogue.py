@@ -482,6 +482,44 @@ def data_quality_name_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.names_that_are_types(names, _types(spark, sf_dir)).select("name", "type_key")
 
 
+@query("SELECT p_type AS lemma, count(DISTINCT p_name) AS n FROM part GROUP BY 1")
+def lemma_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select(F.col("p_type").alias("lemma"), F.col("p_name").alias("word"), F.upper("p_name").alias("tag"))
+    return reports.lemma_statistics(rows).select("lemma", F.size("words").cast("long").alias("n"))
+
+
+@query(f"WITH {_TYPE_SQL} SELECT count(DISTINCT t) AS n_terms, count(DISTINCT t) + 1 AS next_id FROM (SELECT unnest(string_split(type_key, ' + ')) AS t FROM ty)")
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = files.term_dictionary(_types(spark, sf_dir).select(F.col("forms").alias("terms")))
+    return reports.dictionary_size(terms).select("n_terms", F.col("next_id").cast("long").alias("next_id"))
+
+
+@query("SELECT p_type AS term, string_agg(DISTINCT w, ' ' ORDER BY w) AS context FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
+def context_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select(F.col("p_type").alias("term"), F.split("p_name", " ").alias("context"))
+    return reports.context_log(rows).select("term", F.array_join("context", " ").alias("context"))
+
+
+@query("SELECT * FROM (VALUES ('мол', 'молоко', 3), ('молоко', 'молоко', 1), ('сыр', 'сыр', 2)) t(short, lemma, n)")
+def prefix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short words whose longer forms, all but one, share a main form."""
+    rows = [("мол", "мол"), ("молоко", "молоко"), ("молоком", "молоко"), ("молот", "молот"), ("сыр", "сыр"), ("сыра", "сыр"), ("сыром", "сыр"), ("кот", "кот")]
+    return reports.prefix_candidates(spark.createDataFrame(rows, "word string, lemma string")).select("short", "lemma", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT DISTINCT 'n' || n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3")
+def category_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = _t(spark, sf_dir, "nation").where("n_nationkey = 3").first()["n_name"]
+    return categories.by_title(_regions(spark, sf_dir), title.lower()).select("id")
+
+
+@query("SELECT p_partkey, 'unicorn' AS added, split_part(p_name, ' ', 2) AS removed FROM part")
+def changes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.split("p_name", " ")
+    found = dedup.changes(before, F.array(before[0], F.lit("unicorn")))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(found["added"], ",").alias("added"), F.array_join(found["removed"], ",").alias("removed"))
+
+
 @query("SELECT tail, count(*) AS n FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 2) AS tail FROM part WHERE split_part(p_name, ' ', 1) IN ('red', 'blue')) GROUP BY 1 HAVING count(*) >= 2")
 def sqn_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = spark.createDataFrame([("red",), ("blue",)], "type_text string")

@@ -420,3 +420,27 @@ def test_category_errors_raise(spark):
     assert categories.by_title(titles, "кофе").first()["id"] == "c"
     with pytest.raises(Exception, match="not unique"):
         categories.by_title(titles, "ЧАЙ").collect()
+
+
+def test_catalogue_search(spark):
+    from quern.plans.lookup import Catalogue
+
+    rows = [("Тест1 большой хвост 3,5% 10 шт 0,125 г", "тест1 хвост", "Бренд один", [], [["тест1", "тест2"]], ["0,125 г"], ["3,5%"], ["10 шт"]), ("Тест1 иной", "тест1 иной", None, [], [["тест1"]], [], [], [])]
+    docs = spark.createDataFrame(rows, "pfqn string, sqn string, brand string, tags array<string>, types array<array<string>>, weight array<string>, fat array<string>, pack array<string>")
+    registry = brands.registered(spark.createDataFrame([("Бренд один", "marketing", False, None, [], [], [])], "name string, type string, no_brand boolean, generic string, synonyms array<string>, manufacturers array<string>, linked array<string>"))
+    shop = Catalogue(docs, registry)
+    fields = {}
+    for r in shop.index.where(F.col("doc_id").startswith("Тест1 большой")).collect():
+        fields.setdefault(r["field"], set()).add(r["term"])
+    assert {k: v for k, v in fields.items() if k != "pfqn"} == {"types": {"тест1 + тест2"}, "tail": {"хвост"}, "brand": {"бренд один"}, "fat": {"3,5%"}, "pack": {"10 шт"}, "weight": {"0,125 г"}}
+    query = shop.from_name("бренд один тест1 5 кг")
+    assert ("brand", "бренд один") in query.attributes and ("weight", "5 кг") in query.attributes and ("тест1", 1) in query.types
+    found = shop.find_products("тест1 чудо")
+    assert [r["doc_id"] for r in found.rows.collect()] == ["Тест1 иной"] and found.size == 1 and found.not_matched == ("чудо",)
+    assert found.facet_counts("sqn").first()["value"] == "тест1 иной"
+    assert shop.find_brands("тест бренд один").rows.first()["not_matched"] == "тест"
+    assert shop.suggest("тест1") == '["Тест1 иной"]' and '"тест1"' in shop.summary("тест1")
+    own = shop.from_product({"sqn": "тест1 хвост", "types": [["тест2", "тест1"]], "fat": ["3,5%"], "brand": "Бренд один"})
+    assert own.types == (("тест1 + тест2", 2),) and own.attributes == (("fat", "3,5%"), ("brand", "бренд один")) and own.tail == ()
+    assert shop.from_short_name("тест1 хвост").words == ("тест1", "хвост")
+    assert shop.term_context("чай к рыбе", [" Тег "], [["а"]]) == ["чай", "к рыбе", "тег", "а"]
