@@ -4,7 +4,7 @@ A window is ``width`` consecutive words of one document.  Pass one hashes every
 sketch of two rows: each task sketches the windows it reads, and the partial sketches are merged by cell range on the
 executors.  A count only ever overestimates, so a window whose smaller count is 1 occurs once.  What is kept of the
 merged sketch is one bit a cell, "counted more than once".  Pass two hashes the windows again, and only those
-estimated to be repeated are grouped, exactly, by a 128-bit hash.  No repeated window is lost, however full the sketch
+estimated to be repeated are grouped, exactly, by a 96-bit hash.  No repeated window is lost, however full the sketch
 is: a fuller one lets more windows through to the exact grouping, and no more than that.
 
 The rows of the sketch grow with the text, to ``most_cells`` each, which bounds what is sent to the workers to a
@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
             yield windows(part, width)[:2]
 
     def key_hashes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield tuple(batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        yield batch.column("h1").to_numpy().view(np.uint64), batch.column("h2").to_numpy().view(np.uint32).astype(np.uint64) << np.uint64(32)
 
     several = spark.sparkContext.broadcast(_cells(texts.select("text"), text_hashes, cell_bits, (2,), shelf)[0])
 
@@ -233,13 +233,13 @@ def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
                     pick = (met & own) | (~own if more else False)
                     left, own = left[pick], own[pick]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (h1[left].view(np.int64), h2[left].view(np.int64), ids[begin + who[left]], marks[begin + who[left]], start[left].astype(np.int32), own)],
+                        [pa.array(x) for x in (h1[left].view(np.int64), (h2[left] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[begin + who[left]], marks[begin + who[left]], start[left].astype(np.int32), own)],
                         ["h1", "h2", "doc", "mark", "start", "own"],
                     )
 
         return found
 
-    record = "h1 long, h2 long, doc long, mark long, start int, own boolean"
+    record = "h1 long, h2 int, doc long, mark long, start int, own boolean"
     firsts = texts.mapInArrow(occurrences(several, None), record).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     shared = shelf.put(firsts.where("n > 1").drop("n"), "shared")
     known = spark.sparkContext.broadcast(_cells(shared.select("h1", "h2"), key_hashes, cell_bits, (1,), shelf)[0])
