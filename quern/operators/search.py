@@ -24,10 +24,13 @@ PREFIX_LEAST, PREFIX_STEP = 3, 0.1
 DEFAULT_LIMIT = 10
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """fields: name to an array of terms."""
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], only: DataFrame | None = None) -> DataFrame:
+    """fields: name to an array of terms.  With ``only`` (field, term), the postings of these terms: the others leave
+    before anything is shuffled, which suits a search without a stored index."""
     gathered = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("terms")) for n, c in fields.items()])).alias("f"))
     exploded = gathered.select("doc_id", "f.field", F.size("f.terms").alias("len"), F.explode("f.terms").alias("term"))
+    if only is not None:
+        exploded = exploded.join(only.select("field", "term").distinct(), ["field", "term"], "left_semi")
     return exploded.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -35,11 +38,15 @@ def text_postings(docs: DataFrame, id_col: str, text_col: str, field: str = "tex
     return postings(docs, id_col, {field: words(F.col(text_col))})
 
 
-def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(field, term, df) and (field, n, avg_len)."""
-    terms = index.groupBy("field", "term").agg(F.count("*").alias("df"))
-    fields = index.select("field", "doc_id", "len").distinct().groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    return terms, fields
+def statistics(index: DataFrame) -> DataFrame:
+    """(field, n, avg_len) of an index."""
+    return index.select("field", "doc_id", "len").distinct().groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
+def field_statistics(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """The same from the documents, whose terms need not be listed for it."""
+    sizes = docs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.size(c).alias("len")) for n, c in fields.items()])).alias("f")).select("f.*")
+    return sizes.where("len > 0").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
 def bm25(tf: Column, length: Column, df: Column, n: Column, avg_len: Column) -> Column:
@@ -47,18 +54,20 @@ def bm25(tf: Column, length: Column, df: Column, n: Column, avg_len: Column) ->
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
 
 
-def scored(index: DataFrame, query: DataFrame) -> DataFrame:
+def scored(index: DataFrame, query: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """query (query_id, field, term, boost) to (query_id, doc_id, term, score) of the postings that it meets.
 
-    A query's terms are few: they prune the postings before the statistics are joined."""
-    terms, fields = statistics(index)
-    met = index.join(query, ["field", "term"]).join(terms.join(query.select("field", "term").distinct(), ["field", "term"], "left_semi"), ["field", "term"]).join(F.broadcast(fields), "field")
+    A query's few terms prune the postings first; how many documents a term has is counted on what is left.
+    ``fields``: statistics of the fields, taken from the index if they aren't given."""
+    asked = index.join(query.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    rare = asked.groupBy("field", "term").agg(F.count("*").alias("df"))
+    met = asked.join(rare, ["field", "term"]).join(query, ["field", "term"]).join(F.broadcast(fields if fields is not None else statistics(index)), "field")  # a row a field
     return met.select("query_id", "doc_id", "field", "term", (F.col("boost") * bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n"), F.col("avg_len"))).alias("score"))
 
 
-def any_terms(index: DataFrame, query: DataFrame) -> DataFrame:
+def any_terms(index: DataFrame, query: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """OR: (query_id, doc_id, score, matched)."""
-    return scored(index, query).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
+    return scored(index, query, fields).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
 
 
 def all_terms(index: DataFrame, query: DataFrame) -> DataFrame:

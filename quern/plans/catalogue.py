@@ -589,9 +589,10 @@ def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM i JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN s WHERE term IN ('the', 'nicht', 'pathetic') GROUP BY 1"""
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.text_postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    docs, fields = _t(spark, sf_dir, "documents"), {"text": text.words(F.col("text"))}
     asked = spark.createDataFrame([(0, "text", t, 1.0) for t in ("the", "nicht", "pathetic")], "query_id int, field string, term string, boost double")
-    return search.any_terms(index, asked).select("doc_id", F.round("score", 6).alias("score"))
+    index = search.postings(docs, "doc_id", fields, only=asked)
+    return search.any_terms(index, asked, search.field_statistics(docs, fields)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
