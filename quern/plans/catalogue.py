@@ -656,19 +656,75 @@ def type_graph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.graph_lines(types, edges).select("type_text", F.array_join("entries", ";").alias("entries"))
 
 
-@query()
+@query(
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*"[^>]*>[^<]*</a>') AS m FROM pages),
+    b AS (SELECT page_id, url, m, unnest(range(1, len(m) + 1)) AS k FROM a),
+    c AS (SELECT page_id, url, (k - 1)::INT AS n, replace(regexp_extract(m[k], 'href="([^"]*)"', 1), '&amp;', '&') AS href, replace(regexp_extract(m[k], '>([^<]*)</a>', 1), '&amp;', '&') AS text FROM b)
+    SELECT page_id, n, href, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE href END AS resolved, text FROM c
+    """
+)
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_t(spark, sf_dir, "pages"), html.links)
 
 
-@query()
+@query(
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<li><a href="[^"]*"[^>]*>[^<]*</a>') AS m FROM pages),
+    b AS (SELECT page_id, url, m, unnest(range(1, len(m) + 1)) AS k FROM a),
+    c AS (SELECT page_id, url, (k - 1)::INT AS n, replace(regexp_extract(m[k], 'href="([^"]*)"', 1), '&amp;', '&') AS href, replace(regexp_extract(m[k], '>([^<]*)</a>', 1), '&amp;', '&') AS title FROM b)
+    SELECT page_id, n, title, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE href END AS link, NULL AS parent, 0 AS level FROM c
+    """
+)
 def html_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_t(spark, sf_dir, "pages"), html.categories)
 
 
-@query()
+_GRID = """<ul><li><div id="entitledItem_1">{"catentry_id" : "77",}</div><div class="product x"><div class="image"><img src="/i.png"></div>
+<div class="product_name"><a href="/p/77" title=" Чай зелёный ">Чай</a></div><div class="product_weight"><span>5 г</span></div><span class="price">9,5</span></div></li></ul>
+<a href='javascript:show([{pageNumber:"2",pageSize:"72"}])'>2</a><a href='javascript:show([{pageNumber:"2",pageSize:"72"}])'>2</a><a href='javascript:show([{pageNumber:"3",pageSize:"72"}])'>3</a>"""
+_PAGE = """<div id="entitledItem_1">{"catentry_id" : "77",}</div><div class="product-info"><h1 class="main_header">Чай зелёный крупный</h1></div>
+<div class="product-desc"><table><tr><th>Бренд:</th><td>Лес</td></tr><tr><th>Вес:</th><td>5 г</td></tr><tr><th>Вес:</th><td>6 г</td></tr></table></div>"""
+_FOOD = """<h3>Мясо</h3><h4>Колбасы</h4><table><tr><th>Продукт</th><th>Белки</th></tr><tr><td><a href="base/541.php">Буженина</a></td><td>15</td></tr></table>"""
+
+
+def _shop_pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "http://Shop.example/a/", _GRID), (2, "http://Shop.example/p/77", _PAGE), (3, "http://food.example/x/", _FOOD)], "page_id long, url string, html string")
+
+
+@query("SELECT * FROM (VALUES (2, 'Бренд:', 'Лес'), (2, 'Вес:', '6 г')) t(page_id, key, value)")
 def html_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(_t(spark, sf_dir, "pages"), html.key_values)
+    return html.extract(_shop_pages(spark), html.key_values).select("page_id", "key", "value")
+
+
+@query("SELECT * FROM (VALUES (1, 2, 72, 72), (1, 3, 144, 72)) t(page_id, page, begin, size)")
+def html_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_shop_pages(spark), html.paging).select("page_id", "page", "begin", "size")
+
+
+@query("SELECT '77' AS id, 'Чай зелёный крупный' AS name, '9,5' AS price, '5 г' AS weight, 'http://shop.example/product?id=77' AS link, true AS complete")
+def html_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _shop_pages(spark)
+    return html.reconciled(html.extract(pages, html.thumbnails), html.extract(pages, html.details)).select("id", "name", "price", "weight", "link", "complete")
+
+
+@query("SELECT '541' AS id, 'Буженина' AS name, 'Мясо|Колбасы' AS tags")
+def html_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.nutrition_products(html.extract(_shop_pages(spark), html.nutrition).where("page_id = 3"))
+    return rows.select("id", "name", F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT * FROM (VALUES ('котик', 'кот'), ('молочный', 'молоко'), ('котяра', 'котище')) t(word, ref)")
+def explanatory_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ["КОТИК, -а. Уменьш. к кот", "", "МОЛОЧНЫЙ прил.", "1. соотн. с сущ. молоко, связанный с ним", "", "КОТЯРА то же, что котище"]
+    found = files.articles(spark.createDataFrame(list(enumerate(lines)), "n int, value string"))
+    return found.select("word", F.concat_ws(",", "noun_base", "same", "pet").alias("ref"))
+
+
+@query("SELECT * FROM (VALUES ('кот', 'кошак'), ('котофей', 'кот,кошак'), ('дом', '')) t(word, same)")
+def piped_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([("кот|м.|==кошак",), ("котофей|м.|==кошак",), ("дом|м.|",)], "value string")
+    return files.piped_dictionary(lines).select("word", F.array_join("same", ",").alias("same"))
 
 
 # -- streams
