@@ -111,7 +111,7 @@ def test_token_views(spark):
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.cleanup(F.lit(' a, «b»: c!  ')).alias("a"),
-        text.no_nbsp(F.lit("a b")).alias("b"),
+        text.no_nbsp(F.lit("a\u00a0b")).alias("b"),
         text.split_values(F.lit("1 + 2")).alias("c"),
         text.split_list(F.lit("")).alias("d"),
         text.any_item(F.array(F.lit("b"), F.lit("a")), least=True).alias("e"),
