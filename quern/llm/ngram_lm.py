@@ -18,6 +18,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,21 +71,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_blocks, n_parts = 1 + size // BLOCK_BYTES, 1 + size // PART_BYTES
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
 
-    def pack(table: pa.Table) -> pa.Table:
-        texts = [t.translate(LOWERED) for t in utf8(table.column("text"))]
-        block = table.column("block")[0].as_py()
-        out: dict[str, list] = {k: [] for k in ("part", "n", "block", "grams", "counts")}
-        for n in (1, 2):
+    def packing(n: int) -> Callable[[pa.Table], pa.Table]:
+        def pack(table: pa.Table) -> pa.Table:
+            texts = [t.translate(LOWERED) for t in utf8(table.column("text"))]
+            block = table.column("block")[0].as_py()
+            out: dict[str, list] = {k: [] for k in ("part", "n", "block", "grams", "counts")}
             hashes, counts = np.unique(grams(texts, n)[0], return_counts=True)
-            part = _part_of(hashes, n_parts)
-            cuts = np.searchsorted(part, np.arange(n_parts + 1))
-            for p in range(n_parts):
-                a, b = cuts[p], cuts[p + 1]
+            cuts = np.searchsorted(_part_of(hashes, n_parts), np.arange(n_parts + 1))
+            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     for k, v in zip(out, (p, n, block, _seven(hashes[a:b]), counts[a:b].astype(np.uint32).tobytes()), strict=True):
                         out[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+
+        return pack
 
     def total(table: pa.Table) -> pa.Table:
         held = [_eight(x) for x in table.column("grams").to_pylist()]
@@ -94,8 +96,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         answers = [totals[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"part": table.column("part"), "n": table.column("n"), "block": table.column("block"), "totals": pa.array(answers, pa.binary()), "words": pa.array([int(counts[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64())})
 
-    packed = blocked.groupBy("block").applyInArrow(pack, "part int, n int, block int, grams binary, counts binary")
-    answers = shelf.put(packed.groupBy("part", "n").applyInArrow(total, "part int, n int, block int, totals binary, words long"), "answers")
+    def answered(n: int) -> DataFrame:
+        packed = blocked.groupBy("block").applyInArrow(packing(n), "part int, n int, block int, grams binary, counts binary")
+        return shelf.put(packed.groupBy("part").applyInArrow(total, "part int, n int, block int, totals binary, words long"), f"answers{n}")
+
+    answers = answered(1).unionByName(answered(2))  # one after the other: only one order's n-grams are on the move at a time
     n_words = answers.where("n = 1").agg(F.sum("words")).first()[0] or 0
     kind = dict(rows.dtypes)["id"]
 
