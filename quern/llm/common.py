@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.sources.paths import shared_path, ship
@@ -88,6 +88,17 @@ def join_small(left: DataFrame, small: DataFrame, on: str, how: str = "inner") -
     return left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).join(many, [on, "_salt"], how).drop("_salt")
 
 
+def sums_before(df: DataFrame, key: str, at: str, value: str, name: str, span: int = 64) -> DataFrame:
+    """Adds the sum of ``value`` over a key's rows of smaller ``at`` (whole numbers, one row each), in two levels: within
+    stretches of ``span``, and over the stretches.  So no task needs all rows of a key."""
+    cut = df.withColumn("_stretch", F.floor(F.col(at) / span))
+    whole = cut.groupBy(key, "_stretch").agg(F.sum(value).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = whole.select(key, "_stretch", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    inner = F.sum(value).over(Window.partitionBy(key, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    return cut.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(starts, [key, "_stretch"]).withColumn(name, F.col("_start") + F.col("_inner")).drop("_stretch", "_start", "_inner")
+
+
 def bits_of_power(n: int) -> int:
     """The least k with 2**k >= n."""
     return max(0, (max(1, int(n)) - 1).bit_length())

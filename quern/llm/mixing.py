@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Shelf, join_small, packed
+from quern.llm.common import Shelf, join_small, packed, sums_before
 
 BUCKETS = 4096
 #: Weights by rank of the source, repeating.
@@ -99,12 +99,10 @@ def mix(
         .withColumn("bucket", F.floor(F.lit(float(BUCKETS)) * (F.col("q") / (1 + F.col("q")))))
     )
     sums = shelf.put(scored.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("given"), F.max("target").alias("target")), "buckets")
-    by_source = Window.partitionBy("key")
-    up_to = by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    lacks = sums.groupBy("key").agg((F.max("target") - F.sum("given")).alias("lack"))
+    ends = sums_before(sums.where("bucket IS NOT NULL"), "key", "bucket", "words", "start").withColumn("end", F.col("start") + F.col("words"))
     edges = (
-        sums.withColumn("lack", F.col("target") - F.sum("given").over(by_source))
-        .where("bucket IS NOT NULL")
-        .withColumn("end", F.sum("words").over(up_to))
+        ends.join(lacks, "key")
         .groupBy("key")
         .agg(
             F.max("lack").alias("lack"),
