@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Shelf, packed
+from quern.llm.common import Shelf, packed, sums_before
 
 SALTS = 4096
 CHUNK_SHIFT = 52
@@ -101,8 +101,7 @@ def shard(
     cells = shelf.put(placed(rows.select("hash", "salt")).groupBy("v", "salt").agg(F.count("*").alias("n")), "cells")
     plan = _plan(ring(spark, shards, vnodes), cells, shards, vnodes, slack)
 
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = cells.select("v", "salt", before.alias("offset"))
+    offsets = sums_before(cells, "v", "salt", "n", "offset").select("v", "salt", "offset")
     ranked = (
         placed(rows)
         .join(offsets, ["v", "salt"])
