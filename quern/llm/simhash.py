@@ -9,6 +9,11 @@ the number of fingerprints, which thins the tile pairs: one block skips few, eig
 A tile pair hands on a star per component that it finds, at most one row per fingerprint, never all pairs of a group.
 Components over all tiles come from ``components``.
 
+``one_of_each`` decides by the sets of shingles themselves.  Texts of equal sets are one node; tiles of 256-bit
+fingerprints, laid out by the number of shingles, only look for candidates, within a radius that a pair as alike as
+asked exceeds with a chance under 1e-9.  Each component of candidates is then cut into tiles of sets, and two nodes
+link if their exact similarity (Jaccard, of 64-bit hashes of the shingles) is 0.8 or more.
+
 Edge cases: a null, empty or wordless text has fingerprint zero, which links like any other; fewer words than the
 shingle's length make one shingle of them all; repeated rows share everything; a component of only null ids has a
 null id; an empty table gives an empty result.
@@ -25,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Shelf, packed, prepare
+from quern.llm.common import Shelf, bits_of_power, packed, prepare
 from quern.llm.components import components
+from quern.llm.substrings import MOST_CELLS, UNIT_BITS, _cells, _in_cells
 from quern.llm.text import LOWERED, utf8
 
 #: Fingerprints of a tile: with a wide radius, under which most tiles meet, larger ones are sent about less.
@@ -35,6 +41,16 @@ TILE, WIDE_TILE, WIDE_RADIUS = 2048, 8192, 4
 BIT_ROWS = 500_000
 #: Blocks of bits, and about how many tiles' worth of population counts 64 random bits have with them.
 SPREAD = {1: 14, 2: 100, 4: 2_500, 8: 390_000}
+#: Near duplicates share this much of the union of their shingles: 4 / 5.
+ALIKE, OF = 4, 5
+#: Bits of a candidate's fingerprint, and those that may differ.  Each bit differs with the same chance, whatever the
+#: texts: at a similarity of 0.8 it is 0.1875 for 4 and 5 shingles and at most 0.1611 beyond.  Unlike sets of under 4
+#: shingles are never as alike.
+MARK_BITS, FEWEST, RADIUS, SHORT_RADIUS = 256, 4, 80, 89
+#: Candidates' sizes differ by 5 / 4 at most: bands of sizes, of which each meets itself and so many next ones.
+NEXT_BANDS = 4
+#: Sets of a tile, and shingles of all its sets, about.
+SETS, SET_SHINGLES = 512, 500_000
 
 
 def shingle_hashes(text: bytes, words: int, repeats: bool) -> np.ndarray:
@@ -65,7 +81,10 @@ def _widened(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, bits: int = 64, repeats: bool = True) -> np.ndarray:
     """The fingerprint as uint64 words: a bit is 1 if it is set in over half the shingles' hashes."""
-    hashes = shingle_hashes(text, words, repeats)
+    return _majority(shingle_hashes(text, words, repeats), bits)
+
+
+def _majority(hashes: np.ndarray, bits: int) -> np.ndarray:
     n = len(hashes)
     count = np.zeros(bits, np.int64)
     for k in range(0, n, BIT_ROWS * 64 // bits):
@@ -196,21 +215,175 @@ def near_duplicates(
     marked = shelf.put(fingerprints(docs, id_col, text_col, words, bits, repeats, carry), "marked")
     nodes = shelf.put(marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("pops").alias("pops")), "nodes")
     roots = components(links(nodes, bits, radius, shelf), shelf)
-    linked = roots.join(nodes.select(F.col("fp").alias("node"), "least"), "node")
+    classes = _classes(nodes, "fp", roots, shelf)
+    return marked.drop("pops").join(classes, "fp").select(*(["row"] if carry else []), "id", "fp", "component", "root")
+
+
+def _classes(nodes: DataFrame, name: str, roots: DataFrame, shelf: Shelf) -> DataFrame:
+    """Of each node its root, itself without links, and the least id of the root's nodes."""
+    linked = roots.join(nodes.select(F.col(name).alias("node"), "least"), "node")
     named = shelf.put(linked.groupBy("root").agg(F.min("least").alias("component")), "named")
-    classes = shelf.put(
-        nodes.join(roots, nodes["fp"] == roots["node"], "left").join(named, "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component")),
+    return shelf.put(
+        nodes.join(roots, nodes[name] == roots["node"], "left").join(named, "root", "left").select(name, F.coalesce("root", name).alias("root"), F.coalesce("component", "least").alias("component")),
         "classes",
     )
-    return marked.drop("pops").join(classes, "fp").select(*(["row"] if carry else []), "id", "fp", "component", "root")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 256, radius: int = 39, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _set_marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(row, id, key, n, fp): key and size of the text's set of shingles, and its fingerprint."""
+    prepare(docs.sparkSession)
+    frame = docs.select(packed(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[bytes, tuple] = {}  # copies are often neighbours
+            out = []
+            for text in utf8(batch.column("text")):
+                if text not in known:
+                    hashes = shingle_hashes(text, words, repeats=False)
+                    known[text] = (xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), _majority(hashes, MARK_BITS).tobytes())
+                out.append(known[text])
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *columns], ["row", "id", "key", "n", "fp"])
+
+    return frame.mapInArrow(scan, schema)
+
+
+def _wide_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what lies within a wide radius, by positions in the joined list of a and b (a alone if same)."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    total = len(a) if same else len(a) + len(b)
+    columns = [np.ascontiguousarray(b[:, w]) for w in range(b.shape[1])]
+    rows = max(1, 65_536 // max(1, len(b)))
+    for k in range(0, len(a), rows):
+        begin = k if same else 0
+        far = np.zeros((len(a[k : k + rows]), len(b) - begin), np.uint8)  # 256 becomes 0, a candidate too many
+        for w, column in enumerate(columns):
+            far += np.bitwise_count(a[k : k + rows, w, None] ^ column[None, begin:])
+        i, j = np.nonzero(far <= radius)
+        i, j = i + k, j + begin
+        if same:
+            i, j = i[i < j], j[i < j]
+        else:
+            j = j + len(a)
+        if len(i) > total:  # a large group: a star of each component
+            label = stars(i, j, total)
+            j = np.flatnonzero(label != np.arange(total))
+            i = label[j]
+        left.append(i)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates(nodes: DataFrame, shelf: Shelf) -> DataFrame:
+    """Distinct (key, n, fp) to links (a, b) of keys that connect all pairs that may be alike."""
+    # bands a hair narrower than sizes allow, lest rounding puts sizes of 4 and 5 further apart
+    band = F.floor(F.log(F.col("n").cast("double")) * F.lit((NEXT_BANDS - 1e-6) / float(np.log(OF / ALIKE)))).cast("int")
+    banded = nodes.where(F.col("n") >= FEWEST).select(band.alias("band"), "n", F.concat("key", "fp").alias("mark"))
+    sizes = shelf.put(banded.groupBy("band").agg(F.ceil(F.count("*") / WIDE_TILE).alias("parts"), F.min("n").alias("fewest")), "sizes")
+    dealt = banded.drop("n").join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("mark"), "parts"))
+    tiles = shelf.put(dealt.groupBy("band", "fewest", "part").agg(F.collect_list("mark").alias("marks")), "tiles")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(NEXT_BANDS))).alias("step")
+    near = tiles.select(F.col("band").alias("from"), F.col("fewest").alias("fewest_a"), F.col("part").alias("part_a"), F.col("marks").alias("marks_a"), steps)
+    near = near.withColumn("band", F.col("from") + F.col("step")).drop("from")
+    pairs = near.join(tiles, "band").where("step > 0 OR part_a <= part").select("fewest_a", "marks_a", "marks", F.expr("step = 0 AND part_a = part").alias("same"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fewest, x, y, same in zip(batch.column("fewest_a").to_pylist(), batch.column("marks_a"), batch.column("marks"), batch.column("same").to_pylist(), strict=True):
+                first, second = x.as_py(), y.as_py()
+                a, b = (np.frombuffer(b"".join(some), np.uint64).reshape(-1, 2 + MARK_BITS // 64)[:, 2:] for some in (first, second))
+                i, j = _wide_links(a, b, same, SHORT_RADIUS if fewest <= FEWEST else RADIUS)
+                if not len(i):
+                    continue
+                names = first if same else first + second
+                root = stars(i, j, len(names))
+                moved = np.flatnonzero(root != np.arange(len(names))).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([names[root[k]][:16] for k in moved], pa.binary()), pa.array([names[k][:16] for k in moved], pa.binary())], ["a", "b"])
+
+    return pairs.repartition(_tasks(tiles)).mapInArrow(compare, "a binary, b binary")
+
+
+def alike(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """A star for each group of sets that exact similarities of 0.8 or more connect.  Each set reached is compared with
+    those not yet reached, so that a group of near copies takes one round, not all pairs."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes).tolist()
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = [place[e - len(x) : e] for x, e in zip(sets, ends, strict=True)]
+    here = np.zeros(len(place), bool)
+    out, left = [], np.arange(len(names))
+    while len(left) > 1:
+        center = int(left[0])
+        reached, left, at = [center], left[1:], 0
+        while at < len(reached) and len(left):
+            k = reached[at]
+            here[held[k]] = True
+            fits = np.flatnonzero((OF * np.minimum(sizes[left], sizes[k]) >= ALIKE * np.maximum(sizes[left], sizes[k])))
+            shared = np.array([np.count_nonzero(here[held[m]]) for m in left[fits].tolist()], np.int64)
+            here[held[k]] = False
+            near = np.zeros(len(left), bool)
+            near[fits] = OF * shared >= ALIKE * (sizes[left[fits]] + sizes[k] - shared)
+            out += [(names[center], names[m]) for m in left[near].tolist()]
+            reached += left[near].tolist()
+            left = left[~near]
+            at += 1
+    return out
+
+
+def _verified(roots: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, shelf: Shelf) -> DataFrame:
+    """Components of candidates (node, root) and all (key, text) to links (a, b) of keys that connect what is alike."""
+    spark = nodes.sparkSession
+    members = shelf.put(roots.join(nodes, roots["node"] == nodes["key"]).select("key", "root", "n"), "members")
+    parts = F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / SET_SHINGLES)).alias("parts")
+    sizes = shelf.put(members.groupBy("root").agg(parts), "parts")
+    cell_bits = min(bits_of_power(MOST_CELLS), max(UNIT_BITS, bits_of_power(8 * members.count())))
+
+    def hashed(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(b"".join(keys.to_pylist()), np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    # a bit array of the keys wanted: the texts of all others aren't dealt out
+    wanted = spark.sparkContext.broadcast(_cells(members.select("key"), lambda batch: iter([hashed(batch.column("key"))]), cell_bits, (1,), shelf)[0])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = batch.take(pa.array(_in_cells(wanted.value, *hashed(batch.column("key")), cell_bits)))
+            first = dict(zip(here.column("key").to_pylist(), utf8(here.column("text")), strict=True))
+            found = [shingle_hashes(text, words, repeats=False).tobytes() for text in first.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array(found, pa.binary())], ["key", "shingles"])
+
+    fetched = shelf.put(texts.mapInArrow(fetch, "key binary, shingles binary").dropDuplicates(["key"]), "shingles")
+    dealt = fetched.join(members.join(sizes, "root"), "key").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
+    tiles = shelf.put(dealt.groupBy("root", "parts", "part").agg(F.collect_list(F.struct("key", "shingles")).alias("sets")), "sets")
+    # a component of several tiles is compared tile by tile
+    left, right = (tiles.where("parts > 1").select("root", F.col("part").alias(f"part_{k}"), F.col("sets").alias(f"sets_{k}")) for k in "ab")
+    paired = left.join(right, "root").where("part_a < part_b").select(F.concat("sets_a", "sets_b").alias("sets"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for sets in batch.column("sets"):
+                some = sets.as_py()
+                found += alike([x["key"] for x in some], [np.frombuffer(x["shingles"], np.uint64) for x in some])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return shelf.put(tiles.select("sets").unionByName(paired).mapInArrow(verify, "a binary, b binary").distinct(), "alike")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each near-duplicate group's row of least id, as struct ``row``.
 
-    With distinct shingles, the share of differing bits estimates the angle of the shingle sets; 39 of 256 bits are the
-    angle of sets of equal size whose similarity (Jaccard) is 0.8.  Repeated rows are one row."""
-    found = near_duplicates(docs, words, bits, radius, repeats=False, id_col=id_col, text_col=text_col, carry=True)
+    Texts link if the Jaccard similarity of their sets of shingles of ``words`` words is 0.8 or more; groups are the
+    components of these links.  Repeated rows are one row."""
+    shelf = Shelf(docs.sparkSession, "simhash")
+    marked = shelf.put(_set_marks(docs, id_col, text_col, words), "marked")
+    nodes = shelf.put(marked.groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    maybe = components(candidates(nodes, shelf), shelf)
+    texts = marked.select("key", F.col("row").getField(text_col).alias("text"))
+    roots = components(_verified(maybe, nodes, texts, words, shelf), shelf)
+    found = marked.select("row", "id", "key").join(_classes(nodes.select("key", "least"), "key", roots, shelf), "key")
     kept = found.where(F.col("id").eqNullSafe(F.col("component")))
     seen = docs.agg(F.count("*"), F.countDistinct(id_col)).first()
     return (kept if seen[0] == seen[1] else kept.dropDuplicates(["root"])).select("row")
