@@ -66,6 +66,12 @@ def cleanup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", text.cleanup(F.col("text")).alias("label"))
 
 
+def _last_edited(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, w) to the word that each turn edits of the turn before."""
+    before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("b", before).select("conv_id", "turn", F.when(F.col("b").isNotNull() | (F.size("w") == 1), tokens.last_changed_token(F.coalesce("b", F.array().cast("array<string>")), F.col("w"))).alias("edited"))
+
+
 @query(
     r"""
     WITH c AS (
@@ -82,9 +88,26 @@ def cleanup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def last_edited_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four words of each turn as successive queries of a session."""
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(text.words(F.col("text")), 1, 4).alias("w"))
-    before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("b", before).select("conv_id", "turn", F.when(F.col("b").isNotNull() | (F.size("w") == 1), tokens.last_changed_token(F.coalesce("b", F.array().cast("array<string>")), F.col("w"))).alias("edited"))
+    return _last_edited(_t(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(text.words(F.col("text")), 1, 4).alias("w")))
+
+
+@query(
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s"|,.«»“”()?!+:]+'), lambda x: x <> '') AS w FROM conversations),
+    p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c),
+    s AS (
+      SELECT *, coalesce(list_min(list_filter(range(1, least(len(w), len(b)) + 1), lambda i: w[i] <> b[i])), least(len(w), len(b)) + 1) - 1 AS same FROM p)
+    SELECT conv_id, turn, CASE
+      WHEN len(w) = 1 THEN w[1]
+      WHEN b IS NULL OR w = b OR len(w) = 0 OR abs(len(w) - len(b)) > 1 THEN NULL
+      WHEN w[same + CASE WHEN len(w) >= len(b) THEN 2 ELSE 1 END:] = b[same + CASE WHEN len(w) <= len(b) THEN 2 ELSE 1 END:] THEN w[least(same + 1, len(w))] END AS edited
+    FROM s
+    """
+)
+def last_edited_token_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each turn as successive queries of a session."""
+    return _last_edited(_t(spark, sf_dir, "conversations").select("conv_id", "turn", text.words(F.col("text")).alias("w")))
 
 
 _NAMES = (
