@@ -52,7 +52,7 @@ def group_limit(df: DataFrame, n: int, score: str, group: Column | None = None,
     return df.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= n)
 
 
-def in_chunks(df: DataFrame, order: list[Column], size: int = 10) -> DataFrame:
-    """Rows numbered into pages of ``size`` (for bounded result lists)."""
-    w = Window.orderBy(*order)
+def in_chunks(df: DataFrame, order: list[Column], size: int = 10, group: Column | None = None) -> DataFrame:
+    """Rows numbered into pages of ``size``, within each group (without one, for bounded result lists)."""
+    w = Window.orderBy(*order) if group is None else Window.partitionBy(group).orderBy(*order)
     return df.withColumn("page", F.floor((F.row_number().over(w) - 1) / size))

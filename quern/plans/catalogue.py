@@ -290,6 +290,12 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.in_chunks(rows, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "page")
 
 
+@query("SELECT p_partkey, p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1) // 10 AS page FROM part")
+def result_pages_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand's list in pages."""
+    return dedup.in_chunks(_t(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.col("p_partkey")], group=F.col("p_brand")).select("p_partkey", "p_brand", "page")
+
+
 # -- brands
 
 _BRANDS = [
