@@ -505,6 +505,14 @@ def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.length("p_name").cast("long").alias("n"), similarity.ratio_udf("p_name", "p_name").alias("self"))
 
 
+@query()
+def lcs_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different names that share a word."""
+    named = _t(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.explode(F.split("p_name", " ")).alias("word"))
+    pairs = named.alias("x").join(named.alias("y"), "word").where("x.p_name < y.p_name").select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).distinct()
+    return pairs.select("a", "b", similarity.ratio_udf("a", "b").alias("ratio"))
+
+
 @query("SELECT p_brand AS name, lower(p_brand) AS type_key FROM part WHERE lower(p_brand) IN (SELECT p_name FROM part) GROUP BY ALL UNION ALL SELECT DISTINCT p_name, list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' + ') FROM part")
 def data_quality_name_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
