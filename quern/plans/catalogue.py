@@ -605,6 +605,15 @@ def lemma_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lemma_table(files.word_forms(lines)).where("word <> 'котофей'")
 
 
+@query("SELECT * FROM (VALUES ('котик', 'кошка'), ('кот', 'кошка'), ('кошка', 'кошка'), ('котофей', 'котофей'), ('дом', 'дом')) t(word, lemma)")
+def lemma_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, those that articles only refer to among them."""
+    from quern.functions.morphology import lemma_table
+
+    lines = spark.createDataFrame([("котик~same:кот # a chain",), ("кот~noun:кошка|котофей",), ("дом",), ("# comment",)], "value string")
+    return lemma_table(files.word_forms(lines))
+
+
 # -- search
 
 _BM25 = """
@@ -751,6 +760,16 @@ def html_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "name", F.array_join("tags", "|").alias("tags"))
 
 
+@query(
+    """SELECT * FROM (VALUES (2, NULL, 'Лес', 'Чай зелёный крупный'), (2, NULL, '5 г', 'Чай зелёный крупный'), (2, NULL, '6 г', 'Чай зелёный крупный'),
+    (3, '541', 'Буженина', 'Мясо|Колбасы')) t(page_id, id, name, tags)"""
+)
+def html_nutrition_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all pages' tables; a table that isn't of nutrition has rows too."""
+    rows = html.nutrition_products(html.extract(_shop_pages(spark), html.nutrition))
+    return rows.select("page_id", "id", "name", F.array_join("tags", "|").alias("tags"))
+
+
 @query("SELECT * FROM (VALUES ('котик', 'кот'), ('молочный', 'молоко'), ('котяра', 'котище')) t(word, ref)")
 def explanatory_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ["КОТИК, -а. Уменьш. к кот", "", "МОЛОЧНЫЙ прил.", "1. соотн. с сущ. молоко, связанный с ним", "", "КОТЯРА то же, что котище"]
