@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Shelf, prepare
-from quern.llm.substrings import _in_parts, windows
+from quern.llm.substrings import Points, _in_parts, drawn, windows
 from quern.llm.text import LOWERED, utf8
 
 BACKOFF = 0.4
@@ -37,9 +37,9 @@ PART_BYTES = 8_000_000
 OUT = "n_words long, n_seen long, log2_score double"
 
 
-def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[bytes], n: int, points: Points) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, number of the text and position of each n-gram."""
-    parts = [(h, who + begin, start) for begin, some in _in_parts(texts) for h, _, who, start in [windows(some, n)]]
+    parts = [(h, who + begin, start) for begin, some in _in_parts(texts) for (h,), who, start in [windows(some, n, points[:1])]]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -65,7 +65,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``id, n_words, n_seen`` (bigrams that other documents have) and ``log2_score`` (mean over the words)."""
     spark = docs.sparkSession
     prepare(spark)
-    shelf = Shelf(spark, "lm")
+    shelf, points = Shelf(spark, "lm"), drawn()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, n_parts = 1 + size // BLOCK_BYTES, 1 + size // PART_BYTES
@@ -76,7 +76,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             texts = [t.translate(LOWERED) for t in utf8(table.column("text"))]
             block = table.column("block")[0].as_py()
             out: dict[str, list] = {k: [] for k in ("part", "n", "block", "grams", "counts")}
-            hashes, counts = np.unique(grams(texts, n)[0], return_counts=True)
+            hashes, counts = np.unique(grams(texts, n, points)[0], return_counts=True)
             cuts = np.searchsorted(_part_of(hashes, n_parts), np.arange(n_parts + 1))
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
@@ -109,7 +109,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         order = sorted(zip(right.column("n").to_pylist(), right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])
         rest, who, at = [], [], []
         for n in (1, 2):
-            hashes, text, start = grams(texts, n)
+            hashes, text, start = grams(texts, n, points)
             names, where = np.unique(hashes, return_inverse=True)
             totals = np.frombuffer(b"".join(x[2] for x in order if x[0] == n), np.int64)
             _, own, times = np.unique(text * max(1, len(names)) + where, return_inverse=True, return_counts=True)

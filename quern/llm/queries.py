@@ -80,8 +80,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # shorter lines match only if equal: within two edits, unlike short lines chain to one class (see README)
-    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), most=2, least_chars=12)
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), most=2, chars_per_edit=6)
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

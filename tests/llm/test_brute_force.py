@@ -315,11 +315,11 @@ def test_edit_join_loses_no_line(spark, monkeypatch):
     rng = random.Random(9)
     pool = []
     for _ in range(25):
-        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(12, 60))).strip().ljust(12, "x")
+        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 60))).strip() or "x"
         for _ in range(6):
             pool.append(line)
-            line = edited(rng, line, rng.randrange(0, 4), "abcdefgh").strip().ljust(12, "x")
-    pool += [f"the one very common line number {k:04d}" for k in range(40)] + ["short", "shor"]
+            line = edited(rng, line, rng.randrange(0, 4), "abcdefgh").strip() or "y"
+    pool += [f"the one very common line number {k:04d}" for k in range(40)] + ["short", "shor", "buy it now!", "buy it now?", "twelve chars", "twelve ch"]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(4))) for k in range(120)]
     distinct = sorted({x for _, t in rows for x in t.split("\n")})
     parent = {x: x for x in distinct}
@@ -331,7 +331,7 @@ def test_edit_join_loses_no_line(spark, monkeypatch):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            if edit_distance(a, b) <= min(2, min(len(a), len(b)) // 6):
                 parent[root(a)] = root(b)
     seen, expected = set(), {}
     for k, t in rows:
