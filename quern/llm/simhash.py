@@ -9,10 +9,14 @@ the number of fingerprints, which thins the tile pairs: one block skips few, eig
 A tile pair hands on a star per component that it finds, at most one row per fingerprint, never all pairs of a group.
 Components over all tiles come from ``components``.
 
-``one_of_each`` decides by the sets of shingles themselves.  Texts of equal sets are one node; tiles of 256-bit
-fingerprints, laid out by the number of shingles, only look for candidates, within a radius that a pair as alike as
-asked exceeds with a chance under 1e-9.  Each component of candidates is then cut into tiles of sets, and two nodes
-link if their exact similarity (Jaccard, of 64-bit hashes of the shingles) is 0.8 or more.
+``one_of_each`` decides by the sets of shingles themselves.  Texts of equal sets are one node.  Only nodes that share
+one of their least shingle hashes are compared at all: of the least LEAST hashes of two sets' union each is in both with
+a chance of 0.8 or more, so that a pair as alike as asked shares none with a chance of 0.2 ** LEAST, under 1e-9, and
+with none at all where LEAST reaches the sets' prefix.  So comparisons grow with the number of documents, not with its
+square.  The nodes of a shared hash are met in tiles of 256-bit fingerprints, within a radius that such a pair exceeds
+with a chance under 1e-9 (tiles of a very common hash are laid out by the number of shingles, and tiles of sizes that
+are too far apart are skipped).  Each component of candidates is then cut into tiles of sets, and two nodes link if
+their exact similarity (Jaccard, of 64-bit hashes of the shingles) is 0.8 or more.
 
 Edge cases: a null, empty or wordless text has fingerprint zero, which links like any other; fewer words than the
 shingle's length make one shingle of them all; repeated rows share everything; a component of only null ids has a
@@ -49,6 +53,12 @@ ALIKE, OF = 4, 5
 MARK_BITS, FEWEST, RADIUS, SHORT_RADIUS = 256, 4, 80, 89
 #: Candidates' sizes differ by 5 / 4 at most: bands of sizes, of which each meets itself and so many next ones.
 NEXT_BANDS = 4
+#: Least shingle hashes of a set by which it meets others.
+LEAST = 13
+#: Nodes of a bucket whose pairs are all compared at once with those of other such buckets.
+FEW = 16
+#: Nodes of a bucket that is one record; larger ones are laid out by sizes.
+BUCKET = 256
 #: Sets of a tile, and shingles of all its sets, about.
 SETS, SET_SHINGLES = 512, 500_000
 
@@ -229,11 +239,18 @@ def _classes(nodes: DataFrame, name: str, roots: DataFrame, shelf: Shelf) -> Dat
     )
 
 
+def _least(hashes: np.ndarray) -> np.ndarray:
+    """The hashes, given in order, by which a set meets others: those of its prefix, of which sets as alike as asked
+    share one, up to LEAST.  Sets of under FEWEST shingles are alike only if equal."""
+    n = len(hashes)
+    return hashes[: min(LEAST, n - -(-ALIKE * n // OF) + 1)] if n >= FEWEST else hashes[:0]
+
+
 def _set_marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(row, id, key, n, fp): key and size of the text's set of shingles, and its fingerprint."""
+    """(row, id, key, n, fp, low): key and size of the text's set of shingles, its fingerprint and least hashes."""
     prepare(docs.sparkSession)
     frame = docs.select(packed(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType())])
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("low", T.ArrayType(T.LongType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +259,10 @@ def _set_marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             for text in utf8(batch.column("text")):
                 if text not in known:
                     hashes = shingle_hashes(text, words, repeats=False)
-                    known[text] = (xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), _majority(hashes, MARK_BITS).tobytes())
+                    known[text] = (xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), _majority(hashes, MARK_BITS).tobytes(), _least(hashes).view(np.int64))
                 out.append(known[text])
-            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *columns], ["row", "id", "key", "n", "fp"])
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *columns], ["row", "id", "key", "n", "fp", "low"])
 
     return frame.mapInArrow(scan, schema)
 
@@ -276,33 +293,73 @@ def _wide_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[
     return np.concatenate(left), np.concatenate(right)
 
 
+def _few_links(buckets: list[np.ndarray], radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, i, j) of all pairs within the radius in small buckets, those of one size a step."""
+    by_size: dict[int, list[int]] = {}
+    for k, some in enumerate(buckets):
+        by_size.setdefault(len(some), []).append(k)
+    for size, which in by_size.items():
+        i, j = np.triu_indices(size, 1)
+        for begin in range(0, len(which), max(1, 200_000 // len(i))):
+            ks = which[begin : begin + max(1, 200_000 // len(i))]
+            marks = np.stack([buckets[k] for k in ks])
+            far = np.bitwise_count(marks[:, i] ^ marks[:, j]).sum(axis=2, dtype=np.int64)
+            for at in np.flatnonzero((far <= radius).any(axis=1)).tolist():
+                near = far[at] <= radius
+                yield ks[at], i[near], j[near]
+
+
 def candidates(nodes: DataFrame, shelf: Shelf) -> DataFrame:
-    """Distinct (key, n, fp) to links (a, b) of keys that connect all pairs that may be alike."""
+    """Distinct (key, n, fp, low) to links (a, b) of keys that connect all pairs that may be alike."""
+    marked = F.concat("key", F.when(F.col("n") <= FEWEST, F.lit(b"\x01")).otherwise(F.lit(b"\x00")), "fp").alias("mark")
     # bands a hair narrower than sizes allow, lest rounding puts sizes of 4 and 5 further apart
     band = F.floor(F.log(F.col("n").cast("double")) * F.lit((NEXT_BANDS - 1e-6) / float(np.log(OF / ALIKE)))).cast("int")
-    banded = nodes.where(F.col("n") >= FEWEST).select(band.alias("band"), "n", F.concat("key", "fp").alias("mark"))
-    sizes = shelf.put(banded.groupBy("band").agg(F.ceil(F.count("*") / WIDE_TILE).alias("parts"), F.min("n").alias("fewest")), "sizes")
-    dealt = banded.drop("n").join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("mark"), "parts"))
-    tiles = shelf.put(dealt.groupBy("band", "fewest", "part").agg(F.collect_list("mark").alias("marks")), "tiles")
+    met = nodes.select("key", F.explode("low").alias("t"))
+    counts = shelf.put(met.groupBy("t").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    shared = nodes.select(band.alias("band"), marked, F.explode("low").alias("t")).join(counts, "t")
+    few = shared.where(F.col("m") <= BUCKET).groupBy("t").agg(F.collect_list("mark").alias("marks"))
+    few = few.select(F.col("marks").alias("marks_a"), F.array().cast("array<binary>").alias("marks"), F.lit(True).alias("same"))
+    # a hash that many sets have: tiles by sizes, of which each meets itself and those of sizes within reach
+    hot = shared.where(F.col("m") > BUCKET)
+    sizes = shelf.put(hot.groupBy("t", "band").agg(F.ceil(F.count("*") / WIDE_TILE).alias("parts")), "sizes")
+    dealt = hot.join(sizes, ["t", "band"]).withColumn("part", F.pmod(F.xxhash64("mark"), "parts"))
+    tiles = shelf.put(dealt.groupBy("t", "band", "part").agg(F.collect_list("mark").alias("marks")), "tiles")
     steps = F.explode(F.sequence(F.lit(0), F.lit(NEXT_BANDS))).alias("step")
-    near = tiles.select(F.col("band").alias("from"), F.col("fewest").alias("fewest_a"), F.col("part").alias("part_a"), F.col("marks").alias("marks_a"), steps)
+    near = tiles.select("t", F.col("band").alias("from"), F.col("part").alias("part_a"), F.col("marks").alias("marks_a"), steps)
     near = near.withColumn("band", F.col("from") + F.col("step")).drop("from")
-    pairs = near.join(tiles, "band").where("step > 0 OR part_a <= part").select("fewest_a", "marks_a", "marks", F.expr("step = 0 AND part_a = part").alias("same"))
+    pairs = near.join(tiles, ["t", "band"]).where("step > 0 OR part_a <= part").select("marks_a", "marks", F.expr("step = 0 AND part_a = part").alias("same"))
+
+    def radius(marks: list[bytes]) -> int:
+        return SHORT_RADIUS if any(x[16] for x in marks) else RADIUS
+
+    def bits(marks: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join([x[17:] for x in marks]), np.uint64).reshape(-1, MARK_BITS // 64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fewest, x, y, same in zip(batch.column("fewest_a").to_pylist(), batch.column("marks_a"), batch.column("marks"), batch.column("same").to_pylist(), strict=True):
+            small: dict[int, list[list[bytes]]] = {RADIUS: [], SHORT_RADIUS: []}
+            found: list[tuple[bytes, bytes]] = []
+            for x, y, same in zip(batch.column("marks_a"), batch.column("marks"), batch.column("same").to_pylist(), strict=True):
                 first, second = x.as_py(), y.as_py()
-                a, b = (np.frombuffer(b"".join(some), np.uint64).reshape(-1, 2 + MARK_BITS // 64)[:, 2:] for some in (first, second))
-                i, j = _wide_links(a, b, same, SHORT_RADIUS if fewest <= FEWEST else RADIUS)
+                reach = radius(first)
+                if same and len(first) <= FEW:
+                    small[reach].append(first)
+                    continue
+                i, j = _wide_links(bits(first), bits(second), same, reach)
                 if not len(i):
                     continue
                 names = first if same else first + second
                 root = stars(i, j, len(names))
-                moved = np.flatnonzero(root != np.arange(len(names))).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[root[k]][:16] for k in moved], pa.binary()), pa.array([names[k][:16] for k in moved], pa.binary())], ["a", "b"])
-
-    return pairs.repartition(_tasks(tiles)).mapInArrow(compare, "a binary, b binary")
+                found += [(names[root[k]][:16], names[k][:16]) for k in np.flatnonzero(root != np.arange(len(names))).tolist()]
+            for reach, buckets in small.items():
+                for k, i, j in _few_links([bits(b) for b in buckets], reach):
+                    found += [(buckets[k][a][:16], buckets[k][b][:16]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            found = list(dict.fromkeys(found))  # a pair often shares several hashes
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    links = few.mapInArrow(compare, "a binary, b binary")
+    # tile pairs differ in size and number with the data: deal them out evenly
+    return links.unionByName(pairs.repartition(_tasks(tiles)).mapInArrow(compare, "a binary, b binary"))
 
 
 def alike(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
@@ -379,7 +436,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     components of these links.  Repeated rows are one row."""
     shelf = Shelf(docs.sparkSession, "simhash")
     marked = shelf.put(_set_marks(docs, id_col, text_col, words), "marked")
-    nodes = shelf.put(marked.groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    nodes = shelf.put(marked.groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low")), "nodes")
     maybe = components(candidates(nodes, shelf), shelf)
     texts = marked.select("key", F.col("row").getField(text_col).alias("text"))
     roots = components(_verified(maybe, nodes, texts, words, shelf), shelf)

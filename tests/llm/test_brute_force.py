@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import decontamination, fuzzy, lines, mixing, pii, queries, sharding, simhash, toxicity
 from quern.llm.oracles import ORACLES
+from tests.llm.test_near_exact import kept_by_jaccard
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -353,22 +354,7 @@ def test_pipeline(spark, texts):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     clean = {r["row"]["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] < 0.5}
 
-    fp = {k: simhash.fingerprint(texts[k].encode(), 5, 256, False) for k in clean}
-    marks = {k: int.from_bytes(v.astype(">u8").tobytes(), "big") for k, v in fp.items()}
-    parent = {k: k for k in clean}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(clean)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (marks[a] ^ marks[b]).bit_count() <= 39:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    unique = {k for k in ids if root(k) == k}
+    unique = kept_by_jaccard({k: texts[k] for k in clean})
 
     items = [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
     wins = {w for t in items for w, _ in decontamination.windows(t.encode(), 10)}

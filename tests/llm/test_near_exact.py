@@ -61,8 +61,22 @@ def test_stage_is_exact(spark):
 
 def test_stage_is_exact_over_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_TILE", 16)
+    monkeypatch.setattr(simhash, "BUCKET", 16)
     monkeypatch.setattr(simhash, "SETS", 3)
     rng = random.Random(9)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     texts = some_texts() | {10_000 + k: " ".join([*base, f"x{k}", f"y{k}"]) for k in range(40)}
     assert kept_by_stage(spark, texts) == kept_by_jaccard(texts)
+
+
+def test_pairs_at_the_threshold_meet():
+    """Of a thousand pairs of sets just at 0.8, all share one of their least hashes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 9, 20, 45, 90, 200, 900):
+        for _ in range(125):
+            union = np.unique(rng.integers(0, 2**63, 5 * n, np.uint64))[: 5 * (len(range(n)))]
+            rng.shuffle(union)
+            a, b = np.sort(union[: 9 * len(union) // 10]), np.sort(union[len(union) // 10 :])
+            assert set(simhash._least(a).tolist()) & set(simhash._least(b).tolist())
