@@ -297,7 +297,8 @@ def _few_links(buckets: list[np.ndarray], radius: int) -> Iterator[tuple[int, np
     """(bucket, i, j) of all pairs within the radius in small buckets, those of one size a step."""
     by_size: dict[int, list[int]] = {}
     for k, some in enumerate(buckets):
-        by_size.setdefault(len(some), []).append(k)
+        if len(some) > 1:
+            by_size.setdefault(len(some), []).append(k)
     for size, which in by_size.items():
         i, j = np.triu_indices(size, 1)
         for begin in range(0, len(which), max(1, 200_000 // len(i))):
