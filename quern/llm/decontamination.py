@@ -1,12 +1,14 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items.
 
-Texts and items are normalised alike: A-Z lower-cased, words of ASCII letters, digits and non-ASCII characters, one
-space between words.  Each item gives its windows of ``width`` consecutive words (one window if it has fewer).  A
-worker builds the automaton once and scans each normalised text once; word positions are then mapped back to offsets
-of the original text.
+Texts and items are normalised alike: A-Z lower-cased, words of ASCII letters, digits and non-ASCII characters.  Each
+item gives its windows of ``width`` consecutive words (one window if it has fewer), which executors build.  The
+automaton reads words: each word of the benchmark is one symbol, all others are one symbol that no window has.  So a
+window takes ``width`` nodes at most and a text is scanned once, a step a word; word positions are then mapped back to
+offsets of the original text.
 
-The items are measured before they are gathered.  Up to ``block_chars`` of window text make one automaton; a larger
-benchmark is dealt into blocks by a hash of the item, each with its own automaton, and a worker holds one at a time.
+The windows are measured before they are gathered.  Up to ``block_nodes`` nodes (about 60 bytes of a worker each) make
+one automaton and one scan.  A larger benchmark is dealt into blocks by a hash of the window; texts are then scanned
+block by block, each scan a written pass over the texts, in which a worker builds its one automaton once.
 
 Edge cases: null and empty texts and items have no words; an item without words has no window; repeated items count
 once per item id; a null item id is written as an empty string; a repeated document is judged again; an empty
@@ -16,7 +18,6 @@ benchmark hits nothing.
 from __future__ import annotations
 
 import functools
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import packed, prepare
+from quern.llm.common import Shelf, packed, prepare
 from quern.llm.text import FOLDED, utf8
 
-#: Characters of window text in one automaton: about 40 bytes of a worker's memory each.
-BLOCK_CHARS = 6_000_000
+#: Nodes of one automaton at most: the words of all its windows.
+BLOCK_NODES = 4_000_000
+#: Words that one automaton can tell apart: code points, but for 0 (any other word) and the surrogates.
+SYMBOLS = 0x10FFFF - 0x800
 
 RESULT = [
     T.StructField("n_words", T.LongType()),
@@ -40,70 +43,94 @@ RESULT = [
 ]
 
 
-def windows(item: bytes, width: int) -> set[tuple[str, int]]:
-    """The windows of an item, as (text with a space at both ends, number of words)."""
+Window = tuple[bytes, tuple[int, ...]]
+
+
+def windows(item: bytes, width: int) -> set[bytes]:
+    """The windows of an item, words one space apart."""
     words = item.translate(FOLDED).split()
     size = min(width, len(words))
-    return {((b" " + b" ".join(words[i : i + size]) + b" ").decode("latin-1"), size) for i in range(len(words) - size + 1)} if size else set()
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
-@functools.lru_cache(maxsize=1)
-def _automaton(block) -> ahocorasick.Automaton:
-    """block: a broadcast of (window, words in it, numbers of items)."""
-    out = ahocorasick.Automaton()
-    for text, size, items in block.value:
-        out.add_word(text, (len(text), size, items))
-    out.make_automaton()
-    return out
+def _table(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(window, items): the distinct windows with the sorted ids of the items that have them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name or "", w) for name, text in zip(batch.column("i").to_pylist(), utf8(batch.column("t")), strict=True) for w in windows(text, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.binary()), pa.array([x[0] for x in found], pa.string())], ["window", "item"])
+
+    cuts = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, "window binary, item string")
+    return cuts.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
 
+def _parted(found: list[Window]) -> Iterator[list[Window]]:
+    """The windows, in halves of halves as long as they have more words than there are symbols."""
+    if len({w for text, _ in found for w in text.split()}) < SYMBOLS:
+        yield found
+    else:
+        yield from _parted(found[::2])
+        yield from _parted(found[1::2])
 
-def _blocks(items: DataFrame, width: int, id_col: str, text_col: str, block_chars: int) -> tuple[list, list]:
-    """Broadcasts of the windows of each block, and of its item ids."""
-    chars = items.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n_blocks = 1 + int(chars) * width // block_chars
-    context, blocks, names = items.sparkSession.sparkContext, [], []
+
+def _blocks(items: DataFrame, width: int, id_col: str, text_col: str, block_nodes: int, shelf: Shelf) -> Iterator[tuple]:
+    """Broadcasts of each block's windows, and of the item ids that they refer to by number."""
+    table = shelf.put(_table(items, width, id_col, text_col), "windows")
+    nodes = table.agg(F.sum(F.size(F.split(F.col("window").cast("string"), " ")))).first()[0] or 0
+    n_blocks = max(1, -(-int(nodes) // block_nodes))
+    context = items.sparkSession.sparkContext
     for k in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(n_blocks)) == k).select(F.col(id_col).cast("string").alias("i"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
         ids: dict[str, int] = {}
-        found: dict[tuple[str, int], set[int]] = defaultdict(set)
-        for name, text in part.toLocalIterator():
-            for window in windows(bytes(text), width):
-                found[window].add(ids.setdefault(name or "", len(ids)))
-        if found:
-            blocks.append(context.broadcast([(text, size, tuple(sorted(x))) for (text, size), x in found.items()]))
-            names.append(context.broadcast(list(ids)))
-    return blocks, names
-
-
-def _scan(texts: list[bytes], blocks: list, names: list) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    folded = [t.translate(FOLDED) for t in texts]
-    split = [t.split() for t in folded]
-    scanned = [" " + b" ".join(w).decode("latin-1") + " " if w else "" for w in split]
-    hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for block, known in zip(blocks, names, strict=True):
-        machine = _automaton(block)
-        for k, text in enumerate(scanned):
-            for end, (length, size, who) in machine.iter(text):
-                hits[k].append((end - length + 1, size))
-                items[k].update([known.value[i] for i in who])
+        part = table.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
+        found = [(bytes(text), tuple(ids.setdefault(i, len(ids)) for i in who)) for text, who in part.toLocalIterator()]  # a block is bounded
+        for some in _parted(found):
+            yield context.broadcast(some), context.broadcast(list(ids))
+
+
+@functools.lru_cache(maxsize=1)
+def _automaton(block) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
+    """block: a broadcast of windows.  A symbol for each of their words, and the automaton over symbols."""
+    symbols: dict[bytes, str] = {}
+    out = ahocorasick.Automaton()
+    for text, who in block.value:
+        words = text.split()
+        for w in words:
+            if w not in symbols:
+                n = len(symbols) + 1
+                symbols[w] = chr(n if n < 0xD800 else n + 0x800)
+        out.add_word("".join([symbols[w] for w in words]), (len(words), who))
+    if block.value:
+        out.make_automaton()
+    return symbols, out
+
+
+def _scan(texts: list[bytes], block, names) -> list[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
+    """Words of each text, the hits (first word, words) in it and the items hit."""
+    symbols, machine = _automaton(block)
     out = []
-    for k, words in enumerate(split):
-        if not hits[k]:
-            out.append((len(words), 0, [], []))
-            continue
-        starts = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(w) + 1 for w in words], out=starts[1:])
-        change = np.zeros(len(words) + 1, np.int32)
-        found = np.array(sorted(set(hits[k])), np.int64)
-        first = np.searchsorted(starts, found[:, 0])
-        np.add.at(change, first, 1)
-        np.add.at(change, first + found[:, 1], -1)
-        hit = np.cumsum(change[:-1]) > 0
-        out.append((len(words), int(hit.sum()), sorted(items[k]), _spans(texts[k], folded[k], hit)))
+    for text in texts:
+        words = text.translate(FOLDED).split()
+        hits, items = [], set()
+        if symbols and words:
+            for end, (size, who) in machine.iter("".join([symbols.get(w, "\0") for w in words])):
+                hits.append((end - size + 1, size))
+                items.update([names.value[i] for i in who])
+        out.append((words, hits, items))
     return out
 
 
+def _judged(text: bytes, n_words: int, hits: list[tuple[int, int]], items: set[str]) -> tuple:
+    if not hits:
+        return n_words, 0, [], []
+    change = np.zeros(n_words + 1, np.int32)
+    at = np.array(sorted(set(hits)), np.int64)
+    np.add.at(change, at[:, 0], 1)
+    np.add.at(change, at[:, 0] + at[:, 1], -1)
+    hit = np.cumsum(change[:-1]) > 0
+    return n_words, int(hit.sum()), sorted(items), _spans(text, text.translate(FOLDED), hit)
+
+
 def _spans(text: bytes, folded: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     """Stretches of hit words as code point offsets of the original text."""
     inside = np.frombuffer(folded, np.uint8) != 0x20
@@ -120,25 +147,44 @@ def decontaminate(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_chars: int = BLOCK_CHARS,
+    block_nodes: int = BLOCK_NODES,
 ) -> DataFrame:
     """Each input row as struct ``row``, with ``n_words, n_hit, item_ids`` (sorted strings) and ``spans`` (start, end:
     stretches of hit words in the original text)."""
     prepare(docs.sparkSession)
-    blocks, names = _blocks(items, width, item_id_col, item_text_col, block_chars)
-    frame = docs.select(packed(docs), F.col(text_col).alias("text"))
+    shelf = Shelf(docs.sparkSession, "benchmark")
+    pair = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())])
+    frame = docs.select(packed(docs), F.col(text_col).alias("text"), F.lit(None).cast(T.ArrayType(pair)).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     schema = T.StructType([frame.schema["row"], *RESULT])
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _scan(utf8(batch.column("text")), blocks, names)
-            columns = [
-                pa.array([x[0] for x in found], kinds[0]),
-                pa.array([x[1] for x in found], kinds[1]),
-                pa.array([x[2] for x in found], kinds[2]),
-                pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in found], kinds[3]),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_words", "n_hit", "item_ids", "spans"])
-
-    return frame.mapInArrow(scan, schema)
+    held = [pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.list_(pa.string())]
+
+    def found(batch: pa.RecordBatch, block, names) -> Iterator[tuple[list[bytes], list, set[str]]]:
+        for (words, hits, items), before, some in zip(_scan(utf8(batch.column("text")), block, names), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            yield words, [*((x["first"], x["words"]) for x in before or ()), *hits], {*(some or ()), *items}
+
+    def gathering(block, names):
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                all_ = list(found(batch, block, names))
+                hits = [[{"first": a, "words": n} for a, n in dict.fromkeys(x[1])] for x in all_]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(hits, held[0]), pa.array([sorted(x[2]) for x in all_], held[1])], ["row", "text", "hits", "items"])
+
+        return gather
+
+    def judging(block, names):
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [_judged(text, len(words), hits, items) for text, (words, hits, items) in zip(utf8(batch.column("text")), found(batch, block, names), strict=True)]
+                columns = [pa.array([x[k] for x in out], kinds[k]) for k in range(3)]
+                spans = pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in out], kinds[3])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *columns, spans], ["row", "n_words", "n_hit", "item_ids", "spans"])
+
+        return judge
+
+    last = None
+    for block in _blocks(items, width, item_id_col, item_text_col, block_nodes, shelf):
+        if last:  # a block that others follow: its hits go with the texts to the next scan
+            frame = shelf.put(frame.mapInArrow(gathering(*last), frame.schema), "scanned")
+        last = block
+    return frame.mapInArrow(judging(*last), schema)

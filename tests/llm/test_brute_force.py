@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontamination, fuzzy, lines, mixing, pii, queries, sharding, simhash, toxicity
+from quern.llm import fuzzy, lines, mixing, pii, queries, sharding, simhash, toxicity
 from quern.llm.oracles import ORACLES
 from tests.llm.test_near_exact import kept_by_jaccard
 
@@ -357,8 +357,9 @@ def test_pipeline(spark, texts):
     unique = kept_by_jaccard({k: texts[k] for k in clean})
 
     items = [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
-    wins = {w for t in items for w, _ in decontamination.windows(t.encode(), 10)}
-    fold = {k: (b" " + b" ".join(texts[k].encode().translate(decontamination.FOLDED).split()) + b" ").decode("latin-1") for k in unique}
+    item_words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER)) for t in items]
+    wins = {" ".join(["", *w[i : i + 10], ""]) for w in item_words for i in range(max(1, len(w) - 9)) if w}
+    fold = {k: " ".join(["", *re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[k].translate(LOWER)), ""]) for k in unique}
     free = {k for k in unique if not any(w in fold[k] for w in wins)}
     kept = spark.createDataFrame([(k,) for k in sorted(free)], "doc_id long").join(docs, "doc_id")
     copies = {r["id"]: r["copies"] for r in mixing.mix(kept, share=1.0).collect()}
