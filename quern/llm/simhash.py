@@ -59,6 +59,8 @@ LEAST = 13
 FEW = 16
 #: Nodes of a bucket that is one record; larger ones are laid out by sizes.
 BUCKET = 256
+#: Pairs of fingerprints that a task compares, about.
+TASK_PAIRS = 2e8
 #: Sets of a tile, and shingles of all its sets, about.
 SETS, SET_SHINGLES = 512, 500_000
 
@@ -360,7 +362,9 @@ def candidates(nodes: DataFrame, shelf: Shelf) -> DataFrame:
 
     links = few.mapInArrow(compare, "a binary, b binary")
     # tile pairs differ in size and number with the data: deal them out evenly
-    return links.unionByName(pairs.repartition(_tasks(tiles)).mapInArrow(compare, "a binary, b binary"))
+    squares = tiles.agg(F.sum(F.size("marks").cast("double") ** 2)).first()[0] or 0.0
+    tasks = int(min(20_000, max(nodes.sparkSession.sparkContext.defaultParallelism, (NEXT_BANDS + 1) * squares / TASK_PAIRS)))
+    return links.unionByName(pairs.repartition(tasks).mapInArrow(compare, "a binary, b binary"))
 
 
 def alike(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
