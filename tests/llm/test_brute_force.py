@@ -171,24 +171,6 @@ def test_pii_patterns_on_odd_texts():
     assert pii.patterns("1" * 200_000) == [] and pii.patterns("a" * 200_000 + "@") == []
 
 
-def test_pii_field_adds_other_forms():
-    found = pii.find(["call (386) 555-8773 now", "write to bob at mail dot example dot com", "the 1234567812345678 of 1999", "nothing at all"])
-    assert [[(k, a, b) for k, a, b in x[1]] for x in found] == [[("phone", 5, 19)], [("email", 9, 40)], [], []]
-
-
-def test_viterbi_is_the_best_path():
-    import itertools
-
-    import numpy as np
-
-    field = pii.field()
-    codes = field.codes(["call", "555", "-", "1234"])
-    scores = field.scores(codes)
-    start = np.array([0.0 if t[0] != "I" else -1e6 for t in pii.TAGS])
-    best = max(itertools.product(range(len(pii.TAGS)), repeat=4), key=lambda p: start[p[0]] + sum(scores[k, t] for k, t in enumerate(p)) + sum(field.step[a, b] for a, b in itertools.pairwise(p)))
-    assert field.decode([codes, codes[:1]])[0].tolist() == list(best)
-
-
 def test_fingerprint_query(spark, texts):
     order = sorted(texts, reverse=True)
     got = by_id(queries.op7_piecewise_fingerprints(spark, SF))
