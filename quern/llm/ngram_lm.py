@@ -6,11 +6,16 @@ n-grams that a block has in one hash partition, sorted, with their occurrences.
 records of its n-grams to its part of the count table and joins it to them: it answers each record with the totals in
 the record's order.  The answers meet the block's documents again, where each position is scored.  An n-gram takes
 part once a block, so a word that every document has is no heavier than any other, and 7 bytes an n-gram are moved
-out and fewer back.
+out and about one back.  Rows of the DataFrame, one an n-gram, would move over 20 bytes each: at three orders more than
+ten times the text.
 
-The score of a word w after v is c(v w) / c(v), or, if no other document has "v w", 0.4 c(w) / N; the first word of a
-text takes c(w) / N.  A word that no other document has counts as half an occurrence.  All counts leave out the scored
-document's own.  Documents are rows: copies of a text score one another.
+The score of a word w after the words u is c(u w) / c(u), or, if no other document has "u w", 0.4 times the score of w
+after u less its first word; without words before it, it is c(w) / N.  ``order`` is the length of the longest n-gram.
+A word that no other document has counts as half an occurrence.  All counts leave out the scored document's own.
+Documents are rows: copies of a text score one another.
+
+An n-gram stands for itself by the low 56 bits of a hash and its partition (see ``substrings``): of 10**10 distinct
+n-grams in 256 partitions or more some twenty share their count with another.
 
 Edge cases: a null or wordless text has no score (null) and 0 words; repeated rows are documents of their own; an
 empty table gives an empty result.
@@ -61,8 +66,20 @@ def _eight(packed: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_words, n_seen`` (bigrams that other documents have) and ``log2_score`` (mean over the words)."""
+def _bytes(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each, and those of 255 and more in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _counts(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, "<u8").astype(np.int64)
+    return out
+
+
+def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_words, n_seen`` (n-grams of ``order`` words that other documents have) and ``log2_score`` (mean over the
+    words)."""
     spark = docs.sparkSession
     prepare(spark)
     shelf, points = Shelf(spark, "lm"), drawn()
@@ -75,43 +92,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         def pack(table: pa.Table) -> pa.Table:
             texts = [t.translate(LOWERED) for t in utf8(table.column("text"))]
             block = table.column("block")[0].as_py()
-            out: dict[str, list] = {k: [] for k in ("part", "n", "block", "grams", "counts")}
+            out: dict[str, list] = {k: [] for k in ("part", "n", "block", "grams", "counts", "large")}
             hashes, counts = np.unique(grams(texts, n, points)[0], return_counts=True)
             cuts = np.searchsorted(_part_of(hashes, n_parts), np.arange(n_parts + 1))
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
-                    for k, v in zip(out, (p, n, block, _seven(hashes[a:b]), counts[a:b].astype(np.uint32).tobytes()), strict=True):
+                    for k, v in zip(out, (p, n, block, _seven(hashes[a:b]), *_bytes(counts[a:b])), strict=True):
                         out[k].append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
         return pack
 
     def total(table: pa.Table) -> pa.Table:
         held = [_eight(x) for x in table.column("grams").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([_counts(x, y) for x, y in zip(table.column("counts").to_pylist(), table.column("large").to_pylist(), strict=True)])
         names, where = np.unique(np.concatenate(held), return_inverse=True)
         totals = np.bincount(where, counts, minlength=len(names)).astype(np.int64)[where]
         cuts = np.cumsum([0, *map(len, held)])
-        answers = [totals[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"part": table.column("part"), "n": table.column("n"), "block": table.column("block"), "totals": pa.array(answers, pa.binary()), "words": pa.array([int(counts[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64())})
+        answers = [_bytes(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        words = [int(counts[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({**{c: table.column(c) for c in ("part", "n", "block")}, "totals": pa.array([x[0] for x in answers], pa.binary()), "large": pa.array([x[1] for x in answers], pa.binary()), "words": pa.array(words, pa.int64())})
 
     def answered(n: int) -> DataFrame:
-        packed = blocked.groupBy("block").applyInArrow(packing(n), "part int, n int, block int, grams binary, counts binary")
-        return shelf.put(packed.groupBy("part").applyInArrow(total, "part int, n int, block int, totals binary, words long"), f"answers{n}")
+        packed = blocked.groupBy("block").applyInArrow(packing(n), "part int, n int, block int, grams binary, counts binary, large binary")
+        return shelf.put(packed.groupBy("part").applyInArrow(total, "part int, n int, block int, totals binary, large binary, words long"), f"answers{n}")
 
-    answers = answered(1).unionByName(answered(2))  # one after the other: only one order's n-grams are on the move at a time
+    orders = range(1, order + 1)
+    answers = answered(1)
+    for n in orders[1:]:  # one after the other: only one order's n-grams are on the move at a time
+        answers = answers.unionByName(answered(n))
     n_words = answers.where("n = 1").agg(F.sum("words")).first()[0] or 0
     kind = dict(rows.dtypes)["id"]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [t.translate(LOWERED) for t in utf8(left.column("text"))]
-        order = sorted(zip(right.column("n").to_pylist(), right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])
+        columns = (right.column(c).to_pylist() for c in ("n", "part", "totals", "large"))
+        by_part = sorted(zip(*columns, strict=True), key=lambda x: x[:2])
         rest, who, at = [], [], []
-        for n in (1, 2):
+        for n in orders:
             hashes, text, start = grams(texts, n, points)
             names, where = np.unique(hashes, return_inverse=True)
-            totals = np.frombuffer(b"".join(x[2] for x in order if x[0] == n), np.int64)
+            totals = np.concatenate([np.zeros(0, np.int64), *(_counts(x[2], x[3]) for x in by_part if x[0] == n)])
             _, own, times = np.unique(text * max(1, len(names)) + where, return_inverse=True, return_counts=True)
             rest.append(totals[where] - times[own] if len(hashes) else np.zeros(0, np.int64))
             who.append(text)
@@ -123,20 +145,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _scored(ids: pa.ChunkedArray, rest: list[np.ndarray], who: list[np.ndarray], at: list[np.ndarray], n: int, n_words: int) -> dict:
-    """rest: for each word and each bigram its count in other documents."""
+    """rest: for each n-gram of each order its count in other documents; who and at: its text and place."""
     words = np.bincount(who[0], minlength=n)
     begin = np.cumsum(words) - words
     others = np.maximum(1, n_words - words).astype(float)
-    alone = np.log2(np.maximum(rest[0], UNSEEN)) - np.log2(others)[who[0]]
-    first = begin[who[1]] + at[1]  # place of the bigram's first word
-    seen = rest[1] > 0
-    after = np.where(seen, np.log2(np.maximum(rest[1], 1)) - np.log2(np.maximum(rest[0][first], 1)), np.log2(BACKOFF) + alone[first + 1])
-    value = alone * (at[0] == 0)
-    value[first + 1] = after
+    value = np.log2(np.maximum(rest[0], UNSEEN)) - np.log2(others)[who[0]]
+    shorter = begin
+    for k in range(1, len(rest)):
+        last = begin[who[k]] + at[k] + k  # place of the n-gram's last word
+        context = rest[k - 1][shorter[who[k]] + at[k]]  # count of the n-gram without it
+        seen = rest[k] > 0
+        value[last] = np.where(seen, np.log2(np.maximum(rest[k], 1)) - np.log2(np.maximum(context, 1)), np.log2(BACKOFF) + value[last])
+        many = np.bincount(who[k], minlength=n)
+        shorter = np.cumsum(many) - many
     sums = np.bincount(who[0], value, minlength=n)
     return {
         "id": ids,
         "n_words": pa.array(words, pa.int64()),
-        "n_seen": pa.array(np.bincount(who[1], seen, minlength=n).astype(np.int64), pa.int64()),
+        "n_seen": pa.array(np.bincount(who[-1], rest[-1] > 0, minlength=n).astype(np.int64), pa.int64()),
         "log2_score": pa.array([s / w if w else None for s, w in zip(sums.tolist(), words.tolist(), strict=True)], pa.float64()),
     }

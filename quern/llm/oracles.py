@@ -74,22 +74,26 @@ ORACLES["op5_stupid_backoff"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT r, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, len(w) AS n FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+p AS (
+  SELECT r, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, CASE WHEN i > 2 THEN w[i - 2] END AS first, len(w) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 u AS (SELECT word, count(*) AS c FROM p GROUP BY 1),
 b AS (SELECT before, word, count(*) AS c FROM p WHERE i > 1 GROUP BY 1, 2),
+g AS (SELECT first, before, word, count(*) AS c FROM p WHERE i > 2 GROUP BY 1, 2, 3),
 t AS (SELECT count(*) AS total FROM p),
 x AS (
   SELECT p.*, greatest(1, total - n)::DOUBLE AS others,
     u.c - count(*) OVER (PARTITION BY r, p.word) AS cw,
-    b.c - count(*) OVER (PARTITION BY r, p.before, p.word) AS cb
-  FROM p CROSS JOIN t JOIN u USING (word) LEFT JOIN b ON b.before = p.before AND b.word = p.word),
-y AS (SELECT *, lag(cw) OVER (PARTITION BY r ORDER BY i) AS ch FROM x),
+    b.c - count(*) OVER (PARTITION BY r, p.before, p.word) AS cb,
+    g.c - count(*) OVER (PARTITION BY r, p.first, p.before, p.word) AS cg
+  FROM p CROSS JOIN t JOIN u USING (word) LEFT JOIN b ON b.before = p.before AND b.word = p.word
+    LEFT JOIN g ON g.first = p.first AND g.before = p.before AND g.word = p.word),
+y AS (SELECT *, lag(cw) OVER (PARTITION BY r ORDER BY i) AS ch, lag(cb) OVER (PARTITION BY r ORDER BY i) AS cp FROM x),
 z AS (
-  SELECT r, i, cb, CASE
-    WHEN i = 1 THEN log2(greatest(cw, 0.5)::DOUBLE) - log2(others)
-    WHEN cb > 0 THEN log2(cb::DOUBLE) - log2(greatest(ch, 1)::DOUBLE)
-    ELSE log2(0.4::DOUBLE) + log2(greatest(cw, 0.5)::DOUBLE) - log2(others) END AS v
+  SELECT *, log2(greatest(cw, 0.5)::DOUBLE) - log2(others) AS one,
+    CASE WHEN i = 1 THEN NULL WHEN cb > 0 THEN log2(cb::DOUBLE) - log2(greatest(ch, 1)::DOUBLE) ELSE log2(0.4::DOUBLE) + log2(greatest(cw, 0.5)::DOUBLE) - log2(others) END AS two
   FROM y),
-s AS (SELECT r, count(*) FILTER (i > 1 AND cb > 0) AS seen, avg(v) AS score FROM z GROUP BY r)
+v AS (SELECT r, i, cg, CASE WHEN i = 1 THEN one WHEN i = 2 THEN two WHEN cg > 0 THEN log2(cg::DOUBLE) - log2(greatest(cp, 1)::DOUBLE) ELSE log2(0.4::DOUBLE) + two END AS v FROM z),
+s AS (SELECT r, count(*) FILTER (i > 2 AND cg > 0) AS seen, avg(v) AS score FROM v GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(seen, 0)::BIGINT AS n_seen, round(score, 4) AS log2_score FROM d LEFT JOIN s USING (r)
 """
