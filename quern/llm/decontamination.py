@@ -2,12 +2,13 @@
 
 Texts and items are normalised alike: A-Z lower-cased, words of ASCII letters, digits and non-ASCII characters.  Each
 item gives its windows of ``width`` consecutive words (one window if it has fewer), which executors build.  The
-automaton reads words: each word of the benchmark is one symbol, all others are one symbol that no window has.  So a
-window takes ``width`` nodes at most and a text is scanned once, a step a word; word positions are then mapped back to
-offsets of the original text.
+automaton reads words: each word of the benchmark is a number of a few digits, all others are one that no window has.
+Digits are symbols, those of each place a set of their own, so that no match begins inside a word and no node has more
+than DIGITS children.  A text is scanned once, some two steps a word; word positions are then mapped back to offsets of
+the original text.
 
-The windows are measured before they are gathered.  Up to ``block_nodes`` nodes (about 60 bytes of a worker each) make
-one automaton and one scan.  A larger benchmark is dealt into blocks by a hash of the window; texts are then scanned
+The windows are measured before they are gathered.  Up to ``block_words`` words of windows (about 150 bytes of a worker
+each) make one automaton and one scan.  A larger benchmark is dealt into blocks by a hash of the window; texts are then scanned
 block by block, each scan a written pass over the texts, in which a worker builds its one automaton once.
 
 Edge cases: null and empty texts and items have no words; an item without words has no window; repeated items count
@@ -30,10 +31,9 @@ from pyspark.sql import types as T
 from quern.llm.common import Shelf, packed, prepare
 from quern.llm.text import FOLDED, utf8
 
-#: Nodes of one automaton at most: the words of all its windows.
-BLOCK_NODES = 4_000_000
-#: Words that one automaton can tell apart: code points, but for 0 (any other word) and the surrogates.
-SYMBOLS = 0x10FFFF - 0x800
+#: Words of all windows of one automaton at most.
+BLOCK_WORDS = 2_000_000
+DIGITS = 64
 
 RESULT = [
     T.StructField("n_words", T.LongType()),
@@ -65,56 +65,46 @@ def _table(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     return cuts.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _parted(found: list[Window]) -> Iterator[list[Window]]:
-    """The windows, in halves of halves as long as they have more words than there are symbols."""
-    if len({w for text, _ in found for w in text.split()}) < SYMBOLS:
-        yield found
-    else:
-        yield from _parted(found[::2])
-        yield from _parted(found[1::2])
-
-
-def _blocks(items: DataFrame, width: int, id_col: str, text_col: str, block_nodes: int, shelf: Shelf) -> Iterator[tuple]:
+def _blocks(items: DataFrame, width: int, id_col: str, text_col: str, block_words: int, shelf: Shelf) -> Iterator[tuple]:
     """Broadcasts of each block's windows, and of the item ids that they refer to by number."""
     table = shelf.put(_table(items, width, id_col, text_col), "windows")
-    nodes = table.agg(F.sum(F.size(F.split(F.col("window").cast("string"), " ")))).first()[0] or 0
-    n_blocks = max(1, -(-int(nodes) // block_nodes))
+    words = table.agg(F.sum(F.size(F.split(F.col("window").cast("string"), " ")))).first()[0] or 0
+    n_blocks = max(1, -(-int(words) // block_words))
     context = items.sparkSession.sparkContext
     for k in range(n_blocks):
         ids: dict[str, int] = {}
         part = table.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
         found = [(bytes(text), tuple(ids.setdefault(i, len(ids)) for i in who)) for text, who in part.toLocalIterator()]  # a block is bounded
-        for some in _parted(found):
-            yield context.broadcast(some), context.broadcast(list(ids))
+        yield context.broadcast(found), context.broadcast(list(ids))
 
 
 @functools.lru_cache(maxsize=1)
-def _automaton(block) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
-    """block: a broadcast of windows.  A symbol for each of their words, and the automaton over symbols."""
-    symbols: dict[bytes, str] = {}
+def _automaton(block) -> tuple[dict[bytes, str], int, ahocorasick.Automaton]:
+    """block: a broadcast of windows.  The digits of each of their words, how many they are, and the automaton."""
+    split = [text.split() for text, _ in block.value]
+    words = dict.fromkeys(w for some in split for w in some)
+    places = 1
+    while DIGITS**places < len(words):
+        places += 1
+    digits = {w: "".join(chr(1 + p * DIGITS + n // DIGITS**p % DIGITS) for p in range(places)) for n, w in enumerate(words)}
     out = ahocorasick.Automaton()
-    for text, who in block.value:
-        words = text.split()
-        for w in words:
-            if w not in symbols:
-                n = len(symbols) + 1
-                symbols[w] = chr(n if n < 0xD800 else n + 0x800)
-        out.add_word("".join([symbols[w] for w in words]), (len(words), who))
-    if block.value:
+    for some, (_, who) in zip(split, block.value, strict=True):
+        out.add_word("".join([digits[w] for w in some]), (len(some), who))
+    if split:
         out.make_automaton()
-    return symbols, out
+    return digits, places, out
 
 
 def _scan(texts: list[bytes], block, names) -> list[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
     """Words of each text, the hits (first word, words) in it and the items hit."""
-    symbols, machine = _automaton(block)
-    out = []
+    digits, places, machine = _automaton(block)
+    other, out = "\0" * places, []
     for text in texts:
         words = text.translate(FOLDED).split()
         hits, items = [], set()
-        if symbols and words:
-            for end, (size, who) in machine.iter("".join([symbols.get(w, "\0") for w in words])):
-                hits.append((end - size + 1, size))
+        if digits and words:
+            for end, (size, who) in machine.iter("".join([digits.get(w, other) for w in words])):
+                hits.append((end // places - size + 1, size))
                 items.update([names.value[i] for i in who])
         out.append((words, hits, items))
     return out
@@ -147,7 +137,7 @@ def decontaminate(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_nodes: int = BLOCK_NODES,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Each input row as struct ``row``, with ``n_words, n_hit, item_ids`` (sorted strings) and ``spans`` (start, end:
     stretches of hit words in the original text)."""
@@ -183,7 +173,7 @@ def decontaminate(
         return judge
 
     last = None
-    for block in _blocks(items, width, item_id_col, item_text_col, block_nodes, shelf):
+    for block in _blocks(items, width, item_id_col, item_text_col, block_words, shelf):
         if last:  # a block that others follow: its hits go with the texts to the next scan
             frame = shelf.put(frame.mapInArrow(gathering(*last), frame.schema), "scanned")
         last = block

@@ -27,8 +27,8 @@ def test_blocks_find_what_one_automaton_finds(spark, monkeypatch):
 
     one = judged()
     assert sum(x[2] > 0 for x in one) > 40
-    assert judged(block_nodes=800) == one
-    monkeypatch.setattr(decontamination, "SYMBOLS", 12)
+    assert judged(block_words=800) == one
+    monkeypatch.setattr(decontamination, "DIGITS", 3)
     assert judged() == one
 
 

@@ -92,7 +92,7 @@ def test_decontamination(docs, none, items):
 
 def test_decontamination_in_blocks_agrees(docs, items):
     one = sorted(map(str, decontamination.decontaminate(docs, items).select("row.doc_id", "n_hit", "item_ids", "spans").collect()))
-    many = sorted(map(str, decontamination.decontaminate(docs, items, block_nodes=20).select("row.doc_id", "n_hit", "item_ids", "spans").collect()))
+    many = sorted(map(str, decontamination.decontaminate(docs, items, block_words=20).select("row.doc_id", "n_hit", "item_ids", "spans").collect()))
     assert one == many
 
 
