@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A stored table's rows over all cores, where its files give fewer splits than there are cores (one small file)."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def prepare(spark: SparkSession) -> None:
     """What the Python stages rely on: the package at the workers, and small Arrow batches."""
     ship(spark)
