@@ -7,9 +7,15 @@ Snowball description.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.functions.terms import Terms
+from quern.functions.text import yo_variants
 
 _VOWELS = "аеиоуыэюя"
 # Suffix classes of the published Russian stemmer.
@@ -67,6 +73,94 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ь") and len(w) - 1 >= region else w
 
 
+TOKEN = re.compile(r"\w+(?:\.?\w+)*")
+
+
+def analyzed(text: str, terms: Terms | None = None) -> list[str]:
+    """The index form of a text: lower-cased tokens without stop words and, if there is a dictionary, the main forms and
+    spellings of each in the context of all, all stemmed."""
+    tokens = [t for t in TOKEN.findall(text.lower()) if t not in STOP_WORDS and len(t) > 1]
+    if terms is not None:
+        context = list(dict.fromkeys(tokens))
+        tokens = tokens + [f for t in context for f in terms.word_forms(t, context) or () if f not in context]
+    return [stem(t) for t in tokens]
+
+
+def analyzed_column(text: Column, terms: Terms | None = None) -> Column:
+    """``analyzed`` of a column, in Arrow batches; a null text has no terms."""
+    memo: dict[str, list[str]] = {}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            if len(memo) > 100_000:
+                memo.clear()
+            memo.update({t: analyzed(t, terms) for t in some.dropna().unique() if t not in memo})
+            yield some.map(lambda t: memo.get(t, []) if isinstance(t, str) else [])
+
+    return run(text)
+
+
+# -- the choice of a normal form among a word's parses
+
+#: (pos, tags, score, normal, inflected): the parses of a word as an analyzer lists them, best first.
+PARSES = "array<struct<pos:string,tags:array<string>,score:double,normal:string,inflected:string>>"
+NOMINAL = ("NOUN", "ADJF", "ADJS", "PRTF", "PRTS")
+ADJECTIVAL = ("ADJF", "ADJS", "PRTF", "PRTS")
+
+
+def chosen_parse(word: Column, parses: Column) -> Column:
+    """The parse that a product word is read by.  Nouns, adjectives and participles that are no surnames are looked at in
+    their order; a later one that scores as high takes the place of the one held if it is a noun and that is not, if
+    that is a place name and it is not, if it is a noun without singular, or if its normal form is the word itself and
+    that one's is not.  Without any, the first parse of all."""
+    fit = F.filter(parses, lambda p: p["pos"].isin(*NOMINAL) & ~F.array_contains(p["tags"], "Surn"))
+
+    def noun(p: Column) -> Column:
+        return p["pos"] == "NOUN"
+
+    def geo(p: Column) -> Column:
+        return F.array_contains(p["tags"], "Geox")
+
+    def better(held: Column, p: Column) -> Column:
+        plural = noun(p) & F.array_contains(p["tags"], "Pltm")
+        return (p["score"] >= held["score"]) & ((~noun(held) & noun(p)) | (geo(held) & ~geo(p)) | plural | ((held["normal"] != word) & (p["normal"] == word)))
+
+    folded = F.aggregate(F.slice(fit, 2, F.greatest(F.size(fit), F.lit(1))), F.get(fit, 0), lambda held, p: F.when(better(held, p), p).otherwise(held))
+    return F.coalesce(folded, F.get(parses, 0))
+
+
+def adjective_nouns(lexicon: DataFrame) -> DataFrame:
+    """(word, noun): the noun that an adjective's article names, the shortest, then the first in the alphabet."""
+    return lexicon.where(F.size("noun_base") > 0).select("word", chosen(F.col("noun_base")).alias("noun"))
+
+
+def normal_forms(words: DataFrame, lexicon: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, parses) to (word, form).  Words of up to three letters stay.  Of others the chosen parse's inflected form
+    (its normal form, if it has none) counts if it is known, in either spelling of each е; adjectives then become their
+    nouns and nouns their main forms, by the lexicon's articles.  Results of under three letters, and unknown ones, give
+    the word itself."""
+    picked = words.withColumn("p", chosen_parse(F.col("word"), F.col("parses")))
+    norm = picked.select("word", F.coalesce("p.inflected", "p.normal", "word").alias("norm"), F.col("p.pos").alias("pos"))
+    there = known_words(norm.select(F.col("norm").alias("word")).distinct(), known).select(F.col("word").alias("norm"), F.lit(True).alias("known"))
+    nouns = adjective_nouns(lexicon).select(F.col("word").alias("norm"), "noun")
+    chains = lemma_table(lexicon.withColumn("noun_base", F.array().cast("array<string>"))).withColumnsRenamed({"word": "form", "lemma": "last"})
+    own = chains.withColumnsRenamed({"form": "word", "last": "own"}).where("word <> own")
+    with_noun = norm.join(there, "norm", "left").join(nouns, "norm", "left").withColumn("form", F.when(F.col("pos").isin(*ADJECTIVAL), F.coalesce("noun", "norm")).otherwise(F.col("norm")))
+    followed = with_noun.join(chains, "form", "left").join(own, "word", "left")
+    is_noun = (F.col("pos") == "NOUN") | (F.col("form") != F.col("norm"))
+    turned = F.coalesce(F.when(F.col("last") != F.col("form"), F.col("last")), F.when(F.col("word") != F.col("norm"), F.col("own")), F.col("form"))
+    form = F.when(is_noun, turned).otherwise(F.col("form"))
+    result = F.when((F.length("word") > 3) & F.coalesce("known", F.lit(False)) & (F.length(form) >= 3), form).otherwise(F.col("word"))
+    return followed.select("word", result.alias("form"))
+
+
+def known_words(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Words that the lexicon has as they are, or with ё for an е or е for each ё."""
+    spelled = words.select("word", F.explode(F.array_union(F.array("word"), yo_variants(F.col("word")))).alias("v"))
+    return spelled.join(known.select(F.col("word").alias("v")).distinct(), "v", "left_semi").select("word").distinct()
+
+
 def merged_layers(layers: DataFrame) -> DataFrame:
     """(layer, word, noun_base, same, pet, source): for each word the last layer that says anything of it, else the
     last."""

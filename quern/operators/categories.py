@@ -6,27 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import checked
+from quern.sources.paths import stored
 
 ROOT_ID = "-1"
-MAX_DEPTH = 64
 
 
-def closure(tree: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(tree: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, ancestor, depth) with depth 0 for the category itself.
 
-    The paths to ancestors double in length a round, so a tree of depth d takes log2(d) joins; a cycle raises."""
+    The paths to ancestors double in length a round, so a tree of depth d takes log2(d) joins.  Trees may be of any
+    depth; paths longer than there are categories are a cycle, which raises."""
     links = tree.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
     paths = links.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(
         links.join(links.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     )
-    reach = 1
-    while reach < max_depth:
+    reach, most = 1, None
+    while True:
         onward = paths.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
         longer = paths.where(F.col("depth") == reach).join(onward.where("more > 0"), "ancestor").select("id", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         if longer.isEmpty():
             break
         paths = paths.unionByName(longer)
         reach *= 2
+        if reach > 2:  # a deep tree: each round on what was written
+            most = links.count() if most is None else most
+            if reach > 2 * most:
+                raise ValueError("category cycle")
+            paths = stored(paths, "closure")
     looped = (F.col("depth") > 0) & (F.col("id") == F.col("ancestor"))
     return checked(paths, "depth", looped, "category cycle")
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.paths import numbered
+
 
 def first_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key; rows with a blank key all pass."""
+    """The first row of each key; rows with a blank key, which would be one hot group, all pass beside the window."""
     blank = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.when(~blank, F.row_number().over(w)).otherwise(1)).where("_n = 1").drop("_n")
+    first = df.where(~blank).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return first.unionByName(df.where(blank))
 
 
 def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -46,13 +49,18 @@ def not_returned(rows: DataFrame, returned: DataFrame, key: str) -> DataFrame:
 def group_limit(df: DataFrame, n: int, score: str, group: Column | None = None, alphabetical: str | None = None) -> DataFrame:
     """Rows of the first n distinct scores, with all ties.  With ``alphabetical`` groups are the values of that column
     in the order of the alphabet, and ties are by score."""
-    by = [F.col(alphabetical)] if alphabetical else [F.col(score).desc()]
-    parts = [group] if group is not None else [F.lit(0)]
-    w = Window.partitionBy(*parts).orderBy(*by)
+    by = F.col(alphabetical) if alphabetical else F.col(score).desc()
+    if group is None:  # the n-th best of all is a bound that every task can look up
+        kept = df.select(F.col(alphabetical or score).alias("_by")).distinct().orderBy(F.col("_by") if alphabetical else F.col("_by").desc()).limit(n)
+        ranks = kept.withColumn("rank", F.row_number().over(Window.orderBy(F.col("_by") if alphabetical else F.col("_by").desc())))
+        return df.join(F.broadcast(ranks), F.col(alphabetical or score) == F.col("_by")).drop("_by")  # n rows
+    w = Window.partitionBy(group).orderBy(by)
     return df.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= n)
 
 
 def in_chunks(df: DataFrame, order: list[Column], size: int = 10, group: Column | None = None) -> DataFrame:
-    """Rows numbered into pages of ``size``, within each group (without one, for bounded result lists)."""
-    w = Window.orderBy(*order) if group is None else Window.partitionBy(group).orderBy(*order)
+    """Rows numbered into pages of ``size``, within each group or over all."""
+    if group is None:
+        return numbered(df, "_n", *order).withColumn("page", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("page", F.floor((F.row_number().over(w) - 1) / size))

@@ -14,6 +14,8 @@ from quern.functions.text import checked
 INVERSE = {"contains": "subset_of", "subset_of": "contains"}
 SIMILAR_FROM = 0.85
 MIN_CAPACITY = 2
+#: Forms of a type whose subsets are all listed.
+MANY_FORMS = 8
 
 
 def inverse(rel: Column) -> Column:
@@ -65,28 +67,44 @@ def compared(a: Column, b: Column) -> Column:
     )
 
 
-def subsets(forms: Column, most: int = 3) -> Column:
-    """All non-empty proper or improper subsets of up to ``most`` forms, as sorted arrays (types have few forms)."""
+def subsets(forms: Column) -> Column:
+    """All non-empty subsets of a few forms, as sorted arrays."""
     start = F.array(F.array().cast("array<string>"))
-    every = F.aggregate(F.array_sort(F.array_distinct(forms)), start, lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda s: F.size(s) < most), lambda s: F.concat(s, F.array(x)))))
+    every = F.aggregate(F.array_sort(F.array_distinct(forms)), start, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
     return F.filter(every, lambda s: F.size(s) > 0)
 
 
 def containment(types: DataFrame, key: str = "type_key", forms: str = "forms") -> DataFrame:
-    """contains / subset_of edges by an equi-join of each type's subsets with the keys: no pair is compared."""
-    small = types.select(F.col(key).alias("b"), F.explode(subsets(F.col(forms))).alias("subset")).select("b", F.array_join("subset", " + ").alias("a"))
-    met = small.where("a <> b").join(types.select(F.col(key).alias("a")), "a", "left_semi")
-    return both_ways(edge(met, "a", "b", F.lit("contains")))
+    """contains / subset_of edges.  Types of up to MANY_FORMS forms list their subsets, which meet the keys by equality:
+    no pair is compared.  Longer ones, which have too many, meet the types that share a form with them, and contain
+    those all of whose forms they share."""
+    known = types.select(F.col(key).alias("a")).distinct()
+    few = types.where(F.size(forms) <= MANY_FORMS).select(F.col(key).alias("b"), F.explode(subsets(F.col(forms))).alias("subset")).select("b", F.array_join("subset", " + ").alias("a"))
+    met = few.where("a <> b").join(known, "a", "left_semi").select("a", "b")
+    long = types.where(F.size(forms) > MANY_FORMS).select(F.col(key).alias("b"), F.explode(F.array_distinct(forms)).alias("form"))
+    every = types.select(F.col(key).alias("a"), F.size(F.array_distinct(forms)).alias("n"), F.explode(F.array_distinct(forms)).alias("form"))
+    shared = long.join(every, "form").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n").select("a", "b")
+    return both_ways(edge(met.unionByName(shared).distinct(), "a", "b", F.lit("contains")))
+
+
+def _blocked(types: DataFrame, key: str, forms: str, side: str) -> DataFrame:
+    """Types by what similar ones have in common: how many forms, and their first letters."""
+    letters = F.array_join(F.array_sort(F.transform(forms, lambda x: F.substring(x, 1, 1))), "")
+    return types.select(F.col(key).alias(side), F.col(forms).alias(f"f{side}"), F.size(forms).alias("n"), letters.alias("letters"), F.length(F.array_join(forms, " ")).alias(f"l{side}"))
+
+
+def _rated(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, fa, la, b, fb, lb) whose ratio, to two decimals, reaches ``least``.  A ratio is at most twice the shorter
+    over both lengths, which rules out most pairs before it is computed."""
+    may = 2 * F.least("la", "lb") >= (least - 0.005) * (F.col("la") + F.col("lb"))
+    apart = pairs.where(may).where(compared(F.col("fa"), F.col("fb")).isNull())
+    return apart.withColumn("attr", type_similarity_udf("fa", "fb")).where(F.col("attr") >= least)
 
 
 def similar(types: DataFrame, key: str = "type_key", forms: str = "forms", least: float = SIMILAR_FROM) -> DataFrame:
     """similar edges among types of equal size and first letters whose ratio reaches ``least``."""
-    letters = F.array_join(F.array_sort(F.transform(forms, lambda x: F.substring(x, 1, 1))), "")
-    blocked = types.select(F.col(key).alias("k"), F.col(forms).alias("f"), F.size(forms).alias("n"), letters.alias("letters"))
-    left, right = blocked.withColumnsRenamed({"k": "a", "f": "fa"}), blocked.withColumnsRenamed({"k": "b", "f": "fb"})
-    pairs = left.join(right, ["n", "letters"]).where("a < b").where(compared(F.col("fa"), F.col("fb")).isNull())
-    rated = pairs.withColumn("attr", type_similarity_udf("fa", "fb")).where(F.col("attr") >= least)
-    return both_ways(edge(rated, "a", "b", F.lit("similar"), True, F.col("attr")))
+    pairs = _blocked(types, key, forms, "a").join(_blocked(types, key, forms, "b"), ["n", "letters"]).where("a < b")
+    return both_ways(edge(_rated(pairs, least), "a", "b", F.lit("similar"), True, F.col("attr")))
 
 
 def bags(products: DataFrame, types: str = "types", sqn: str = "sqn") -> DataFrame:
@@ -130,11 +148,38 @@ def children(edges: DataFrame) -> DataFrame:
     return down.join(between, ["a", "b"], "left_anti")
 
 
-def looked_up(parsed: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, type_key) of parsed types to those the dictionary has, and what they are identical or equal to."""
+def looked_up(parsed: DataFrame, types: DataFrame, edges: DataFrame, least: float = SIMILAR_FROM) -> DataFrame:
+    """Parsed types (id, type_key, forms) to what the dictionary relates them to: (id, type_key, b, rel, attr).
+
+    A type that the dictionary has is identical to itself and has its own relations there.  Types similar to it by the
+    same measure as in the dictionary come after, with their relations; what was related before is not listed again."""
+    relations = edges.select(F.col("a").alias("via"), F.col("b").alias("to"), "rel", "attr")
     known = parsed.join(types.select("type_key"), "type_key", "left_semi")
-    same = of_kinds(edges, "identical", "equals").select(F.col("a").alias("type_key"), "b")
-    return known.unionByName(known.join(same, "type_key").select("id", F.col("b").alias("type_key"))).distinct()
+    own = known.select("id", "type_key", F.col("type_key").alias("b"), F.lit("identical").alias("rel"), F.lit(None).cast("double").alias("attr"))
+    there = known.select("id", "type_key").join(relations, F.col("type_key") == F.col("via")).select("id", "type_key", F.col("to").alias("b"), "rel", "attr")
+    first = own.unionByName(there).distinct()
+    asked = parsed.select("type_key", "forms").dropDuplicates(["type_key"])
+    pairs = _blocked(asked, "type_key", "forms", "a").join(_blocked(types, "type_key", "forms", "b"), ["n", "letters"])
+    near = _rated(pairs, least).select(F.col("a").alias("type_key"), "b", "attr")
+    met = parsed.select("id", "type_key").distinct().join(near, "type_key").join(first.select("id", "type_key", "b"), ["id", "type_key", "b"], "left_anti")
+    fallback = met.select("id", "type_key", "b", F.lit("similar").alias("rel"), "attr")
+    onward = met.select("id", "type_key", F.col("b").alias("via")).join(relations, "via").select("id", "type_key", F.col("to").alias("b"), "rel", "attr").where("b <> type_key")
+    more = fallback.unionByName(onward.join(first.unionByName(fallback).select("id", "type_key", "b"), ["id", "type_key", "b"], "left_anti")).distinct()
+    return first.unionByName(more)
+
+
+def has_types(parsed: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:
+    """Parsed types that are root types of the dictionary."""
+    return parsed.join(root_types(types, edges).select("type_key"), "type_key", "left_semi")
+
+
+def spelled_out(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(type_text, type_key) of types as they are written, and edges of keys, to edges of texts.  Texts of one key are
+    equal; what one contains, so does the other."""
+    same = texts.select(F.col("type_text").alias("a"), "type_key").join(texts.select(F.col("type_text").alias("b"), "type_key"), "type_key").where("a <> b")
+    left, right = (texts.select(F.col("type_text").alias(f"text_{k}"), F.col("type_key").alias(k)) for k in "ab")
+    carried = edges.join(left, "a").join(right, "b").select(F.col("text_a").alias("a"), F.col("text_b").alias("b"), "rel", "soft", "attr")
+    return edge(same, "a", "b", F.lit("equals")).unionByName(carried).distinct()
 
 
 def built(types: DataFrame, tagged: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,14 @@ def makers(df: DataFrame, maker: str = "manufacturer", brand: str = "brand") ->
     return df.groupBy(maker).agg(F.array_sort(F.collect_set(brand)).alias("brands"))
 
 
+def linked_makers(brands: DataFrame) -> DataFrame:
+    """Registered brands (key, name, no_brand, manufacturers) to (manufacturer, brand, other): the makers that a maker's
+    brands link it to."""
+    owned = brands.where("NOT no_brand").select("name", F.explode("manufacturers").alias("manufacturer")).distinct()
+    others = owned.select(F.col("name").alias("brand"), F.col("manufacturer").alias("other"))
+    return owned.withColumnRenamed("name", "brand").join(others, "brand").where("manufacturer <> other").select("manufacturer", "brand", "other")
+
+
 def coverage(products: DataFrame, types: DataFrame, sqn: str = "sqn") -> DataFrame:
     """Types by capacity, and the share of short names that types of at least that capacity cover."""
     pairs = products.select(F.col(sqn).alias("sqn"), F.explode_outer("types").alias("type_key")).join(types.select("type_key", "capacity"), "type_key", "left")
@@ -55,7 +63,7 @@ def context_log(df: DataFrame) -> DataFrame:
 def enrichment(products: DataFrame) -> DataFrame:
     """Products, those with a type, and those with a type of several terms."""
     several = F.exists("types", lambda t: F.contains(t, F.lit(" + ")))
-    return products.agg(F.count("*").alias("n"), F.sum((F.size("types") > 0).cast("long")).alias("n_typed"), F.sum(several.cast("long")).alias("n_compound"))
+    return products.agg(F.count("*").alias("n"), F.count_if(F.size("types") > 0).alias("n_typed"), F.count_if(several).alias("n_compound"))
 
 
 def failures(df: DataFrame, key: str = "brand", ok: str = "ok") -> DataFrame:
@@ -74,8 +82,9 @@ def names_that_are_types(names: DataFrame, types: DataFrame) -> DataFrame:
 
 def sqn_tails(products: DataFrame, types: DataFrame, least: int = 3, sqn: str = "sqn") -> DataFrame:
     """What is left of short names when the longest type in them, as whole words in order, is taken out."""
+    longest = types.agg(F.max(F.size(F.split("type_text", " ")))).first()[0] or 1
     words = products.select(F.col(sqn).alias("sqn"), F.split(sqn, " ").alias("w"))
-    starts = words.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("w") - F.col("i") + 1))))
+    starts = words.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i") + 1))))
     phrases = starts.withColumn("type_text", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ")).join(types.select("type_text").distinct(), "type_text", "left_semi")
     best = phrases.groupBy("sqn", "w").agg(F.max(F.struct(F.col("n"), (-F.col("i")).alias("at"))).alias("m"))
     at, n = -F.col("m.at"), F.col("m.n")

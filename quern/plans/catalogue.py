@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import attributes, similarity, text, tokens
+from quern.functions import attributes, morphology, similarity, text, tokens
 from quern.functions.terms import Terms, main_forms, resolved_terms, type_tuples
 from quern.operators import brands, categories, dedup, relations, reports, search
+from quern.plans import products
 from quern.sources import catalogue as files
 from quern.sources import html
-from quern.sources.paths import shared_path, ship
+from quern.sources.paths import shared_path, ship, spread, stored
 from quern.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # -- tokens and text
 
 _WORDS = r"""list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[\s"|,.«»“”()?!+:]+'), lambda x: x <> '')"""
@@ -52,7 +57,7 @@ _WORDS = r"""list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[\s"|,
 
 @query(f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY ALL")
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return _documents(spark, sf_dir).select("doc_id", F.explode(text.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT p_partkey, len({_WORDS.format('p_name')})::BIGINT AS n_words, list_aggregate({_WORDS.format('p_name')}, 'string_agg', ' ') AS joined FROM part")
@@ -63,7 +68,7 @@ def tokenize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\",.«»“”()?+:]+', ' ', 'g')) AS label FROM documents")
 def cleanup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", text.cleanup(F.col("text")).alias("label"))
+    return _documents(spark, sf_dir).select("doc_id", text.cleanup(F.col("text")).alias("label"))
 
 
 def _last_edited(rows: DataFrame) -> DataFrame:
@@ -72,25 +77,6 @@ def _last_edited(rows: DataFrame) -> DataFrame:
     return rows.withColumn("b", before).select("conv_id", "turn", F.when(F.col("b").isNotNull() | (F.size("w") == 1), tokens.last_changed_token(F.coalesce("b", F.array().cast("array<string>")), F.col("w"))).alias("edited"))
 
 
-@query(
-    r"""
-    WITH c AS (
-      SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s"|,.«»“”()?!+:]+'), lambda x: x <> '')[1:4] AS w FROM conversations),
-    p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c),
-    s AS (
-      SELECT *, coalesce(list_min(list_filter(range(1, least(len(w), len(b)) + 1), lambda i: w[i] <> b[i])), least(len(w), len(b)) + 1) - 1 AS same FROM p)
-    SELECT conv_id, turn, CASE
-      WHEN len(w) = 1 THEN w[1]
-      WHEN b IS NULL OR w = b OR len(w) = 0 OR abs(len(w) - len(b)) > 1 THEN NULL
-      WHEN w[same + CASE WHEN len(w) >= len(b) THEN 2 ELSE 1 END:] = b[same + CASE WHEN len(w) <= len(b) THEN 2 ELSE 1 END:] THEN w[least(same + 1, len(w))] END AS edited
-    FROM s
-    """
-)
-def last_edited_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four words of each turn as successive queries of a session."""
-    return _last_edited(_t(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(text.words(F.col("text")), 1, 4).alias("w")))
-
-
 @query(
     r"""
     WITH c AS (
@@ -159,7 +145,7 @@ def attribute_parse_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT unnest(regexp_extract_all(lower(text), '(?:^|[^\w])(\d+(?:[.,]\d+)?)\s*%', 1)) AS share, count(*) AS n FROM documents GROUP BY 1")
 def percent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?:^|[^\w])({attributes.NUMBER})\s*%"), F.lit(1))
-    return _t(spark, sf_dir, "documents").select(F.explode(found).alias("share")).groupBy("share").agg(F.count("*").alias("n"))
+    return _documents(spark, sf_dir).select(F.explode(found).alias("share")).groupBy("share").agg(F.count("*").alias("n"))
 
 
 @query("SELECT part AS value, count(*) AS n FROM (SELECT unnest(string_split(replace(p_name, ' ', ' + '), ' + ')) AS part FROM part) GROUP BY 1")
@@ -284,12 +270,6 @@ def group_limit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.group_limit(_t(spark, sf_dir, "part"), 3, "p_retailprice", F.col("p_brand")).select("p_partkey", "p_brand", "p_retailprice", "rank")
 
 
-@query("SELECT p_partkey, (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) // 10 AS page FROM part WHERE p_brand = 'Brand#1'")
-def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "part").where("p_brand = 'Brand#1'")
-    return dedup.in_chunks(rows, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "page")
-
-
 @query("SELECT p_partkey, p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1) // 10 AS page FROM part")
 def result_pages_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every brand's list in pages."""
@@ -348,8 +328,6 @@ def brand_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_brands(brands.index(_registry(spark)), asked).select(F.col("query_id").alias("id"), "name", "matched", "not_matched")
 
 
-
-
 @query("SELECT p_partkey, token, v AS variant FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) JOIN (VALUES ('widgit'), ('plats'), ('geear'), ('screww'), ('bolts')) t(v) ON length(token) > 4 AND levenshtein(token, v) BETWEEN 1 AND CASE WHEN length(token) > 5 THEN 2 ELSE 1 END")
 def fuzzy_brand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("b").alias("key"), F.col("p_name").alias("sqn"))
@@ -407,6 +385,12 @@ def failures_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.failures(_t(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") % 5 != 0).alias("ok")))
 
 
+#: DuckDB: length of the longest common subsequence of {a} and {b}, row by row of the table.
+_LCS = """list_last(list_reduce([[0 FOR x IN range(0, length({b}) + 1)]] || [[unicode(c)] FOR c IN string_split({a}, '')],
+  lambda prev, ca: list_reduce([[0]] || [[j] FOR j IN range(1, length({b}) + 1)],
+    lambda line, j: list_append(line, CASE WHEN ca[1] = unicode(substr({b}, j[1], 1)) THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], line[j[1]]) END))))"""
+
+
 # -- types and relations: a part's name is its short name; its words and word pairs are its types
 
 _TYPE_SQL = """
@@ -476,7 +460,17 @@ def type_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.children(relations.containment(_types(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {_TYPE_SQL}, k AS (SELECT DISTINCT type_key, string_split(type_key, ' + ') AS f FROM ty),
+    l AS (SELECT *, list_aggregate(list_sort([x[1] FOR x IN f]), 'string_agg', '') AS letters FROM k),
+    p AS (SELECT x.type_key AS a, y.type_key AS b, x.f AS fa, y.f AS fb FROM l x JOIN l y ON x.letters = y.letters AND len(x.f) = len(y.f) AND x.type_key < y.type_key
+      WHERE NOT list_has_all(x.f, y.f) AND NOT list_has_all(y.f, x.f)),
+    w AS (SELECT *, array_to_string(fa, ' ') AS ja, array_to_string(fb, ' ') AS jb, array_to_string(fa, '') AS ta, array_to_string(fb, '') AS tb,
+      fa[1] AS a1, fb[1] AS b1, coalesce(fa[2], '') AS a2, coalesce(fb[2], '') AS b2 FROM p),
+    r AS (SELECT a, b, round(greatest(2 * greatest({_LCS.format(a='a1', b='b1')} + {_LCS.format(a='a2', b='b2')}, {_LCS.format(a='a1', b='b2')} + {_LCS.format(a='a2', b='b1')})::DOUBLE / (length(ta) + length(tb)),
+      CASE WHEN len(fa) > 1 THEN 2 * {_LCS.format(a='ja', b='jb')}::DOUBLE / (length(ja) + length(jb)) ELSE 0 END), 2) AS attr FROM w)
+    SELECT a, b, 'similar' AS rel, attr FROM r WHERE attr >= 0.7 UNION ALL SELECT b, a, 'similar', attr FROM r WHERE attr >= 0.7"""
+)
 def type_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.similar(_types(spark, sf_dir), least=0.7).select("a", "b", "rel", "attr")
 
@@ -486,9 +480,13 @@ def type_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.coverage(_typed(spark, sf_dir), _types(spark, sf_dir))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_typed, count(*) AS n_compound FROM part")
+@query("SELECT count(*) AS n, count(*) FILTER (p_size % 5 <> 0) AS n_typed, count(*) FILTER (p_size % 5 > 2) AS n_compound FROM part")
 def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.enrichment(_typed(spark, sf_dir))
+    """Parts by size without types, with single ones only, and with all."""
+    left = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("k"))
+    rows = _typed(spark, sf_dir).join(left, "p_partkey")
+    types = F.when(F.col("k") == 0, F.slice("types", 1, 0)).when(F.col("k") <= 2, F.slice("types", 1, 2)).otherwise(F.col("types"))
+    return reports.enrichment(rows.withColumn("types", types))
 
 
 _EDGES = [("a", "b", "similar", True, 0.9), ("a", "b", "contains", False, None), ("a", "c", "similar", True, 0.3), ("a", "c", "almost", True, 0.5), ("d", "e", "equals", False, None)]
@@ -500,12 +498,11 @@ def relation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.resolved(relations.both_ways(edges)).select("a", "b", "rel")
 
 
-@query("SELECT p_name, (SELECT max(greatest(0)) FROM (VALUES (0)) t(x)) + length(p_name) AS n, 1.0::DOUBLE AS self FROM part GROUP BY p_name")
-def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.length("p_name").cast("long").alias("n"), similarity.ratio_udf("p_name", "p_name").alias("self"))
-
-
-@query()
+@query(
+    f"""WITH n AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS word FROM part),
+    p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM n x JOIN n y USING (word) WHERE x.p_name < y.p_name)
+    SELECT a, b, 2 * {_LCS.format(a='a', b='b')}::DOUBLE / (length(a) + length(b)) AS ratio FROM p"""
+)
 def lcs_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different names that share a word."""
     named = _t(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.explode(F.split("p_name", " ")).alias("word"))
@@ -597,14 +594,6 @@ def type_tuples_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sqn", text.type_key(main_forms(F.col("one"), terms)).alias("type_key")).distinct().groupBy("type_key").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('котик', 'кошка'), ('кот', 'кошка'), ('кошка', 'кошка'), ('дом', 'дом')) t(word, lemma)")
-def lemma_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.functions.morphology import lemma_table
-
-    lines = spark.createDataFrame([("котик~same:кот # a chain",), ("кот~noun:кошка|котофей",), ("дом",), ("# comment",)], "value string")
-    return lemma_table(files.word_forms(lines)).where("word <> 'котофей'")
-
-
 @query("SELECT * FROM (VALUES ('котик', 'кошка'), ('кот', 'кошка'), ('кошка', 'кошка'), ('котофей', 'котофей'), ('дом', 'дом')) t(word, lemma)")
 def lemma_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word, those that articles only refer to among them."""
@@ -627,7 +616,7 @@ f AS (SELECT term, count(*) AS df FROM i GROUP BY 1)
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY ALL")
 def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_postings(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
+    return search.text_postings(_documents(spark, sf_dir), "doc_id", "text").select("doc_id", "term", "tf")
 
 
 @query(
@@ -635,7 +624,7 @@ def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM i JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN s WHERE term IN ('the', 'nicht', 'pathetic') GROUP BY 1"""
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, fields = _t(spark, sf_dir, "documents"), {"text": text.words(F.col("text"))}
+    docs, fields = _documents(spark, sf_dir), {"text": text.words(F.col("text"))}
     asked = spark.createDataFrame([(0, "text", t, 1.0) for t in ("the", "nicht", "pathetic")], "query_id int, field string, term string, boost double")
     index = search.postings(docs, "doc_id", fields, only=asked)
     return search.any_terms(index, asked, search.field_statistics(docs, fields)).select("doc_id", F.round("score", 6).alias("score"))
@@ -654,10 +643,15 @@ def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_products(_parts_index(spark, sf_dir), asked).join(part, "doc_id").select("doc_id", F.col("variant").cast("long").alias("variant"), "brand")
 
 
-@query("SELECT p_partkey AS doc_id, -1::BIGINT AS variant FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'blue')")
+@query(
+    f"""WITH {_TYPE_SQL}, i AS (SELECT p_partkey, type_key, count(*) AS tf FROM ty GROUP BY ALL), f AS (SELECT type_key, count(*) AS df FROM i GROUP BY 1)
+    SELECT p_partkey AS doc_id, -1::BIGINT AS variant,
+      round(sum(2 * ln(1 + ((SELECT count(*) FROM part) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score
+    FROM i JOIN f USING (type_key) WHERE type_key IN ('red', 'blue') GROUP BY p_partkey"""
+)
 def product_search_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.ProductQuery(types=(("red", 1), ("blue", 1)))
-    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"))
+    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey AS doc_id, 2::BIGINT AS variant FROM part WHERE (split_part(p_name, ' ', 1) LIKE 're%' OR split_part(p_name, ' ', 2) LIKE 're%') AND (split_part(p_name, ' ', 1) LIKE 'ri%' OR split_part(p_name, ' ', 2) LIKE 'ri%')")
@@ -672,6 +666,200 @@ def not_matched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(search.not_matched(asked, F.split("p_name", " ")), ",").alias("missing"))
 
 
+# -- deep trees, wide types, look-ups
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 90 = 7 THEN -1 ELSE s_suppkey - 1 END AS parent FROM supplier),
+    p AS (SELECT id, id AS ancestor, 0 AS depth FROM t UNION ALL SELECT p.id, t.parent, depth + 1 FROM p JOIN t ON p.ancestor = t.id WHERE t.parent IN (SELECT id FROM t))
+    SELECT * FROM p"""
+)
+def deep_category_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in chains of 90."""
+    k = F.col("s_suppkey")
+    return categories.closure(_t(spark, sf_dir, "supplier").select(k.alias("id"), F.when(k % 90 == 7, -1).otherwise(k - 1).alias("parent_id")))
+
+
+_WIDE_SQL = """
+wide AS (SELECT DISTINCT list_aggregate(list_sort(f), 'string_agg', ' + ') AS type_key, list_sort(f) AS forms FROM (
+  SELECT unnest([[a], [a, b], [b, c], [a, b, c], [a, b, c, d], [a, c, d, e], [a, b, c, d, e]]) AS f FROM (
+    SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_brand AS c, 's' || p_size % 3 AS d, p_type AS e FROM part)))
+"""
+
+
+def _wide_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of one to five forms: words, brand, size and kind of a part."""
+    w = F.split("p_name", " ")
+    a, b, c, d, e = w[0], w[1], F.col("p_brand"), F.concat(F.lit("s"), F.col("p_size") % 3), F.col("p_type")
+    sets = F.array(F.array(a), F.array(a, b), F.array(b, c), F.array(a, b, c), F.array(a, b, c, d), F.array(a, c, d, e), F.array(a, b, c, d, e))
+    return _t(spark, sf_dir, "part").select(F.explode(sets).alias("f")).select(text.type_key(F.col("f")).alias("type_key"), F.array_sort("f").alias("forms")).distinct()
+
+
+_WIDE_EDGES = f"""{_WIDE_SQL}, u AS (SELECT type_key, unnest(forms) AS form FROM wide),
+m AS (SELECT x.type_key AS a, y.type_key AS b, count(*) AS n FROM u x JOIN u y USING (form) WHERE x.type_key <> y.type_key GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN wide ON wide.type_key = m.a WHERE n = len(forms))"""
+
+
+@query(f"WITH {_WIDE_EDGES} SELECT a, b, 'contains' AS rel FROM e UNION ALL SELECT b, a, 'subset_of' FROM e")
+def wide_type_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.containment(_wide_types(spark, sf_dir)).select("a", "b", "rel")
+
+
+@query(f"WITH {_WIDE_EDGES} SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.b = y.a WHERE x.a = e.a AND y.b = e.b)")
+def wide_type_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.children(stored(relations.containment(_wide_types(spark, sf_dir)), "edges"))
+
+
+@query(f"WITH {_WIDE_EDGES} SELECT DISTINCT split_part(p_name, ' ', 2) AS type_key FROM part WHERE split_part(p_name, ' ', 2) IN (SELECT type_key FROM wide) AND split_part(p_name, ' ', 2) NOT IN (SELECT b FROM e) UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE split_part(p_name, ' ', 1) NOT IN (SELECT b FROM e)")
+def root_type_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = _wide_types(spark, sf_dir)
+    asked = _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("type_key")).distinct()
+    return relations.has_types(asked, types, relations.containment(types))
+
+
+@query(f"""WITH {_CONTAINS_SQL.removeprefix("WITH ")}, q AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS type_key FROM part)
+SELECT id, type_key, type_key AS b, 'identical' AS rel FROM q UNION ALL SELECT id, type_key, e.b, 'contains' FROM q JOIN e ON e.a = type_key""")
+def type_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of each name, looked up: itself and what it contains (no other is as similar as 0.97)."""
+    types, word = _types(spark, sf_dir), F.split("p_name", " ")[0]
+    parsed = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), word.alias("type_key"), F.array(word).alias("forms"))
+    return relations.looked_up(parsed, types, stored(relations.containment(types), "edges"), least=0.97).select("id", "type_key", "b", "rel")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+    x AS (SELECT a || ' ' || b AS t, b || ' ' || a AS o, a, b FROM n)
+    SELECT t AS a, o AS b, 'equals' AS rel FROM x WHERE t <> o UNION SELECT o, t, 'equals' FROM x WHERE t <> o
+    UNION SELECT a, t, 'contains' FROM x WHERE a <> b UNION SELECT b, t, 'contains' FROM x WHERE a <> b UNION SELECT a, o, 'contains' FROM x WHERE a <> b UNION SELECT b, o, 'contains' FROM x WHERE a <> b
+    UNION SELECT t, a, 'subset_of' FROM x WHERE a <> b UNION SELECT t, b, 'subset_of' FROM x WHERE a <> b UNION SELECT o, a, 'subset_of' FROM x WHERE a <> b UNION SELECT o, b, 'subset_of' FROM x WHERE a <> b"""
+)
+def equal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in both orders of their words are equal types, and each word contains both."""
+    w = F.split("p_name", " ")
+    texts = _t(spark, sf_dir, "part").select(F.explode(F.array(w[0], w[1], F.concat_ws(" ", w[0], w[1]), F.concat_ws(" ", w[1], w[0]))).alias("type_text")).distinct()
+    texts = texts.withColumn("type_key", text.type_key(F.split("type_text", " ")))
+    types = texts.select("type_key").distinct().withColumn("forms", F.split("type_key", r" \+ "))
+    return relations.spelled_out(texts, relations.containment(types)).select("a", "b", "rel")
+
+
+@query("SELECT p_type AS manufacturer, p_brand AS brand, o AS other FROM (SELECT DISTINCT p_type, p_brand FROM part) JOIN (SELECT DISTINCT p_type AS o, p_brand FROM part) USING (p_brand) WHERE p_type <> o")
+def linked_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owned = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("manufacturers"))
+    return reports.linked_makers(owned.withColumn("no_brand", F.lit(False)))
+
+
+# -- manufacturers in names
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of which every second has a maker's name in its own, and every third the maker as a value."""
+    even, third = F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0
+    sqn = F.when(even, F.concat(F.split("p_name", " ")[0], F.lit(" рога "), F.split("p_name", " ")[1])).otherwise(F.col("p_name"))
+    brand = F.when(F.col("p_size") % 5 == 0, F.lit("Не Бренд")).otherwise(F.col("p_brand"))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), sqn.alias("sqn"), brand.alias("brand"), F.when(third, F.lit('ООО "Рога"')).alias("manufacturer"), F.lit(False).alias("brand_detected"))
+
+
+def _makers_registry(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([("Не Бренд", None, True, None, "", 'ЗАО "Рога"', ""), ("Red", "marketing", None, None, "", "", "")], "name string, type string, no_brand boolean, generic string, synonyms string, manufacturers string, linked string")
+    return brands.registered(rows.select("name", "type", "no_brand", "generic", *[text.split_list(F.col(c)).alias(c) for c in ("synonyms", "manufacturers", "linked")]))
+
+
+_MADE_SQL = "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 AND NOT ({0}) THEN split_part(p_name, ' ', 1) || ' рога ' || split_part(p_name, ' ', 2) ELSE p_name END AS sqn, p_size % 2 = 0 AND ({0}) AS brand_detected FROM part"
+
+
+@query(_MADE_SQL.format("p_size % 3 = 0 AND p_size % 5 <> 0"))
+def makers_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maker that a product names goes out of its short name, unless it is the product's brand."""
+    return products.without_makers(_made(spark, sf_dir), _makers_registry(spark)).select("id", "sqn", "brand_detected")
+
+
+@query(_MADE_SQL.format("p_size % 3 <> 0 AND p_size % 5 = 0"))
+def no_brand_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers of no-brands go out of the names of products that have neither brand nor maker."""
+    return products.without_unknown_makers(_made(spark, sf_dir), _makers_registry(spark)).select("id", "sqn", "brand_detected")
+
+
+@query("SELECT p_partkey AS id, 'Red' AS guess, split_part(p_name, ' ', 2) AS sqn FROM part WHERE split_part(p_name, ' ', 1) = 'red' AND p_size % 2 = 1 UNION ALL SELECT p_partkey, 'Red', 'рога ' || split_part(p_name, ' ', 2) FROM part WHERE split_part(p_name, ' ', 1) = 'red' AND p_size % 2 = 0")
+def brand_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.guessed(_made(spark, sf_dir), _makers_registry(spark)).select("id", "guess", "sqn")
+
+
+@query("SELECT * FROM (VALUES ('ООО \"Рога\"', 'не бренд')) t(maker, key)")
+def makers_of_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    makers = spark.createDataFrame([('ООО "Рога"',), ("Копыта",)], "maker string")
+    return brands.makers_brands(makers, _makers_registry(spark))
+
+
+# -- words
+
+
+@query("SELECT DISTINCT translate(w, 'e', 'ё') AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w IN (SELECT split_part(p_name, ' ', 1) FROM part)")
+def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words written with ё that a lexicon has with е."""
+    part = _t(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split(F.translate("p_name", "e", "ё"), " ")).alias("word")).distinct()
+    return morphology.known_words(words, part.select(F.translate(F.split("p_name", " ")[0], "e", "е").alias("word")))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+(?:\\.?[\\p{{L}}\\p{{N}}_]+)*'), lambda x: length(x) > 1 AND NOT list_contains({list(morphology.STOP_WORDS)!r}, x)) AS t FROM documents)
+    SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS terms FROM a"""
+)
+def analyzed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index terms of the documents: tokens in lower case, without stop words, stemmed (only Russian words have stems)."""
+    rows = _documents(spark, sf_dir).withColumn("t", morphology.analyzed_column(F.col("text")))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("terms"))
+
+
+_PARSED = [
+    ("шок", [("NOUN", [], 0.9, "шок", "шок")]),
+    ("молочного", [("ADJF", [], 0.8, "молочный", "молочный"), ("NOUN", ["Surn"], 0.9, "молочного", None)]),
+    ("конфеты", [("NOUN", [], 0.7, "конфета", "конфета"), ("NOUN", ["Pltm"], 0.7, "конфеты", "конфеты")]),
+    ("котика", [("NOUN", ["Geox"], 0.5, "котика", None), ("NOUN", [], 0.5, "котик", "котик")]),
+    ("печёная", [("PRTF", [], 0.4, "печь", "печёный")]),
+    ("абвгд", [("VERB", [], 0.1, "абвгда", None)]),
+]
+_NORMAL = [("шок", "шок"), ("молочного", "молоко"), ("конфеты", "конфеты"), ("котика", "кошка"), ("печёная", "печёный"), ("абвгд", "абвгд")]
+
+
+@query(f"SELECT * FROM {_values(_NORMAL, 'word', 'form')}")
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parses of words to the forms by which types know them."""
+    lexicon = files.word_forms(spark.createDataFrame([("молочный~noun:молоко|молочище",), ("котик~same:кот",), ("кот~same:кошка",)], "value string"))
+    known = spark.createDataFrame([(w,) for w in ("шок", "молочный", "конфета", "конфеты", "котик", "печеный")], "word string")
+    return morphology.normal_forms(spark.createDataFrame(_PARSED, f"word string, parses {morphology.PARSES}"), lexicon, known)
+
+
+# -- graphs and dictionaries on disk
+
+
+@query(f"{_CONTAINS_SQL} SELECT a, b, 'contains' AS rel FROM e UNION ALL SELECT b, a, 'subset_of' FROM e")
+def graph_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written as JSON lines, read back, written in the compact form and loaded from there."""
+    types = _types(spark, sf_dir)
+    listed = types.select(F.col("type_key").alias("type_text"), F.col("breadth").cast("int").alias("own"), F.lit(None).cast("int").alias("under"))
+    path = shared_path(spark, "graph")
+    files.write_type_graph(listed, relations.containment(types), f"{path}/json")
+    again, edges = files.load_type_graph(spark, f"{path}/json")
+    files.dump_terms(again, f"{path}/dictionary")
+    terms = files.load_terms(spark, f"{path}/dictionary")
+    files.write_compact_graph(again, edges, terms, f"{path}/compact")
+    return files.load_type_graph(spark, f"{path}/json", f"{path}/compact", terms)[1].select("a", "b", "rel")
+
+
+@query(
+    """WITH o AS (SELECT term, row_number() OVER (ORDER BY term) AS term_id FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part)),
+    n AS (SELECT term, row_number() OVER (ORDER BY term) + (SELECT count(*) FROM o) AS term_id FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS term FROM part) WHERE term NOT IN (SELECT term FROM o))
+    SELECT term_id::INT AS term_id, term FROM o UNION ALL SELECT term_id::INT, term FROM n"""
+)
+def stable_term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a second build are numbered on from those of the first, which keep their ids."""
+    w = F.split("p_name", " ")
+    part = _t(spark, sf_dir, "part")
+    first = stored(files.term_dictionary(part.select(F.array(w[1]).alias("terms"))), "terms")
+    return files.term_dictionary(part.select(F.array(w[0], w[1]).alias("terms")), first)
+
+
 # -- files and pages
 
 
@@ -754,12 +942,6 @@ def html_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.reconciled(html.extract(pages, html.thumbnails), html.extract(pages, html.details)).select("id", "name", "price", "weight", "link", "complete")
 
 
-@query("SELECT '541' AS id, 'Буженина' AS name, 'Мясо|Колбасы' AS tags")
-def html_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html.nutrition_products(html.extract(_shop_pages(spark), html.nutrition).where("page_id = 3"))
-    return rows.select("id", "name", F.array_join("tags", "|").alias("tags"))
-
-
 @query(
     """SELECT * FROM (VALUES (2, NULL, 'Лес', 'Чай зелёный крупный'), (2, NULL, '5 г', 'Чай зелёный крупный'), (2, NULL, '6 г', 'Чай зелёный крупный'),
     (3, '541', 'Буженина', 'Мясо|Колбасы')) t(page_id, id, name, tags)"""

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import attributes, text
+from quern.functions import attributes, morphology, text
 from quern.functions.terms import CONTEXT, Terms, parse
 from quern.functions.tokens import DEFAULT
 from quern.operators import brands, search
@@ -63,7 +63,9 @@ class Catalogue:
     def index(self) -> DataFrame:
         """The product index: seven fields of terms."""
         keys = F.transform("types", lambda t: text.type_key(t))
-        return search.postings(self.docs.withColumn("tail", self._tails()), "doc_id", {"types": keys, "pfqn": text.words(F.col("pfqn")), "tail": F.col("tail"), "brand": F.array_compact(F.array(F.lower("brand"))), "weight": F.col("weight"), "pack": F.col("pack"), "fat": F.col("fat")})
+        docs = self.docs.withColumn("tail", self._tails()).withColumn("_pfqn", morphology.analyzed_column(F.col("pfqn"), self.terms))
+        docs = docs.withColumn("_tail", morphology.analyzed_column(F.array_join("tail", " "), self.terms))
+        return search.postings(docs, "doc_id", {"types": keys, "pfqn": F.col("_pfqn"), "tail": F.col("_tail"), "brand": F.array_compact(F.array(F.lower("brand"))), "weight": F.col("weight"), "pack": F.col("pack"), "fat": F.col("fat")})
 
     @cached_property
     def brand_index(self) -> DataFrame:
@@ -117,9 +119,19 @@ class Catalogue:
 
     # -- searches
 
-    def find_products(self, name: str | search.ProductQuery, limit: int | None = search.DEFAULT_LIMIT, fields: tuple[str, ...] = ()) -> ResultSet:
-        query = self.from_name(name) if isinstance(name, str) else name
-        hits = search.find_products(self.index, query)
+    def parsed(self, name: str | list | search.ProductQuery) -> search.ProductQuery:
+        """A query as it is, the words of a token list, or a text that is parsed; an empty text asks for nothing."""
+        if isinstance(name, search.ProductQuery):
+            return name
+        words = name if isinstance(name, str) else " ".join(name)
+        return self.from_name(words) if words.strip() else search.ProductQuery()
+
+    def find_products(self, name: str | list | search.ProductQuery, limit: int | None = search.DEFAULT_LIMIT, fields: tuple[str, ...] = ()) -> ResultSet:
+        query = self.parsed(name)
+        # text fields hold stems: what the query asks of them is put in the same form
+        stems = tuple(dict.fromkeys(s for w in query.words for s in morphology.analyzed(w)[:1]))
+        tails = tuple(dict.fromkeys(s for w in query.tail for s in morphology.analyzed(w)))
+        hits = search.find_products(self.index, replace(query, words=stems, tail=tails))
         rows = search.top(hits.join(self.docs, "doc_id"), limit)
         asked = tuple(dict.fromkeys(query.words))
         types = [r["term"] for r in search.known_types(query, self.index).collect()]  # a query's own, few types

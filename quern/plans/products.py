@@ -10,6 +10,7 @@ from quern.functions.terms import Terms, main_forms, type_tuples
 from quern.functions.text import type_key
 from quern.operators import brands, categories, relations
 from quern.operators.dedup import last_wins
+from quern.sources.paths import stored
 
 
 def extracted(raw: DataFrame) -> DataFrame:
@@ -26,14 +27,47 @@ def branded(products: DataFrame, registry: DataFrame) -> DataFrame:
     return brands.replaced(keyed, spelled, registry, learnt).drop("key", "met")
 
 
-def guessed(products: DataFrame, registry: DataFrame) -> DataFrame:
-    """(id, brand): brands whose spelling a name without a brand holds, whole words next to one another.
+def without_makers(products: DataFrame, registry: DataFrame) -> DataFrame:
+    """Of products with a manufacturer its spellings taken out of the short name, as if it were a brand; not where the
+    manufacturer is the product's brand, which is out already."""
+    named = products.where("manufacturer IS NOT NULL").withColumn("key", brands.brand_key(F.col("manufacturer")))
+    makers = named.select(F.col("manufacturer").alias("maker")).distinct()
+    same = brands.makers_brands(makers, registry).select(brands.brand_key(F.col("maker")).alias("key"), F.col("key").alias("brand_key"))
+    other = named.withColumn("brand_key", brands.brand_key(F.coalesce("brand", F.lit("")))).join(same, ["key", "brand_key"], "left_anti").select("id", "key", "sqn")
+    bare = makers.select(brands.brand_key(F.col("maker")).alias("key"), F.lit(None).cast("string").alias("generic")).distinct()
+    return _replaced(products, brands.replaced(other, brands.maker_variants(makers), bare))
+
+
+def without_unknown_makers(products: DataFrame, registry: DataFrame) -> DataFrame:
+    """Of products without manufacturer and with a name that stands for no brand: the spellings of the no-brands' own
+    manufacturers taken out of the short name."""
+    none = registry.where("no_brand")
+    makers = none.select(F.explode("manufacturers").alias("maker")).distinct()
+    asked = products.where("manufacturer IS NULL").withColumn("key", brands.brand_key("brand")).join(none.select("key"), "key", "left_semi").select("id", "key", "sqn")
+    met = brands.met_spellings(asked, brands.maker_variants(makers)).select("id", F.col("variant").alias("token"))
+    learnt = asked.select("id", "key").join(met, "id")
+    nothing = registry.select("key", F.lit(None).cast("string").alias("variant")).limit(0)
+    found = asked.join(learnt.select("id").distinct(), "id", "left_semi")
+    return _replaced(products, brands.replaced(found, nothing, none.select("key", "generic"), learnt))
+
 
-    Names are cut into their runs of up to four words, which meet spellings by equality: no pair is compared."""
-    words = products.where("brand IS NULL").select("id", F.split(F.lower("sqn"), " ").alias("w"))
-    runs = words.select("id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w")))).alias("i")).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.array_join(F.slice("w", F.col("i"), n), " "))).alias("variant")).distinct()
-    spelled = brands.variants(registry.where("NOT no_brand")).select("key", F.lower("variant").alias("variant")).distinct()
-    return runs.join(spelled, "variant").select("id", F.col("key").alias("brand")).distinct()
+def _replaced(products: DataFrame, done: DataFrame) -> DataFrame:
+    """Products with the short names of ``done`` where a spelling was met there."""
+    met = done.where("brand_detected").select("id", F.col("sqn").alias("_sqn"))
+    return products.join(met, "id", "left").withColumns({"sqn": F.coalesce("_sqn", "sqn"), "brand_detected": F.col("brand_detected") | F.col("_sqn").isNotNull()}).drop("_sqn")
+
+
+def guessed(products: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, brand, guess, sqn): for products whose brand was not detected the registered brands that the name may hold,
+    and what it would be without.  A report only: nothing is changed."""
+    left = products.where("NOT brand_detected").select("id", "brand", "sqn")
+    sound = registry.where("NOT no_brand")
+    met = brands.met_spellings(left, brands.variants(sound))
+    learnt = met.select("id", "key", F.col("variant").alias("token"))
+    asked = left.join(met.select("id", "key").distinct(), "id").select("id", "brand", "key", "sqn")
+    nothing = registry.select("key", F.lit(None).cast("string").alias("variant")).limit(0)
+    done = brands.replaced(asked, nothing, sound.select("key", "generic"), learnt).where("brand_detected")
+    return done.join(sound.select("key", F.col("name").alias("guess")), "key").select("id", "brand", "guess", "sqn")
 
 
 def tagged(products: DataFrame, tree: DataFrame, accept: list | None = None, ignore: list | None = None) -> DataFrame:
@@ -77,7 +111,11 @@ def ingested(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def build(raw: DataFrame, tree: DataFrame, registry: DataFrame, terms: Terms, accept: list | None = None, ignore: list | None = None) -> tuple[DataFrame, DataFrame]:
-    """(products, relations) of raw products, a category tree and a brand registry."""
-    done = typed(tagged(branded(extracted(raw), registry), tree, accept, ignore), terms)
-    edges = graph(done)
+    """(products, relations) of raw products, a category tree and a brand registry.  Each step joins products with what
+    it found in them, so each is written before the next."""
+    named = stored(branded(extracted(raw), registry), "branded")
+    named = stored(without_makers(named, registry), "made")
+    named = stored(without_unknown_makers(named, registry), "named")
+    done = stored(typed(tagged(named, tree, accept, ignore), terms), "typed")
+    edges = stored(graph(done), "edges")
     return enriched(done, edges), edges

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import blank_to_null, join_list, no_nbsp, split_list, split_values
+from quern.sources.paths import numbered, stored
 
 META = ("raw_id", "sqn", "brand", "brand_detected", "product_manufacturer", "weight", "fat", "pack", "pfqn", "tags", "types")
 BRAND = ("name", "type", "no_brand", "generic", "synonyms", "manufacturers", "linked")
+#: Lines of a file whose articles are told apart by one task.
+STRETCH = 100_000
 _META_SCHEMA = ", ".join(f"{c} string" for c in META)
 _BRAND_SCHEMA = ", ".join(f"{c} string" for c in BRAND)
 
@@ -129,8 +132,13 @@ def articles(lines: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     blank = (F.trim(F.coalesce("value", F.lit(""))) == "").cast("int")
-    numbered = lines.withColumn("article", F.sum(blank).over(Window.orderBy("n")))
-    whole = numbered.where(blank == 0).groupBy("article").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: F.trim(x["value"])), " ").alias("text"))
+    # blank lines before a line: within stretches of lines, and over the stretches
+    cut = lines.withColumn("_stretch", F.floor(F.col("n") / STRETCH)).withColumn("_blank", blank)
+    earlier = F.sum("_blanks").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))  # a row a stretch
+    starts = cut.groupBy("_stretch").agg(F.sum("_blank").alias("_blanks")).select("_stretch", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    inner = F.sum("_blank").over(Window.partitionBy("_stretch").orderBy("n"))
+    counted = cut.withColumn("_inner", inner).join(starts, "_stretch").withColumn("article", F.col("_start") + F.col("_inner"))
+    whole = counted.where(blank == 0).groupBy("article").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: F.trim(x["value"])), " ").alias("text"))
     head = F.lower(F.regexp_extract("text", r"(?U)^(\w[\w-]*)", 1))
 
     def related(pattern: str) -> Column:
@@ -154,6 +162,7 @@ def piped_dictionary(lines: DataFrame) -> DataFrame:
 
 # -- type graphs
 
+# How a relation and a count are written.
 _RELATION = r"(?U)^(\w+)(?:\[([^\]]+)\])?(~)?\s+(.*)$"
 _COUNT = r"^(\d+)(?:/(\d+))?$"
 
@@ -187,10 +196,48 @@ def graph_lines(types: DataFrame, edges: DataFrame) -> DataFrame:
     return types.join(listed, "type_text", "left").select("type_text", F.concat(F.array(count), F.coalesce("lines", F.array().cast("array<string>"))).alias("entries")).orderBy("type_text")
 
 
-def write_type_graph(types: DataFrame, edges: DataFrame, path: str) -> None:
+def write_type_graph(types: DataFrame, edges: DataFrame, path: str, meaningful: DataFrame | None = None) -> None:
+    """JSON lines of (type_text, entries), in the order of types; with ``meaningful`` (type_text) of those types only."""
+    if meaningful is not None:
+        types = types.join(meaningful.select("type_text"), "type_text", "left_semi")
+        edges = edges.join(meaningful.select(F.col("type_text").alias("a")), "a", "left_semi").join(meaningful.select(F.col("type_text").alias("b")), "b", "left_semi")
     graph_lines(types, edges).write.mode("overwrite").json(path)
 
 
+def read_type_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_type_graph`` wrote: (types, edges)."""
+    return graph_tables(spark.read.schema("type_text string, entries array<string>").json(path))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def load_type_graph(spark: SparkSession, path: str, compact: str | None = None, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(types, edges) from the compact form where there is one (its dictionary is checked), else from JSON lines."""
+    if compact and terms is not None and exists(spark, f"{compact}/types"):
+        return read_compact_graph(spark, compact, terms)
+    return read_type_graph(spark, path)
+
+
+def dump_terms(types: DataFrame, path: str) -> None:
+    """Write the dictionary of types' terms beside its fingerprint.  A dictionary that is there keeps its ids."""
+    spark = types.sparkSession
+    known = load_terms(spark, path) if exists(spark, f"{path}/terms") else None
+    terms = stored(term_dictionary(types, known), "terms")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    fingerprint(terms, "term_id", "term").write.mode("overwrite").parquet(f"{path}/fingerprint")
+
+
+def load_terms(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary; terms that don't have the fingerprint beside them raise."""
+    terms = spark.read.parquet(f"{path}/terms")
+    if spark.read.parquet(f"{path}/fingerprint").first()["fingerprint"] != fingerprint(terms, "term_id", "term").first()["fingerprint"]:
+        raise ValueError("the term dictionary is not the one that was written")
+    return terms
+
+
 def write_compact_graph(types: DataFrame, edges: DataFrame, terms: DataFrame, path: str) -> None:
     """Types and edges as Parquet over term ids, beside the dictionary's fingerprint."""
     ids = types.select("type_text", F.posexplode("terms").alias("n", "term")).join(terms, "term").groupBy("type_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "term_id"))), lambda x: x["term_id"]).alias("term_ids"))
@@ -208,11 +255,15 @@ def read_compact_graph(spark: SparkSession, path: str, terms: DataFrame) -> tupl
     return types, spark.read.parquet(f"{path}/edges")
 
 
-def term_dictionary(types: DataFrame) -> DataFrame:
-    """(term_id, term) from 1, in the order of terms."""
-    from pyspark.sql import Window
-
-    return types.select(F.explode("terms").alias("term")).distinct().select(F.row_number().over(Window.orderBy("term")).alias("term_id"), "term")
+def term_dictionary(types: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(term_id, term): the terms of types.  Terms of a ``known`` dictionary keep their ids; new ones are numbered on from
+    its largest, in their order."""
+    terms = types.select(F.explode("terms").alias("term")).distinct()
+    if known is None:
+        return numbered(terms, "term_id", F.col("term")).select(F.col("term_id").cast("int").alias("term_id"), "term")
+    last = known.agg(F.max("term_id")).first()[0] or 0
+    fresh = numbered(terms.join(known.select("term"), "term", "left_anti"), "term_id", F.col("term"))
+    return known.select("term_id", "term").unionByName(fresh.select((F.col("term_id") + last).cast("int").alias("term_id"), "term"))
 
 
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
@@ -221,16 +272,15 @@ def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def open_or_build(spark: SparkSession, path: str, source: DataFrame, build, readonly: bool = False) -> DataFrame:
-    """A materialised index: read if the stored fingerprint is the source's, else built and written."""
-    now = fingerprint(source, *source.columns).first()
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/fingerprint")
-    if at.getFileSystem(conf).exists(at):
-        stored = spark.read.parquet(f"{path}/fingerprint").first()
-        if tuple(stored) == tuple(now):
-            return spark.read.parquet(f"{path}/index")
+    """A materialised index: read if it isn't empty and the source's schema and fingerprint are those that it was built
+    from, else built and written."""
+    now = (*fingerprint(source, *source.columns).first(), source.schema.simpleString())
+    if exists(spark, f"{path}/fingerprint") and tuple(spark.read.parquet(f"{path}/fingerprint").first()) == now:
+        index = spark.read.parquet(f"{path}/index")
+        if not now[1] or not index.isEmpty():
+            return index
     if readonly:
         raise ValueError("the index is missing or stale")
     build(source).write.mode("overwrite").parquet(f"{path}/index")
-    spark.createDataFrame([tuple(now)], "fingerprint decimal(38,0), n long").write.mode("overwrite").parquet(f"{path}/fingerprint")
+    spark.createDataFrame([now], "fingerprint decimal(38,0), n long, schema string").write.mode("overwrite").parquet(f"{path}/fingerprint")
     return spark.read.parquet(f"{path}/index")

@@ -38,7 +38,8 @@ def edited(before: list[str] | None, now: list[str]) -> str | None:
 
 
 def last_edited(sessions: DataFrame, session: str = "conv_id", turn: str = "turn", words: str = "words") -> DataFrame:
-    """(session, turn, edited) of a stream of queries: the state of a session is its last query."""
+    """(session, turn, edited) of a stream of queries: the state of a session is its last query.  It is kept for good: a
+    time-out by the clock would keep a bounded replay from ever ending."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(turn)
@@ -55,7 +56,8 @@ def last_edited(sessions: DataFrame, session: str = "conv_id", turn: str = "turn
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return its rows (for bounded replays and tests)."""
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there now; its rows are written below the checkpoint's folder and read back."""
+    out = f"{checkpoint}/rows"
+    query = stream.writeStream.outputMode("append").format("parquet").queryName(name).option("checkpointLocation", f"{checkpoint}/state").option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

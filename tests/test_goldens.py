@@ -288,10 +288,14 @@ def test_replace_brand():
     assert brands.replace_brand("сырок", ["сыр"]) == ("сырок", [])
 
 
-def test_manufacturer_patterns():
-    assert "Рога и копыта" in brands.manufacturer_patterns('ООО "Рога и копыта"')
-    assert brands.manufacturer_patterns("Просто имя") == ["Просто имя"]
-    assert "Рога" in brands.manufacturer_patterns('OOO "Roga"')
+def test_manufacturer_patterns(spark):
+    makers = ['ООО "Рога и копыта"', "Просто имя", 'OOO "Roga"']
+    found = {}
+    for r in brands.maker_patterns(spark.createDataFrame([(m,) for m in makers], "maker string")).collect():
+        found.setdefault(r["maker"], set()).add(r["p"])
+    assert "рога и копыта" in found[makers[0]] and makers[0].lower() in found[makers[0]] and "рогаикопыта" in found[makers[0]]
+    assert found[makers[1]] == {"просто имя"}
+    assert {"roga", "рога"} <= found[makers[2]]
 
 
 def test_conflicting_brands_raise(spark):
