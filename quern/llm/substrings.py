@@ -82,7 +82,7 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(np.uint64(8) * (high_a * high_b) + _at_32(high_a * low_b + low_a * high_b) + (low & _P) + (low >> _61))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(point: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first 2**bits powers of the point in halves of 32 bits, and those of its inverse, modulo the prime."""
     out = []
@@ -140,7 +140,7 @@ def _run(texts: list[bytes], width: int, points: tuple[int, ...]) -> tuple[list[
     return hashes, who[inside], start[inside]
 
 
-def windows(texts: list[bytes], width: int, points: tuple[int, ...], long: int = 1 << 22) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def windows(texts: list[bytes], width: int, points: tuple[int, ...], long: int = 1 << 20) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """All windows of the texts: a 64-bit hash at each of the points, number of the text, start.  A text of more than
     ``long`` bytes is hashed in pieces that overlap by a window less one word."""
     if len(texts) != 1 or len(texts[0]) <= long:
@@ -151,7 +151,7 @@ def windows(texts: list[bytes], width: int, points: tuple[int, ...], long: int =
     sizes = np.cumsum([0, *(len(w) + 1 for w in words)])
     k = 0
     while k <= max(0, len(words) - width):
-        more = max(1, min(step, int(np.searchsorted(sizes, sizes[k] + long)) - k))
+        more = max(1, min(step, int(np.searchsorted(sizes, sizes[k] + long // 2)) - k))
         parts.append(_run([b" ".join(words[k : k + more + width - 1])], width, points))
         starts.append(parts[-1][2] + k)
         k += more
