@@ -151,41 +151,47 @@ def _apart(spark: SparkSession, parts: int) -> list[int]:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and, for each document, what its fingerprint shows against its half-replaced text and the next document
+    """``id`` (of any type that has an order) and, for each document, what its fingerprint shows against its half-replaced text and the next document
     (by falling id; after the last the first).
 
-    Ids are cut into ranges of about RANGE_ROWS rows.  Each range is one task's work, in order; the first row of the
+    Rows are cut by id and text into ranges of about RANGE_ROWS rows, so that rows of one id, or of none, spread over as
+    many as they need.  Each range is one task's work, in order; the first row of the
     next range is sent along, so that texts are dealt out once and no task sees more than a range and one row."""
     spark = docs.sparkSession
     prepare(spark)
     shelf = Shelf(spark, "fuzzy")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = dict(rows.dtypes)["id"]
     keys = shelf.put(rows.select("id", F.xxhash64("text").alias("tie")), "keys")
+    order = [F.col("id").desc_nulls_last(), F.col("tie")]
     parts = min(MOST_RANGES, max(1, -(-keys.count() // RANGE_ROWS)))
-    bounds = sorted({int(x) for x in keys.approxQuantile("id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    parts = len(bounds) + 1
-    step = max(1, int(len(bounds) ** 0.5))
+    ranged = keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    first = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where("nth = 1")
+    heads = [(r["id"], r["tie"]) for r in first.select("part", "id", "tie").orderBy("part").collect()]  # one row a range
+    if not heads:
+        return spark.createDataFrame([], f"id {kind}, {OUT}")
+    parts = len(heads)
+    step = max(1, int(parts**0.5))
 
-    def longs(values: list[int]) -> Column:
-        return F.array(*[F.lit(v).cast("long") for v in values])
+    def bounds(some: list[tuple]) -> Column:
+        ids = F.array(*[F.lit(i) for i, _ in some]).cast(f"array<{kind}>")
+        ties = F.array(*[F.lit(t).cast("long") for _, t in some]).cast("array<bigint>")
+        return F.zip_with(ids, ties, lambda i, t: F.struct(i.alias("id"), t.alias("tie")))
 
-    def part_of(frame: DataFrame) -> DataFrame:
-        """Range 0 has the largest ids; a null id comes last of all.  Each step-th bound first, then those between."""
-        if not bounds:
-            return frame.withColumn("part", F.lit(0))
-        coarse = F.size(F.filter(longs(bounds[step - 1 :: step]), lambda b: b < F.col("id"))) * step
-        passed = coarse + F.size(F.filter(F.slice(longs(bounds), coarse + 1, F.lit(step)), lambda b: b < F.col("id")))
-        return frame.withColumn("part", F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.lit(len(bounds)) - passed).cast("int"))
+    def reached(head: Column) -> Column:
+        """Whether a row comes at or after the head."""
+        after = head["id"].isNotNull() & (F.col("id").isNull() | (head["id"] > F.col("id")))
+        return F.coalesce(after, F.lit(False)) | (head["id"].eqNullSafe(F.col("id")) & (head["tie"] <= F.col("tie")))
 
-    order = [F.col("id").desc_nulls_last(), F.col("tie")]
-    heads = part_of(keys).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where("nth = 1")
-    heads = [(r["part"], r["id"], r["tie"]) for r in heads.select("part", "id", "tie").collect()]  # one row a range
-    if not heads:
-        return spark.createDataFrame([], f"id {dict(rows.dtypes)['id']}, {OUT}")
-    heads.sort()
-    follows = {heads[k][0]: heads[k - 1][0] for k in range(len(heads))}  # the range that a range's head is sent to
-    schema = f"id {dict(rows.dtypes)['id']}, tie long, part int, to int, head boolean"
-    sent = spark.createDataFrame([(i, tie, p, follows[p], True) for p, i, tie in heads], schema).select("id", "tie", F.explode(F.array(F.struct(F.col("to").alias("part"), F.lit(1).alias("tail")))).alias("at"))
+    def part_of(frame: DataFrame) -> DataFrame:
+        """The number of the row's range: each step-th head first, then those between."""
+        coarse = F.size(F.filter(bounds(heads[step - 1 :: step]), reached)) * step
+        return frame.withColumn("part", (coarse + F.size(F.filter(F.slice(bounds(heads), coarse + 1, F.lit(step)), reached)) - 1).cast("int"))
+
+    schema = f"id {kind}, tie long, to int"
+    # a range's head is sent to the range before it, the first to the last
+    tail = F.array(F.struct(F.col("to").alias("part"), F.lit(1).alias("tail")))
+    sent = spark.createDataFrame([(i, tie, (k - 1) % parts) for k, (i, tie) in enumerate(heads)], schema).select("id", "tie", F.explode(tail).alias("at"))
     marked = rows.withColumn("tie", F.xxhash64("text"))
     own = part_of(marked).withColumn("tail", F.lit(0))
     # repeated rows of a head are alike: one of them is enough
@@ -217,4 +223,4 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], ["id", *_NAMES])
 
-    return dealt.select("id", "text", "part", "tail").mapInArrow(walk, f"id {dict(rows.dtypes)['id']}, {OUT}")
+    return dealt.select("id", "text", "part", "tail").mapInArrow(walk, f"id {kind}, {OUT}")
