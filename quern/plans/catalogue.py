@@ -137,9 +137,21 @@ def attribute_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark).withColumn("a", a).select("id", *[F.array_join(f"a.{c}", "+" if c != "words" else " ").alias(c) for c in ("weight", "fat", "pack", "words")])
 
 
-@query(f"SELECT id, pack FROM {_values([(0, ''), (1, ''), (2, '25пак'), (3, 'пакет'), (4, ''), (5, ''), (6, ''), (7, '')], 'id', 'pack')}")
+_OLD_ATTRIBUTES = [
+    (0, "", "10 % жирн", "", "продукт с соком"),
+    (1, "130г", "5.6%", "", "продукт творож клубника бисквит"),
+    (2, "", "", "25пак", "чай с жасмином"),
+    (3, "150г", "", "пакет", "кофе растворимый"),
+    (4, "1 кг.", "", "", "сахар коричневый"),
+    (5, "кг.", "", "", "сахар коричневый"),
+    (6, "1 кг.", "", "", "сахар корич"),
+    (7, "г", "", "", "рыба /к"),  # a bare unit before a slash is a weight in the old grammar
+]
+
+
+@query(f"SELECT * FROM {_values(_OLD_ATTRIBUTES, 'id', 'weight', 'fat', 'pack', 'sqn')}")
 def attribute_parse_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark).select("id", attributes.legacy(F.col("name"))["pack"].alias("pack"))
+    return _names(spark).select("id", attributes.legacy(F.col("name")).alias("a")).select("id", "a.weight", "a.fat", "a.pack", "a.sqn")
 
 
 @query(r"SELECT unnest(regexp_extract_all(lower(text), '(?:^|[^\w])(\d+(?:[.,]\d+)?)\s*%', 1)) AS share, count(*) AS n FROM documents GROUP BY 1")
@@ -516,10 +528,11 @@ def data_quality_name_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.names_that_are_types(names, _types(spark, sf_dir)).select("name", "type_key")
 
 
-@query("SELECT p_type AS lemma, count(DISTINCT p_name) AS n FROM part GROUP BY 1")
+@query("SELECT p_type AS lemma, string_agg(DISTINCT p_name || '=' || upper(p_name), ',' ORDER BY p_name || '=' || upper(p_name)) AS words FROM part GROUP BY 1")
 def lemma_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "part").select(F.col("p_type").alias("lemma"), F.col("p_name").alias("word"), F.upper("p_name").alias("tag"))
-    return reports.lemma_statistics(rows).select("lemma", F.size("words").cast("long").alias("n"))
+    entries = F.transform(F.map_entries("words"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return reports.lemma_statistics(rows).select("lemma", F.array_join(F.array_sort(entries), ",").alias("words"))
 
 
 @query(f"WITH {_TYPE_SQL} SELECT count(DISTINCT t) AS n_terms, count(DISTINCT t) + 1 AS next_id FROM (SELECT unnest(string_split(type_key, ' + ')) AS t FROM ty)")
@@ -633,14 +646,20 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     words = F.split("p_name", " ")
-    return search.postings(part, "p_partkey", {"types": F.array(words[0], words[1], text.type_key(words)), "pfqn": words, "brand": F.array(F.lower("p_brand"))})
+    index = search.postings(part, "p_partkey", {"types": F.array(words[0], words[1], text.type_key(words)), "pfqn": words, "brand": F.array(F.lower("p_brand"))})
+    return stored(index, "parts")  # a search refers to its index many times
 
 
-@query("SELECT p_partkey AS doc_id, -4::BIGINT AS variant, p_brand AS brand FROM part WHERE p_name = 'red ring'")
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (p_name IN ('red ring', 'ring red')) AS df, count(*) FILTER (p_brand = 'Brand#3') AS db FROM part)
+    SELECT p_partkey AS doc_id, -4::BIGINT AS variant, p_brand AS brand,
+      round(2 * ln(1 + (n - df + 0.5) / (df + 0.5)) + CASE WHEN p_brand = 'Brand#3' THEN 1.5 * ln(1 + (n - db + 0.5) / (db + 0.5)) ELSE 0 END, 6) AS score
+    FROM part, n WHERE p_name IN ('red ring', 'ring red')"""
+)
 def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.ProductQuery(types=(("red", 1), ("ring", 1), ("red + ring", 2), ("red + unicorn", 2)), attributes=(("brand", "brand#3"),), words=("red", "ring"))
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand"))
-    return search.find_products(_parts_index(spark, sf_dir), asked).join(part, "doc_id").select("doc_id", F.col("variant").cast("long").alias("variant"), "brand")
+    return search.find_products(_parts_index(spark, sf_dir), asked).join(part, "doc_id").select("doc_id", F.col("variant").cast("long").alias("variant"), "brand", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -654,10 +673,10 @@ def product_search_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT p_partkey AS doc_id, 2::BIGINT AS variant FROM part WHERE (split_part(p_name, ' ', 1) LIKE 're%' OR split_part(p_name, ' ', 2) LIKE 're%') AND (split_part(p_name, ' ', 1) LIKE 'ri%' OR split_part(p_name, ' ', 2) LIKE 'ri%')")
+@query("SELECT p_partkey AS doc_id, 2::BIGINT AS variant, 2.0::DOUBLE AS score FROM part WHERE (split_part(p_name, ' ', 1) LIKE 're%' OR split_part(p_name, ' ', 2) LIKE 're%') AND (split_part(p_name, ' ', 1) LIKE 'ri%' OR split_part(p_name, ' ', 2) LIKE 'ri%')")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.ProductQuery(words=("re", "ri"))
-    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"))
+    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"), "score")
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'unicorn' ELSE 'red,unicorn' END AS missing FROM part")
