@@ -1,15 +1,16 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions only.
 
 Every shard owns ``vnodes`` points of a 64-bit ring; a key belongs to the first point clockwise of its hash.  A shard
-holds at most its capacity; what a shard cannot hold continues clockwise.  The keys of a shard fill it in ring order,
-so the keys that move on are the last ones; a shard with room admits movers at each of its points up to that point's
-even share of the room.  The keys that a shard can hold never move, which keeps movement to the least the bound allows.
+holds at most its capacity; what a shard cannot hold continues clockwise, past full shards, to the next point of a
+shard with room.  The keys of a shard fill it in ring order before movers are taken in, so the keys that move on are the
+last ones, and the keys that a shard can hold never move, which keeps movement to the least the bound allows.
 
-The walk clockwise is a queue on a circle: ``arrivals`` are the movers of each point, ``service`` its room.  Its
-solution is closed: with X the running sum of arrivals minus room, the queue behind a point is X - min(0, min X); two
-laps reach the steady state.  So the plan takes window functions over the points of the ring, whose number is a
-parameter and not a property of the data.  Rows are ranked inside (point, salt) cells, where the salt is a hash of
-the id, so that one hot key is ranked by as many tasks as there are salts.
+The walk clockwise is a queue on a circle: movers join it at their point, in order, and each point takes from its
+front what its shard still has room for.  Two laps place all of them: after the first no point adds any, and a whole lap
+passes every shard.  The walk folds over the points of the ring in one expression; their number is a parameter and not a
+property of the data.  A fold step costs a copy of the ``shards`` rooms only where keys are taken in.  Rows are ranked
+inside (point, salt) cells, where the salt is a hash of the id, so that one hot key is ranked by as many tasks as there
+are salts.
 
 Edge cases: a null key or text hashes as the empty text with size 1 (its null-ness stays in the row); repeated rows
 are separate keys that share a ring position; an empty table gives an empty result; ties in (hash, id) are rows
@@ -37,15 +38,14 @@ def text_crc32(text: Column) -> Column:
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
-    """(v, shard, nth, pos): the points in ring order.  A point's place depends on (shard, copy) only."""
+    """(v, shard, pos): the points in ring order.  A point's place depends on (shard, copy) only."""
     points = (
         spark.range(shards * vnodes, numPartitions=1)
         .select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).cast("int").alias("copy"))
         .withColumn("pos", F.xxhash64(F.lit("ring"), "shard", "copy"))
     )
     order = Window.orderBy("pos", "shard", "copy")
-    nth = Window.partitionBy("shard").orderBy("pos", "copy")
-    return points.select((F.row_number().over(order) - 1).alias("v"), "shard", (F.row_number().over(nth) - 1).alias("nth"), "pos")
+    return points.select((F.row_number().over(order) - 1).alias("v"), "shard", "pos")
 
 
 def _arcs(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
@@ -99,7 +99,7 @@ def shard(
         return frame.withColumn("chunk", F.shiftright("hash", CHUNK_SHIFT)).join(arcs, "chunk").where("hash >= lo AND hash <= hi").drop("lo", "hi", "chunk")
 
     cells = shelf.put(placed(rows.select("hash", "salt")).groupBy("v", "salt").agg(F.count("*").alias("n")), "cells")
-    plan = _plan(ring(spark, shards, vnodes), cells, shards, vnodes, slack)
+    plan = _plan(ring(spark, shards, vnodes), cells, shards, slack)
 
     offsets = sums_before(cells, "v", "salt", "n", "offset").select("v", "salt", "offset")
     ranked = (
@@ -109,17 +109,16 @@ def shard(
         .drop("offset", "salt", "hash")
     )
 
-    home = F.broadcast(plan.where("lap = 1").select("v", F.col("shard").alias("home"), "first", "keep", "movers_before", "movers", "lag"))
-    mover = F.col("movers_before") + F.col("rank") - F.col("keep")
+    home = F.broadcast(plan.select("v", F.col("shard").alias("home"), "first", "keep", "movers_before", "movers"))
     width = F.greatest(F.lit(1), F.ceil(2 * F.col("movers") / n_points))
     moved = (
         ranked.join(home, "v")
-        .withColumn("u", F.when(F.col("rank") >= F.col("keep"), F.when(mover >= F.col("movers") - F.col("lag"), mover).otherwise(mover + F.col("movers"))))
+        .withColumn("u", F.when(F.col("rank") >= F.col("keep"), F.col("movers_before") + F.col("rank") - F.col("keep")))
         .withColumn("stretch", F.floor(F.col("u") / width))
     )
-    # the service intervals of the second lap, cut at multiples of the width: at most 2 * n_points rows
+    # what each point takes in, cut at multiples of the width: at most 3 * n_points rows
     served = F.broadcast(
-        plan.where("lap = 1 and served > served_from").select(
+        _walk(plan, n_points).select(
             F.col("shard").alias("to"),
             "served_from",
             "served",
@@ -138,41 +137,62 @@ def shard(
     )
 
 
-def _plan(points: DataFrame, cells: DataFrame, shards: int, vnodes: int, slack: float) -> DataFrame:
-    """Two laps over the points of the ring: what each keeps, what moves on, and whom each takes in."""
-    loads = points.join(F.broadcast(cells.groupBy("v").agg(F.sum("n").alias("n"))), "v", "left").select("v", "shard", "nth", F.coalesce("n", F.lit(0)).alias("n"))
-    ordered = Window.partitionBy("shard").orderBy("v")
+def _plan(points: DataFrame, cells: DataFrame, shards: int, slack: float) -> DataFrame:
+    """The points of the ring: what each keeps, what moves on, and the room of its shard."""
+    loads = points.join(F.broadcast(cells.groupBy("v").agg(F.sum("n").alias("n"))), "v", "left").select("v", "shard", F.coalesce("n", F.lit(0)).alias("n"))
     whole = Window.partitionBy("shard")
+    to_here = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(F.lit(0))
-    to_here = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.greatest(F.sum("n").over(everything), F.floor(F.sum("n").over(everything) * (1 + slack)))
-
-    def share(amount: Column, part: Column, parts: int) -> Column:  # in whole numbers
-        return _idiv(amount * (part + 1), parts) - _idiv(amount * part, parts)
-
-    kept = (
+    ring_order = everything.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.greatest(F.sum("n").over(everything), F.floor(F.sum("n").over(everything) * (1 + slack))).cast("long")
+    return (
         loads.withColumn("first", F.sum("n").over(to_here) - F.col("n"))
         .withColumn("load", F.sum("n").over(whole))
-        .withColumn("capacity", share(total.cast("long"), F.col("shard"), shards))
+        .withColumn("capacity", _idiv(total * (F.col("shard") + 1), shards) - _idiv(total * F.col("shard"), shards))
         .withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("capacity") - F.col("first"))))
         .withColumn("out", F.col("n") - F.col("keep"))
-        .withColumn("room", share(F.greatest(F.lit(0), F.col("capacity") - F.col("load")), F.col("nth"), vnodes))
+        .withColumn("held", F.least("load", "capacity"))
+        .withColumn("room", F.col("capacity") - F.col("held"))
+        .withColumn("movers_before", F.sum("out").over(ring_order) - F.col("out"))
+        .withColumn("movers", F.sum("out").over(everything))
     )
-    ring_order = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("movers_before", F.sum("out").over(ring_order) - F.col("out")).withColumn("movers", F.sum("out").over(everything))
-    laps = Window.partitionBy(F.lit(0)).orderBy("lap", "v").rowsBetween(Window.unboundedPreceding, 0)
-    walked = (
-        kept.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("arrived", F.sum("out").over(laps))
-        .withColumn("x", F.sum(F.col("out") - F.col("room")).over(laps))
-        .withColumn("queue", F.col("x") - F.least(F.lit(0), F.min("x").over(laps)))
-        .withColumn("served", F.col("arrived") - F.col("queue"))
-        .withColumn("served_from", F.lag("served", 1, 0).over(Window.partitionBy(F.lit(0)).orderBy("lap", "v")))
+
+
+def _walk(plan: DataFrame, n_points: int) -> DataFrame:
+    """(shard, served_from, served, slot_from, movers): the movers, numbered in ring order, that a point takes in."""
+    point = F.struct("v", "shard", "out", "held")
+    laid = plan.agg(
+        F.array_sort(F.collect_list(point)).alias("ring"),
+        F.transform(F.array_sort(F.collect_set(F.struct("shard", "room"))), lambda x: x["room"]).alias("rooms"),
+        F.max("movers").alias("movers"),
+    )
+    laps = F.concat("ring", F.transform("ring", lambda p: p.withField("out", F.lit(0).cast("long"))))
+    size = max(1, int((2 * n_points) ** 0.5))  # a fold within a fold, so that no step copies all that was taken before
+    runs = F.transform(F.sequence(F.lit(1), F.lit(2 * n_points), F.lit(size)), lambda at: F.slice("laps", at, F.lit(size)))
+
+    def start(queue: Column, rooms: Column, kind: str) -> Column:
+        return F.struct(queue.alias("queue"), rooms.alias("rooms"), F.array().cast(kind).alias("taken"))
+
+    def step(state: Column, p: Column) -> Column:
+        waiting = state["queue"] + p["out"]
+        taken = F.least(waiting, F.get(state["rooms"], p["shard"]))
+        rooms = F.when(taken > 0, F.transform(state["rooms"], lambda r, s: F.when(s == p["shard"], r - taken).otherwise(r))).otherwise(state["rooms"])
+        return F.struct((waiting - taken).alias("queue"), rooms.alias("rooms"), F.concat(state["taken"], F.array(taken)).alias("taken"))
+
+    def run(state: Column, points: Column) -> Column:
+        done = F.aggregate(points, start(state["queue"], state["rooms"], "array<bigint>"), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["queue"].alias("queue"), d["rooms"].alias("rooms"), F.concat(state["taken"], F.array(d["taken"])).alias("taken")))[0]
+
+    walked = laid.withColumn("laps", laps).select("laps", "movers", F.flatten(F.aggregate(runs, start(F.lit(0).cast("long"), F.col("rooms"), "array<array<bigint>>"), run)["taken"]).alias("taken"))
+    steps = walked.select("movers", F.posexplode(F.arrays_zip("laps", "taken")).alias("at", "s")).select("movers", "at", "s.laps.shard", "s.laps.held", "s.taken")
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    in_shard = Window.partitionBy("shard").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        steps.withColumn("served", F.sum("taken").over(before))
+        .withColumn("served_from", F.col("served") - F.col("taken"))
+        .withColumn("slot_from", F.col("held") + F.sum("taken").over(in_shard) - F.col("taken"))
+        .where("taken > 0")
     )
-    last_of_lap = F.max(F.when((F.col("lap") == 0) & (F.col("v") == shards * vnodes - 1), F.col("queue"))).over(everything)
-    taken = F.col("served") - F.col("served_from")
-    in_lap = Window.partitionBy("lap", "shard").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return walked.withColumn("lag", last_of_lap).withColumn("slot_from", F.least("load", "capacity") + F.sum(taken).over(in_lap) - taken)
 
 
 def _idiv(amount: Column, parts: int) -> Column:
