@@ -992,3 +992,81 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"stream_dedup_{uuid.uuid4().hex}"
     rows = streams.first_wins(streams.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts").select("event_id", "user_id")
     return streams.drained(rows, name, shared_path(spark, name))
+
+
+@query(
+    """
+    WITH e AS (SELECT date_trunc('hour', ts) AS h, event_type FROM events), m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events)
+    SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM e, m WHERE h + INTERVAL 1 HOUR <= mark GROUP BY ALL
+    """
+)
+def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours that the watermark has closed."""
+    name = f"stream_counts_{uuid.uuid4().hex}"
+    rows = streams.counts(streams.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return streams.drained(rows, name, shared_path(spark, name)).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+# -- parts as products: edited queries, views of attributes, fallbacks, sorted hits
+
+
+@query(
+    f"""
+    SELECT p_partkey, array_to_string(range(0, len(w)), ' ') AS places,
+      array_to_string([CASE WHEN i = 2 THEN 'bolted' ELSE w[i] END FOR i IN range(1, len(w) + 1)], ' ') AS edited
+    FROM (SELECT p_partkey, {_WORDS.format('p_name')} AS w FROM part)
+    """
+)
+def edited_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries made of the tokens of names, the second token replaced."""
+    items = tokens.requery(tokens.tokens(tokens.DEFAULT.column(F.col("p_name"))))
+    return _t(spark, sf_dir, "part").select("p_partkey", items.alias("q")).select(
+        "p_partkey",
+        F.array_join(F.transform("q", lambda x: x["pos"].cast("string")), " ").alias("places"),
+        F.array_join(tokens.texts(tokens.replace_token(F.col("q"), F.lit(1), F.lit("bolted"))), " ").alias("edited"),
+    )
+
+
+@query(
+    f"""
+    SELECT p_partkey, w[1] AS first, list_min(w) AS least, array_to_string(w, ' + ') AS together, array_to_string(w, ' ') AS spaced
+    FROM (SELECT p_partkey, {_WORDS.format("p_name || '|' || p_type")} AS w FROM part)
+    """
+)
+def attribute_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar views of a list of values, and both renderings of a type."""
+    w = text.words(F.concat_ws("|", "p_name", "p_type"))
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", text.any_item(w).alias("first"), text.any_item(w, least=True).alias("least"), text.type_text(w).alias("together"), text.type_text(w, spaced=True).alias("spaced")
+    )
+
+
+@query("SELECT doc_id, md5(replace(text, chr(160), ' ')) AS digest FROM documents")
+def breaking_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.no_nbsp(F.col("text"))).alias("digest"))
+
+
+@query("SELECT p_partkey, p_brand FROM part a WHERE p_size < 10 AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = a.p_partkey AND b.p_type = 'PROMO')")
+def fallback_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second attempt finds beyond the first."""
+    part = _t(spark, sf_dir, "part")
+    return dedup.not_returned(part.where("p_size < 10"), part.where("p_type = 'PROMO'"), "p_partkey").select("p_partkey", "p_brand")
+
+
+@query(
+    """
+    SELECT 'score' AS sorted_by, doc_id FROM (SELECT p_partkey AS doc_id FROM part ORDER BY p_size DESC, p_partkey LIMIT 10)
+    UNION ALL SELECT 'price', doc_id FROM (SELECT p_partkey AS doc_id FROM part ORDER BY p_retailprice, p_partkey LIMIT 10)
+    """
+)
+def sorted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten by score, and by a field that may be sorted by."""
+    hits = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("score"), F.col("p_retailprice").alias("price"))
+    by = {k: search.top(hits, sort_by=k, sortable=("score", "price")).select(F.lit(k).alias("sorted_by"), "doc_id") for k in ("score", "price")}
+    return by["score"].unionByName(by["price"])
+
+
+@query(f"WITH {_WIDE_EDGES} SELECT a, count(*) AS n FROM e GROUP BY a")
+def contained_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many types each type contains, of the relations of one kind."""
+    return relations.of_kinds(relations.containment(_wide_types(spark, sf_dir)), "contains").groupBy("a").agg(F.count("*").alias("n"))
