@@ -6,10 +6,11 @@ Snowball description.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,29 +75,36 @@ def stem(word: str) -> str:
 
 
 TOKEN = re.compile(r"\w+(?:\.?\w+)*")
+_STOPPED = frozenset(STOP_WORDS)
+#: What a worker keeps, whatever the input: stems of words up to LONG_WORD code points and terms of texts up to LONG_TEXT,
+#: as many of the latest as stated.  PIECE rows are analyzed at a time.
+LONG_WORD, STEMS_KEPT = 40, 100_000
+LONG_TEXT, TEXTS_KEPT = 200, 10_000
+PIECE = 64
+
+_kept_stem = functools.lru_cache(STEMS_KEPT)(stem)
 
 
 def analyzed(text: str, terms: Terms | None = None) -> list[str]:
     """The index form of a text: lower-cased tokens without stop words and, if there is a dictionary, the main forms and
     spellings of each in the context of all, all stemmed."""
-    tokens = [t for t in TOKEN.findall(text.lower()) if t not in STOP_WORDS and len(t) > 1]
+    tokens = [t for t in TOKEN.findall(text.lower()) if t not in _STOPPED and len(t) > 1]
     if terms is not None:
         context = list(dict.fromkeys(tokens))
         tokens = tokens + [f for t in context for f in terms.word_forms(t, context) or () if f not in context]
-    return [stem(t) for t in tokens]
+    return [t if t.isascii() else _kept_stem(t) if len(t) <= LONG_WORD else stem(t) for t in tokens]  # only Russian words have stems
 
 
 def analyzed_column(text: Column, terms: Terms | None = None) -> Column:
-    """``analyzed`` of a column, in Arrow batches; a null text has no terms."""
-    memo: dict[str, list[str]] = {}
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in batches:
-            if len(memo) > 100_000:
-                memo.clear()
-            memo.update({t: analyzed(t, terms) for t in some.dropna().unique() if t not in memo})
-            yield some.map(lambda t: memo.get(t, []) if isinstance(t, str) else [])
+    """``analyzed`` of a column, in pieces of Arrow batches; a null text has no terms."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept = functools.lru_cache(TEXTS_KEPT)(lambda t: analyzed(t, terms))
+        for texts in batches:
+            for k in range(0, len(texts), PIECE):
+                some = texts.slice(k, PIECE).to_pylist()
+                yield pa.array([[] if t is None else kept(t) if len(t) <= LONG_TEXT else analyzed(t, terms) for t in some], pa.list_(pa.string()))
 
     return run(text)
 
