@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.similarity import type_similarity_udf
 from quern.functions.text import checked
+from quern.sources.paths import stored
 
 INVERSE = {"contains": "subset_of", "subset_of": "contains"}
 SIMILAR_FROM = 0.85
@@ -152,20 +153,23 @@ def looked_up(parsed: DataFrame, types: DataFrame, edges: DataFrame, least: floa
     """Parsed types (id, type_key, forms) to what the dictionary relates them to: (id, type_key, b, rel, attr).
 
     A type that the dictionary has is identical to itself and has its own relations there.  Types similar to it by the
-    same measure as in the dictionary come after, with their relations; what was related before is not listed again."""
+    same measure as in the dictionary come after, with their relations; what was related before is not listed again.
+    All of it is found for each distinct type, and stored; the ids meet it last."""
     relations = edges.select(F.col("a").alias("via"), F.col("b").alias("to"), "rel", "attr")
-    known = parsed.join(types.select("type_key"), "type_key", "left_semi")
-    own = known.select("id", "type_key", F.col("type_key").alias("b"), F.lit("identical").alias("rel"), F.lit(None).cast("double").alias("attr"))
-    there = known.select("id", "type_key").join(relations, F.col("type_key") == F.col("via")).select("id", "type_key", F.col("to").alias("b"), "rel", "attr")
+    asked = parsed.select("type_key", "forms").distinct().dropDuplicates(["type_key"])
+    known = asked.select("type_key").join(types.select("type_key"), "type_key", "left_semi")
+    own = known.select("type_key", F.col("type_key").alias("b"), F.lit("identical").alias("rel"), F.lit(None).cast("double").alias("attr"))
+    there = known.join(relations, F.col("type_key") == F.col("via")).select("type_key", F.col("to").alias("b"), "rel", "attr")
     first = own.unionByName(there).distinct()
-    asked = parsed.select("type_key", "forms").dropDuplicates(["type_key"])
     pairs = _blocked(asked, "type_key", "forms", "a").join(_blocked(types, "type_key", "forms", "b"), ["n", "letters"])
     near = _rated(pairs, least).select(F.col("a").alias("type_key"), "b", "attr")
-    met = parsed.select("id", "type_key").distinct().join(near, "type_key").join(first.select("id", "type_key", "b"), ["id", "type_key", "b"], "left_anti")
-    fallback = met.select("id", "type_key", "b", F.lit("similar").alias("rel"), "attr")
-    onward = met.select("id", "type_key", F.col("b").alias("via")).join(relations, "via").select("id", "type_key", F.col("to").alias("b"), "rel", "attr").where("b <> type_key")
-    more = fallback.unionByName(onward.join(first.unionByName(fallback).select("id", "type_key", "b"), ["id", "type_key", "b"], "left_anti")).distinct()
-    return first.unionByName(more)
+    met = near.join(first.select("type_key", "b"), ["type_key", "b"], "left_anti")
+    fallback = met.select("type_key", "b", F.lit("similar").alias("rel"), "attr")
+    onward = met.select("type_key", F.col("b").alias("via")).join(relations, "via").select("type_key", F.col("to").alias("b"), "rel", "attr").where("b <> type_key")
+    more = fallback.unionByName(onward.join(first.unionByName(fallback).select("type_key", "b"), ["type_key", "b"], "left_anti")).distinct()
+    related = stored(first.unionByName(more), "related")
+    each = parsed.select("id", "type_key").repartition("id", "type_key").distinct()  # dealt out first: no task lists all of a file's rows
+    return each.join(related, "type_key").select("id", "type_key", "b", "rel", "attr")
 
 
 def has_types(parsed: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:

@@ -740,7 +740,7 @@ def root_type_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, type_key, type_key AS b, 'identical' AS rel FROM q UNION ALL SELECT id, type_key, e.b, 'contains' FROM q JOIN e ON e.a = type_key""")
 def type_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of each name, looked up: itself and what it contains (no other is as similar as 0.97)."""
-    types, word = _types(spark, sf_dir), F.split("p_name", " ")[0]
+    types, word = stored(_types(spark, sf_dir).select("type_key", "forms"), "types"), F.split("p_name", " ")[0]
     parsed = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), word.alias("type_key"), F.array(word).alias("forms"))
     return relations.looked_up(parsed, types, stored(relations.containment(types), "edges"), least=0.97).select("id", "type_key", "b", "rel")
 

@@ -8,6 +8,7 @@ import tracemalloc
 import pyarrow as pa
 
 from quern.functions import morphology
+from quern.operators import relations
 
 
 def test_terms_of_many_long_texts(monkeypatch):
@@ -29,3 +30,13 @@ def test_terms_of_many_long_texts(monkeypatch):
 def test_terms_of_any_words():
     text = "Молочные ЁЛКИ и the Straße " + "молочного" * 10
     assert morphology.analyzed(text) == [morphology.stem(t) for t in text.lower().split() if t != "и"]
+
+
+def test_relations_are_found_by_type_before_ids_meet_them(spark):
+    types = spark.createDataFrame([("красный мяч", ["красный мяч"]), ("красный меч", ["красный меч"])], "type_key string, forms array<string>")
+    edges = relations.similar(types)
+    parsed = spark.createDataFrame([(1, "красный мяч", ["красный мяч"]), (1, "красный мяч", ["красный мяч"]), (None, "красный мяч", ["красный мяч"])], "id int, type_key string, forms array<string>")
+    found = relations.looked_up(parsed, types, edges)
+    got = sorted((str(r["id"]), r["b"], r["rel"]) for r in found.collect())
+    assert got == sorted((k, b, rel) for k in ("1", "None") for b, rel in (("красный мяч", "identical"), ("красный меч", "similar")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1  # distinct pairs of id and type
