@@ -644,7 +644,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _t(spark, sf_dir, "part")
+    part = spread(_t(spark, sf_dir, "part"))
     words = F.split("p_name", " ")
     index = search.postings(part, "p_partkey", {"types": F.array(words[0], words[1], text.type_key(words)), "pfqn": words, "brand": F.array(F.lower("p_brand"))})
     return stored(index, "parts")  # a search refers to its index many times

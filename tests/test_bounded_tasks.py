@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quern.functions import morphology
-from quern.operators import relations
+from quern.operators import relations, search
 
 
 def test_terms_of_many_long_texts(monkeypatch):
@@ -40,3 +42,13 @@ def test_relations_are_found_by_type_before_ids_meet_them(spark):
     got = sorted((str(r["id"]), r["b"], r["rel"]) for r in found.collect())
     assert got == sorted((k, b, rel) for k in ("1", "None") for b, rel in (("красный мяч", "identical"), ("красный меч", "similar")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1  # distinct pairs of id and type
+
+
+def test_postings_of_single_rows_are_not_shuffled(spark):
+    docs = [(1, ["b", "a", "b", None, None]), (2, []), (3, None), (4, ["a"])]
+    many = [*docs, (4, ["a", "c"]), (None, ["x"]), (None, ["x", "y"])]
+    for rows, moved in ((docs, 0), (many, 1)):
+        found = search.postings(spark.createDataFrame(rows, "id int, t array<string>"), "id", {"f": F.col("t"), "g": F.array(F.lit("a"))})
+        due = Counter((k, f, x) for k, t in rows for f, terms in (("f", t or []), ("g", ["a"])) for x in terms)
+        assert {(r["doc_id"], r["field"], r["term"]): r["tf"] for r in found.collect()} == due and found.count() == len(due)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == moved
