@@ -643,11 +643,12 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.any_terms(index, asked, search.field_statistics(docs, fields)).select("doc_id", F.round("score", 6).alias("score"))
 
 
-def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _found_parts(spark: SparkSession, sf_dir: str, asked: search.ProductQuery) -> DataFrame:
     part = spread(_t(spark, sf_dir, "part"))
     words = F.split("p_name", " ")
-    index = search.postings(part, "p_partkey", {"types": F.array(words[0], words[1], text.type_key(words)), "pfqn": words, "brand": F.array(F.lower("p_brand"))})
-    return stored(index, "parts")  # a search refers to its index many times
+    fields = {"types": F.array(words[0], words[1], text.type_key(words)), "pfqn": words, "brand": F.array(F.lower("p_brand"))}
+    index = stored(search.postings(part, "p_partkey", fields), "parts")  # a search refers to its index many times
+    return search.find_products(index, asked, stored(search.field_statistics(part, fields), "fields"))
 
 
 @query(
@@ -659,7 +660,7 @@ def _parts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.ProductQuery(types=(("red", 1), ("ring", 1), ("red + ring", 2), ("red + unicorn", 2)), attributes=(("brand", "brand#3"),), words=("red", "ring"))
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand"))
-    return search.find_products(_parts_index(spark, sf_dir), asked).join(part, "doc_id").select("doc_id", F.col("variant").cast("long").alias("variant"), "brand", F.round("score", 6).alias("score"))
+    return _found_parts(spark, sf_dir, asked).join(part, "doc_id").select("doc_id", F.col("variant").cast("long").alias("variant"), "brand", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -670,13 +671,13 @@ def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def product_search_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.ProductQuery(types=(("red", 1), ("blue", 1)))
-    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"), F.round("score", 6).alias("score"))
+    return _found_parts(spark, sf_dir, asked).select("doc_id", F.col("variant").cast("long").alias("variant"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey AS doc_id, 2::BIGINT AS variant, 2.0::DOUBLE AS score FROM part WHERE (split_part(p_name, ' ', 1) LIKE 're%' OR split_part(p_name, ' ', 2) LIKE 're%') AND (split_part(p_name, ' ', 1) LIKE 'ri%' OR split_part(p_name, ' ', 2) LIKE 'ri%')")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.ProductQuery(words=("re", "ri"))
-    return search.find_products(_parts_index(spark, sf_dir), asked).select("doc_id", F.col("variant").cast("long").alias("variant"), "score")
+    return _found_parts(spark, sf_dir, asked).select("doc_id", F.col("variant").cast("long").alias("variant"), "score")
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'unicorn' ELSE 'red,unicorn' END AS missing FROM part")

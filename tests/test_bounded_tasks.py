@@ -6,11 +6,13 @@ import random
 import tracemalloc
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import morphology
 from quern.operators import relations, search
+from quern.plans import catalogue
 
 
 def test_terms_of_many_long_texts(monkeypatch):
@@ -59,3 +61,25 @@ def test_hits_of_a_term_are_not_gathered_by_it(spark):
     asked = spark.createDataFrame([(0, "f", "a", 1.0)], "query_id int, field string, term string, boost double")
     plan = search.scored(index, asked)._jdf.queryExecution().sparkPlan().toString()
     assert search.scored(index, asked).count() == 50 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_a_search_prunes_postings_where_they_are_read(spark):
+    index = spark.createDataFrame([(k, "f", t, 1, 2) for k in range(50) for t in ("ab", "b")], "doc_id int, field string, term string, tf long, len int")
+    asked = spark.createDataFrame([(0, "f", "ab", 1.0)], "query_id int, field string, term string, boost double")
+    prefixes = spark.createDataFrame([(0, "f", "a")], "query_id int, field string, prefix string")
+    types = search.ProductQuery(types=(("ab", 1), ("c", 1)))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of unknown size
+    try:
+        for found, n in ((search.scored(index, asked), 50), (search.by_prefix(index, prefixes), 50), (search.known_types(types, index.withColumn("field", F.lit("types"))), 1)):
+            assert found.count() == n and "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_any_type_counts_rows_that_share_an_id(spark, tmp_path):
+    names = [(1, "red ring"), (1, "red ring"), (1, "red ring"), (2, "blue bolt"), (3, "cold red"), (4, "tin can")]
+    spark.createDataFrame([(k, n, "Brand#1") for k, n in names], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["doc_id"]: r["score"] for r in catalogue.QUERIES["product_search_any_type"](spark, str(tmp_path)).collect()}
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == {k: score for k, _, score in duckdb.sql(catalogue.ORACLES["product_search_any_type"]).fetchall()} and set(got) == {1, 2, 3}
