@@ -10,7 +10,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.functions import morphology
+from quern.functions import morphology, text
 from quern.operators import relations, search
 from quern.plans import catalogue
 
@@ -83,3 +83,9 @@ def test_any_type_counts_rows_that_share_an_id(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in catalogue.QUERIES["product_search_any_type"](spark, str(tmp_path)).collect()}
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == {k: score for k, _, score in duckdb.sql(catalogue.ORACLES["product_search_any_type"]).fetchall()} and set(got) == {1, 2, 3}
+
+
+def test_words_end_at_the_separators_and_nowhere_else(spark):
+    codes = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(F.col("id").alias("c"), F.expr("decode(unhex(concat(lpad(hex(id), 4, '0'))), 'UTF-16BE')").alias("t"))
+    found = codes.select("c", F.size(text.words(F.concat(F.lit("a"), "t", "t", F.lit("b")))).alias("n"), F.col("t").rlike(f"[{text.SEPARATORS}]").alias("ends"))
+    assert found.where((F.col("n") == 2) != F.col("ends")).count() == 0 and found.where("ends").count() == 39
